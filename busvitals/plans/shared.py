@@ -1,0 +1,30 @@
+"""Where tables that cut lineage are written."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+CONF = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only a local-mode session without the setting (tests) gets a folder of its own.
+    """
+    configured = spark.conf.get(CONF, None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CONF} to a folder every executor can reach")
+    made = tempfile.mkdtemp(prefix="busvitals-")
+    spark.conf.set(CONF, made)
+    return made
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path under the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/busvitals/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
