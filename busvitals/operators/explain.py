@@ -203,7 +203,9 @@ def nearest_to_extreme_median(health: DataFrame, idx: str = "window_index") -> D
 
 
 def _nearest(rows: DataFrame, center: DataFrame, by: Sequence[str], idx: str) -> DataFrame:
-    joined = rows.join(F.broadcast(center), list(by)).withColumn("_d", F.abs(F.col("cyber_health") - F.col("_c")))
+    # an even count puts two rows at the same distance from its median: compare without the last digits
+    distance = F.round(F.abs(F.col("cyber_health") - F.col("_c")), 9)
+    joined = rows.join(F.broadcast(center), list(by)).withColumn("_d", distance)
     chosen = F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct("_d", idx))
     return joined.where("_d IS NOT NULL").groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(chosen.alias("_row")).select("_row.*")
 
@@ -240,7 +242,7 @@ def threat_story(explained: DataFrame, lookback: int = 10, horizon: int = 20) ->
     texts = {
         "health": fixed_text(F.col("cyber_health"), 0),
         "trend": F.lower("trend"),
-        "trend_size": fixed_text(F.abs("trend_diff"), 0),
+        "trend_size": F.when(F.col("trend_diff").isNull(), F.lit("nan")).otherwise(fixed_text(F.abs("trend_diff"), 0)),
         "lookback": F.lit(str(lookback)),
         "horizon": F.lit(str(horizon)),
         "forecast": fixed_text(F.col("projected_health"), 0),

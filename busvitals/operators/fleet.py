@@ -83,13 +83,13 @@ def telemetry_snapshot(windows: DataFrame) -> DataFrame:
     """Normal-window means under the names they deserve, and all windows per normal window."""
     normal = F.col("attack_label") == 0
 
-    def mean(c: str) -> Column:
-        return F.coalesce(F.avg(F.when(normal, F.col(c))), F.lit(0.0))
+    def mean(c: str, times: int = 1) -> Column:
+        return F.coalesce(F.avg(F.when(normal, F.col(c) * times)), F.lit(0.0))
 
     return windows.agg(
         F.bround(mean("messages_per_second"), 1).alias("can_rate"),
-        F.bround(mean("message_burst_score") * 100, 1).alias("burst_pct"),
-        F.bround(mean("payload_instability_score") * 100, 1).alias("instability_pct"),
+        F.bround(mean("message_burst_score", 100), 1).alias("burst_pct"),
+        F.bround(mean("payload_instability_score", 100), 1).alias("instability_pct"),
         F.floor(F.count(F.lit(1)) / F.greatest(F.lit(1), F.count_if(normal))).alias("windows_per_normal_window"),
     )
 

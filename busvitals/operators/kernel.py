@@ -13,6 +13,7 @@ from busvitals.functions import fixed_values as fv
 from busvitals.operators.baseline import fit_baseline
 from busvitals.operators.quantiles import exact_percentiles
 from busvitals.operators.sampling import subsample_normal
+from busvitals.sources.scratch import stored
 
 ROWS_AT_ONCE = 512
 
@@ -70,7 +71,8 @@ def fit_parzen(windows: DataFrame) -> KernelModel:
 
 
 def _offset(windows: DataFrame, raw: KernelModel) -> float:
-    normal = rbf_score(windows.where("attack_label = 0"), raw)
+    # stored, because finding the percentile scans the values twice and computing them is the expensive part
+    normal = stored(rbf_score(windows.where("attack_label = 0"), raw).select("anomaly_score"), "kernel-values")
     return exact_percentiles(normal, [], "anomaly_score", {"rho": fv.THRESHOLD_PERCENTILE}).first()["rho"]
 
 

@@ -40,8 +40,9 @@ def exact_percentiles(
     wanted = []
     for i, n in enumerate(names):
         p = probs[n]
-        lo = F.col("_min") if p - slack <= 0 else F.col("_q")[2 * i]
-        hi = F.col("_max") if p + slack >= 1 else F.col("_q")[2 * i + 1]
+        few = F.col("_n") <= accuracy  # small groups are searched whole, where the slack is less than a rank
+        lo = F.when(few | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_q")[2 * i])
+        hi = F.when(few | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_q")[2 * i + 1])
         pos = (F.col("_n") - 1) * F.lit(p)
         wanted.append(
             F.struct(F.lit(n).alias("name"), lo.alias("lo"), hi.alias("hi"), F.floor(pos).alias("r0"),

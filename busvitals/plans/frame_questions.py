@@ -11,7 +11,7 @@ from busvitals.operators.health import filter_by_class
 from busvitals.operators.ordering import number_rows
 from busvitals.plans.reference_sql import CLASS_ORD, build, out, windows_cte
 from busvitals.plans.registry import question
-from busvitals.plans.shared import fresh_path
+from busvitals.sources.scratch import fresh_path
 from busvitals.plans.workspace import Workspace
 from busvitals.sources import can_logs
 from busvitals.sources.tables import load_windows, write_windows
@@ -219,7 +219,7 @@ def top_can_ids(ws: Workspace) -> DataFrame:
 
 
 @question("data_reduction", build("windows", out(
-    "SELECT (SELECT count(*) FROM frames) AS frames, (SELECT count(*) FROM windows) AS windows, CAST(frames AS DOUBLE) / windows AS frames_per_window",
+    "SELECT f AS frames, w AS windows, CAST(f AS DOUBLE) / w AS frames_per_window FROM (SELECT count(*) AS f FROM frames) CROSS JOIN (SELECT count(*) AS w FROM windows)",
     "frames windows", "frames_per_window")))
 def data_reduction(ws: Workspace) -> DataFrame:
     return fleet.data_reduction(ws.frames(), ws.windows())

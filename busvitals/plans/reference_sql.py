@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from busvitals.functions import fixed_values as fv
 
+EDGE_SHIFT = 3.7e-08
 ALL = [*fv.FEATURES, "anomaly_score"]
 FEATURE_LIST = ", ".join(fv.FEATURES)
 
@@ -137,9 +138,13 @@ _DIST = " + ".join(f"(x.{c} - s.{c}) * (x.{c} - s.{c})" for c in fv.FEATURES)
 BLOCKS: dict[str, str] = {
     "frames": f"""frames AS MATERIALIZED (
     SELECT 'v0' AS vehicle_id, capture, capture AS attack_type, CASE WHEN capture = 'Normal' THEN 0 ELSE 1 END AS attack_label,
-        epoch_us(ts) AS t_us, event_id AS seq, CAST(user_id % 16 AS INTEGER) AS can_id, dlc, payload8[1:dlc] AS payload,
-        CASE WHEN capture <> 'Normal' AND value >= 35 THEN 1 ELSE 0 END AS flag
-    FROM (SELECT *, {_CLASS} AS capture, CAST(event_id % 9 AS INTEGER) AS dlc, [{_BYTES}] AS payload8 FROM events))""",
+        epoch_us(ts) AS t_us, event_id AS seq, flag, dlc,
+        CAST(CASE WHEN flag = 0 THEN user_id % 16 WHEN capture = 'DoS' THEN 0 WHEN capture = 'Fuzzy' THEN event_id * 7919 % 2048
+            WHEN capture = 'Gear' THEN 1087 ELSE 790 END AS INTEGER) AS can_id,
+        (CASE WHEN flag = 0 OR capture = 'Fuzzy' THEN [{_BYTES}] WHEN capture = 'DoS' THEN [0, 0, 0, 0, 0, 0, 0, 0]
+            WHEN capture = 'Gear' THEN [0, 16, 32, 48, 64, 80, 96, 112] ELSE [8, 24, 40, 56, 72, 88, 104, 120] END)[1:dlc] AS payload
+    FROM (SELECT *, CASE WHEN capture <> 'Normal' AND value >= 35 THEN 1 ELSE 0 END AS flag
+        FROM (SELECT *, {_CLASS} AS capture, CAST(event_id % 9 AS INTEGER) AS dlc FROM events)))""",
     "entropies": """bytes AS (SELECT seq, b, count(*) AS c FROM (SELECT seq, unnest(payload) AS b FROM frames) GROUP BY ALL),
 entropies AS (
     SELECT seq, -sum(p * log2(p)) AS e FROM (SELECT seq, CAST(c AS DOUBLE) / sum(c) OVER (PARTITION BY seq) AS p FROM bytes) GROUP BY ALL)""",
@@ -216,7 +221,7 @@ explained AS MATERIALIZED (
 
 def _story_sql() -> str:
     texts = {
-        "health": fixed("cyber_health", 0), "trend": "lower(trend)", "trend_size": fixed("abs(trend_diff)", 0),
+        "health": fixed("cyber_health", 0), "trend": "lower(trend)", "trend_size": f"coalesce({fixed('abs(trend_diff)', 0)}, 'nan')",
         "lookback": "'10'", "horizon": "'20'", "forecast": fixed("projected_health", 0),
         "primary_component": "primary_component", "primary_label": "primary_label",
         "primary_z": fixed("primary_z", 1, True), "primary_direction": "primary_direction",
@@ -255,12 +260,12 @@ BLOCKS["stories"] = """to_tell AS (
 # One representative window per class told with the trend of its class.
 EXAMPLES = """centers AS (SELECT attack_type, avg(cyber_health) AS c FROM hs GROUP BY ALL),
 near_mean AS (
-    SELECT * FROM (SELECT h.capture, h.w, row_number() OVER (PARTITION BY h.attack_type ORDER BY abs(h.cyber_health - c.c), h.window_index) AS r
+    SELECT * FROM (SELECT h.capture, h.w, row_number() OVER (PARTITION BY h.attack_type ORDER BY round(abs(h.cyber_health - c.c), 9), h.window_index) AS r
         FROM hs h JOIN centers c USING (attack_type)) WHERE r = 1),
 extreme AS (SELECT * FROM hs WHERE attack_type <> 'Normal' AND risk_category IN ('High Risk', 'Critical')),
 medians AS (SELECT attack_type, quantile_cont(cyber_health, 0.5) AS c FROM extreme GROUP BY ALL),
 near_median AS (
-    SELECT * FROM (SELECT h.capture, h.w, row_number() OVER (PARTITION BY h.attack_type ORDER BY abs(h.cyber_health - c.c), h.window_index) AS r
+    SELECT * FROM (SELECT h.capture, h.w, row_number() OVER (PARTITION BY h.attack_type ORDER BY round(abs(h.cyber_health - c.c), 9), h.window_index) AS r
         FROM extreme h JOIN medians c USING (attack_type)) WHERE r = 1),
 examples AS (SELECT m.capture, coalesce(x.w, m.w) AS w FROM near_mean m LEFT JOIN near_median x USING (capture))"""
 
@@ -318,6 +323,6 @@ to_tell AS (
 
 
 def out(body: str, plain: str = "", doubles: str = "") -> str:
-    """Outer select: plain columns as they are, doubles rounded to six digits (and never minus zero)."""
-    columns = plain.split() + [f"round({c}, 6) + 0e0 AS {c}" for c in doubles.split()]
+    """Outer select: plain columns as they are, doubles shifted off the rounding edge and rounded to six digits."""
+    columns = plain.split() + [f"round({c} + {EDGE_SHIFT!r}, 6) AS {c}" for c in doubles.split()]
     return f"SELECT {', '.join(columns)} FROM ({body})"

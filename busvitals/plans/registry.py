@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from busvitals.plans.reference_sql import EDGE_SHIFT
 from busvitals.plans.workspace import Workspace, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -14,9 +15,12 @@ CHECKS: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to six digits and never minus zero, so two engines print the same value."""
+    """Doubles to six digits, so two engines print the same value.
+
+    The shift moves exact decimal halves (means of whole microseconds) off the rounding edge, where engines differ.
+    """
     return df.select(*[
-        (F.round(F.col(n), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes
+        F.round(F.col(n) + F.lit(EDGE_SHIFT), digits).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes
     ])
 
 

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from busvitals.operators.baseline import fit_baseline
+from busvitals.operators.frames import engineer_frames
 from busvitals.operators.health import health_score
 from busvitals.operators.kernel import KernelModel, fit_parzen, load_model, rbf_score, save_model
 from busvitals.operators.series import trend_at_window
 from busvitals.operators.windows import window_features, window_index
-from busvitals.plans.shared import fresh_path
+from busvitals.sources.scratch import fresh_path, stored
 from busvitals.sources.event_frames import event_frames
 from busvitals.sources.tables import load_windows, stored_schema, write_windows
 
@@ -30,12 +31,18 @@ class Workspace:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
         self.root = fresh_path(spark, "tables")
-        self._windows = self._model = self._scored = None
+        self._engineered = self._windows = self._model = self._scored = None
         self._baselines: dict[int, DataFrame] = {}
 
     def frames(self) -> DataFrame:
         return event_frames(self.spark, self.folder)
 
+    def engineered(self) -> DataFrame:
+        """Frames with all per-frame columns, stored."""
+        if self._engineered is None:
+            self._engineered = stored(engineer_frames(self.frames()), "engineered")
+        return self._engineered
+
     def windows(self) -> DataFrame:
         if self._windows is None:
             write_windows(window_features(self.frames()), f"{self.root}/windows")

@@ -1,4 +1,8 @@
-"""Bus frames derived from the generic ``events`` table, one capture per event type."""
+"""Bus frames derived from the generic ``events`` table, one capture per event type.
+
+About half of the frames of an attack capture (value >= 35) are injected ones. They carry what the attack is known
+for: the top-priority id and empty bytes (DoS), random ids (Fuzzy), one fixed id and fixed bytes (Gear, RPM).
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,10 @@ from pyspark.sql import functions as F
 
 # Event type -> capture class.
 CAPTURES = {"click": "Normal", "purchase": "DoS", "signup": "Fuzzy", "view": "Gear", "error": "RPM"}
+# Id and first byte of injected frames (bytes then step by 16); Fuzzy draws its id and keeps its bytes.
+INJECTED_ID = {"DoS": 0, "Gear": 1087, "RPM": 790}
+INJECTED_BYTE = {"DoS": (0, 0), "Gear": (0, 16), "RPM": (8, 16)}
+INJECTED_FROM = 35.0
 
 FRAME_COLUMNS = [
     "vehicle_id", "capture", "attack_type", "attack_label", "t_us", "seq", "can_id", "dlc", "payload", "flag",
@@ -21,14 +29,24 @@ def epoch_micros(ts: str, dtype: str) -> Column:
 
 
 def frames_from_events(events: DataFrame, vehicle_id: Column | None = None) -> DataFrame:
-    """One frame per event; the payload bytes are the first ``dlc`` bytes of the md5 of the event id."""
+    """One frame per event; the payload bytes are the first ``dlc`` bytes of the md5 of the event id, or injected."""
     label = F.lit(None).cast("string")
     for kind, name in CAPTURES.items():
         label = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(label)
-    dlc = F.pmod(F.col("event_id"), F.lit(9)).cast("int")
-    digest = F.md5(F.col("event_id").cast("string").cast("binary"))
-    byte = [F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") for i in range(8)]
     attacked = label != F.lit("Normal")
+    injected = attacked & (F.col("value") >= INJECTED_FROM)
+
+    can_id = F.pmod(F.col("user_id"), F.lit(16))
+    can_id = F.when(injected & (label == "Fuzzy"), F.pmod(F.col("event_id") * 7919, F.lit(2048))).otherwise(can_id)
+    for name, fixed in INJECTED_ID.items():
+        can_id = F.when(injected & (label == name), F.lit(fixed)).otherwise(can_id)
+
+    digest = F.md5(F.col("event_id").cast("string").cast("binary"))
+    payload = F.array(*[F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") for i in range(8)])
+    for name, (first, step) in INJECTED_BYTE.items():
+        fixed_bytes = F.array(*[F.lit(first + step * i) for i in range(8)])
+        payload = F.when(injected & (label == name), fixed_bytes).otherwise(payload)
+    dlc = F.pmod(F.col("event_id"), F.lit(9)).cast("int")
     return events.select(
         (vehicle_id if vehicle_id is not None else F.lit("v0")).alias("vehicle_id"),
         label.alias("capture"),
@@ -36,10 +54,10 @@ def frames_from_events(events: DataFrame, vehicle_id: Column | None = None) -> D
         F.when(attacked, 1).otherwise(0).alias("attack_label"),
         epoch_micros("ts", dict(events.dtypes)["ts"]).alias("t_us"),
         F.col("event_id").alias("seq"),
-        F.pmod(F.col("user_id"), F.lit(16)).cast("int").alias("can_id"),
+        can_id.cast("int").alias("can_id"),
         dlc.alias("dlc"),
-        F.slice(F.array(*byte), F.lit(1), dlc).alias("payload"),
-        F.when(attacked & (F.col("value") >= 35.0), 1).otherwise(0).alias("flag"),
+        F.slice(payload, F.lit(1), dlc).alias("payload"),
+        F.when(injected, 1).otherwise(0).alias("flag"),
     )
 
 
