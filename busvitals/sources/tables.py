@@ -10,6 +10,15 @@ from pyspark.sql import types as T
 
 from busvitals.functions import fixed_values as fv
 
+_FLAT = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType()}
+
+
+def flat_schema(text: str) -> T.StructType:
+    """``name type, name type`` as a schema; usable before a session exists."""
+    pairs = [part.split() for part in text.split(",")]
+    return T.StructType([T.StructField(name, _FLAT[kind]) for name, kind in pairs])
+
+
 WINDOW_SCHEMA = T.StructType(
     [T.StructField("vehicle_id", T.StringType()), T.StructField("w", T.LongType())]
     + [T.StructField(c, T.DoubleType()) for c in fv.FEATURES]
