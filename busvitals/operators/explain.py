@@ -47,7 +47,8 @@ def zscore_attribution(windows: DataFrame, baseline: DataFrame) -> DataFrame:
     rounded = windows.withColumns({c: F.bround(F.col(c), 4) for c in fv.FEATURES})
     long = zscores_long(rounded, baseline, fv.FEATURES, (*KEY, "attack_type"))
     importance = F.least(F.lit(1.0), F.coalesce(F.abs("z"), F.lit(0.0)) / 5.0)
-    return long.withColumn("importance", importance).withColumn("is_anomalous", (F.col("importance") > 0.3).cast("int"))
+    # compared without the last digits, so that a deviation of exactly 1.5 is never decided by rounding noise
+    return long.withColumn("importance", importance).withColumn("is_anomalous", (F.round("importance", 9) > 0.3).cast("int"))
 
 
 def top_driver(windows: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def decisions(ws: Workspace) -> DataFrame:
 
 # ---- attribution -----------------------------------------------------------------------------------------------
 
-_ATTRIBUTION = "attribution AS MATERIALIZED (SELECT *, CASE WHEN importance > 3e-1 THEN 1 ELSE 0 END AS is_anomalous FROM (" + " UNION ALL ".join(
+_ATTRIBUTION = "attribution AS MATERIALIZED (SELECT *, CASE WHEN round(importance, 9) > 3e-1 THEN 1 ELSE 0 END AS is_anomalous FROM (" + " UNION ALL ".join(
     f"SELECT h.vehicle_id, h.capture, h.w, h.attack_type, '{c}' AS feature, {i} AS ord, round_even(h.{c}, 4) AS value, (round_even(h.{c}, 4) - b.m_{c}) / b.s_{c} AS z, "
     f"least(1e0, coalesce(abs((round_even(h.{c}, 4) - b.m_{c}) / b.s_{c}), 0) / 5) AS importance FROM hs h CROSS JOIN base_s b"
     for i, c in enumerate(fv.FEATURES)) + "))"

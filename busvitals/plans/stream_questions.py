@@ -10,7 +10,7 @@ from busvitals.plans.health_questions import KEY, keyed
 from busvitals.plans.reference_sql import build, trend_of
 from busvitals.plans.registry import question
 from busvitals.plans.workspace import Workspace
-from busvitals.sources.event_frames import FRAME_COLUMNS, frames_from_events
+from busvitals.sources.event_frames import FRAME_COLUMNS, INJECTED_FROM, epoch_micros, frames_from_events
 from busvitals.sources.scratch import fresh_path
 from busvitals.streaming.count_windows import CountWindowTables, start_count_windows
 from busvitals.streaming.health import HealthTables, start_health
@@ -22,15 +22,12 @@ def deliver(ws: Workspace, late: bool = False) -> DataFrame:
     """The events as a file stream of four time slices; with ``late``, the injected-looking part of the second one comes last."""
     spark: SparkSession = ws.spark
     events = spark.read.parquet(f"{ws.folder}/events.parquet")
-    at = frames_from_events(events).select("t_us")
-    ends = at.agg(F.min("t_us").alias("a"), F.max("t_us").alias("b")).first()
+    micros = epoch_micros("ts", dict(events.dtypes)["ts"])
+    ends = events.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).first()
     path = fresh_path(spark, "delivered")
-    t = frames_from_events(events).select("seq", "t_us", "flag")
-    sliced = events.join(t, events["event_id"] == t["seq"]).withColumn(
-        "part", F.least(F.floor((F.col("t_us") - ends["a"]) * 4 / (ends["b"] - ends["a"])), F.lit(3))
-    )
-    if late:
-        sliced = sliced.withColumn("part", F.when((F.col("part") == 1) & (F.col("flag") == 1), 4).otherwise(F.col("part")))
+    part = F.least(F.floor((micros - ends["a"]) * 4 / (ends["b"] - ends["a"])), F.lit(3))
+    injected = (F.col("event_type") != "click") & (F.col("value") >= INJECTED_FROM)
+    sliced = events.withColumn("part", F.when((part == 1) & injected, 4).otherwise(part) if late else part)
     # one write per slice: files are delivered in the order in which they were written
     for part in range(5 if late else 4):
         sliced.where(F.col("part") == part).select(*events.columns).coalesce(1).write.mode("append").parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from busvitals.operators.frames import ORDER, SERIES, payload_entropy, payload_s
 from busvitals.operators.ordering import number_rows
 from busvitals.operators.windows import features_of_windows
 from busvitals.sources.tables import flat_schema, stored_schema
-from busvitals.streaming.epochs import EpochTable
+from busvitals.streaming.epochs import EpochTable, batch_session
 
 SLIM = flat_schema(
     "vehicle_id string, capture string, attack_type string, attack_label int, flag int, t_us bigint, seq bigint, "
@@ -50,7 +51,9 @@ def window_batch(frames: DataFrame, epoch: int, tables: CountWindowTables, size:
     A frame is late if it sorts before a frame that already has its position. ``delay_us`` holds frames back until the
     newest time of their series has moved that far past them, so disorder within the delay costs nothing.
     """
-    fresh = payload_entropy(payload_stats(frames)).select(*[f.name for f in SLIM.fields])
+    batch_session(frames)
+    # used by several writes of this batch; lost blocks are recomputed from the batch's files
+    fresh = payload_entropy(payload_stats(frames)).select(*[f.name for f in SLIM.fields]).persist(StorageLevel.MEMORY_AND_DISK)
     carried = tables.pending.before(epoch)
     seen = tables.seen.before(epoch)
 
@@ -64,16 +67,17 @@ def window_batch(frames: DataFrame, epoch: int, tables: CountWindowTables, size:
         waiting.groupBy(*SERIES).agg(F.max("t_us").alias("newest_t"))
         .unionByName(seen.select(*SERIES, "newest_t")).groupBy(*SERIES).agg(F.max("newest_t").alias("newest_t"))
     )
-    timed = waiting.join(newest, SERIES)
+    timed = waiting.join(newest, SERIES).persist(StorageLevel.MEMORY_AND_DISK)
+    n_waiting = timed.count()
     is_ready = F.col("t_us") <= F.col("newest_t") - F.lit(delay_us)
-    ready = number_rows(timed.where(is_ready).drop("newest_t"), SERIES, ORDER, "_i", {"_prev": "t_us"})
+    ready = number_rows(timed.where(is_ready).drop("newest_t"), SERIES, ORDER, "_i", {"_prev": "t_us"}, total_rows=n_waiting)
     known = seen.select(*SERIES, "next_rn", "last_t", "last_seq")
     numbered = ready.join(known, SERIES, "left").withColumns(
         {
             "rn": F.col("_i") + F.coalesce(F.col("next_rn"), F.lit(0)),
             "delta_time": (F.col("t_us") - F.coalesce(F.col("_prev"), F.col("last_t"))) / F.lit(1e6),
         }
-    ).select(*[f.name for f in PENDING.fields])
+    ).select(*[f.name for f in PENDING.fields]).persist(StorageLevel.MEMORY_AND_DISK)
     held = timed.where(~is_ready).drop("newest_t").withColumns(
         {"rn": F.lit(None).cast("bigint"), "delta_time": F.lit(None).cast("double")}
     )
@@ -97,6 +101,9 @@ def window_batch(frames: DataFrame, epoch: int, tables: CountWindowTables, size:
     tables.windows.write(features_of_windows(framed, size), epoch)
     unfinished = framed.join(now.select(*SERIES, "next_rn"), SERIES).where(F.col("w") == F.floor(F.col("next_rn") / size))
     tables.pending.write(unfinished.select(*[f.name for f in PENDING.fields]).unionByName(held), epoch)
+    numbered.unpersist()
+    timed.unpersist()
+    fresh.unpersist()
 
 
 def start_count_windows(

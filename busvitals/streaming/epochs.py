@@ -11,6 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def batch_session(batch: DataFrame) -> SparkSession:
+    """The session of a micro-batch with adaptive execution on.
+
+    Streams switch it off because of their own state operators; these batches have none and need its join choices,
+    partition coalescing and skew handling.
+    """
+    batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+    return batch.sparkSession
+
+
 class EpochTable:
     """``<path>/epoch=N`` folders with a fixed schema."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from busvitals.operators.ordering import halo_blocks, halo_window, own_rows
 from busvitals.operators.respond import response_decision
 from busvitals.operators.series import KERNEL, ema_series
 from busvitals.sources.tables import flat_schema, stored_schema
-from busvitals.streaming.epochs import EpochTable
+from busvitals.streaming.epochs import EpochTable, batch_session
 
 SERIES = ["vehicle_id", "capture"]
 LOOKBACK = 10
@@ -88,16 +89,19 @@ def health_batch(scored: DataFrame, epoch: int, tables: HealthTables, baseline:
 
     A window delivered again is recognised by its number, so every (series, w) is followed and decided once.
     """
+    batch_session(scored)
     columns = [f.name for f in SCORED.fields]
     tail = tables.tail.before(epoch)
     known = tail.groupBy(*SERIES).agg(F.max("w").alias("_known"))
     fresh = scored.select(*columns).join(known, SERIES, "left").where("_known IS NULL OR w > _known")
-    history = fresh.select(*columns).unionByName(tail)
+    # scoring runs once per batch; lost blocks are recomputed from the batch's files
+    history = fresh.select(*columns).unionByName(tail).persist(StorageLevel.MEMORY_AND_DISK)
     new_only = follow(history).join(known, SERIES, "left").where("_known IS NULL OR w > _known")
     followed = tables.followed.write(new_only, epoch)
     tables.decisions.write(decide(followed, baseline), epoch)
     ends = history.groupBy(*SERIES).agg(F.max("w").alias("_last"))
     tables.tail.write(history.join(ends, SERIES).where(F.col("_last") - F.col("w") <= KERNEL), epoch)
+    history.unpersist()
 
 
 def decide(followed: DataFrame, baseline: DataFrame) -> DataFrame:
