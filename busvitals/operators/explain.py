@@ -53,16 +53,19 @@ def zscore_attribution(windows: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def top_driver(windows: DataFrame, baseline: DataFrame) -> DataFrame:
     """Per window the anomalous feature of the largest importance; without one, the first feature at 0 percent."""
-    long = zscore_attribution(windows, baseline).withColumn(
-        "_ord", F.array_position(F.array(*[F.lit(c) for c in fv.FEATURES]), F.col("feature")).cast("int")
-    )
-    best = F.max(F.when(F.col("is_anomalous") == 1, F.struct("importance", (-F.col("_ord")).alias("_neg"), "feature")))
-    return long.groupBy(*KEY, "attack_type").agg(best.alias("_b"), F.sum("is_anomalous").alias("anomalous_features")).select(
+    items = []
+    for i, c in enumerate(fv.FEATURES):
+        z = zscore(F.bround(F.col(c), 4), F.col(f"m_{c}"), F.col(f"s_{c}"))
+        importance = F.least(F.lit(1.0), F.coalesce(F.abs(z), F.lit(0.0)) / 5.0)
+        items.append(F.struct(importance.alias("importance"), F.lit(-i).alias("neg"), F.lit(c).alias("feature")))
+    anomalous = F.filter(F.array(*items), lambda a: F.round(a["importance"], 9) > 0.3)
+    found = attach(windows, baseline).withColumn("_f", anomalous).withColumn("_b", F.array_max("_f"))
+    return found.select(
         *KEY,
         "attack_type",
         F.coalesce(F.col("_b.feature"), F.lit(fv.FEATURES[0])).alias("top_driver"),
         F.coalesce(F.bround(F.col("_b.importance"), 4) * 100, F.lit(0.0)).alias("contribution_pct"),
-        "anomalous_features",
+        F.size("_f").cast("bigint").alias("anomalous_features"),
     )
 
 
@@ -163,25 +166,29 @@ def rank_features(explained: DataFrame, keep: Sequence[str] = KEY) -> DataFrame:
 
 def worst_window(health: DataFrame, by: Sequence[str] = ("attack_type",), idx: str = "window_index") -> DataFrame:
     """First row with the lowest health per group."""
-    return _pick(health, by, F.min_by(_row(health), F.struct("cyber_health", idx)))
+    return _pick(health, by, F.col("cyber_health"), idx)
 
 
 def best_window(health: DataFrame, by: Sequence[str] = (), idx: str = "window_index") -> DataFrame:
     """First row with the highest health."""
-    return _pick(health, by, F.max_by(_row(health), F.struct(F.col("cyber_health"), (-F.col(idx)).alias("_i"))))
+    return _pick(health, by, -F.col("cyber_health"), idx)
 
 
 def head_per_category(health: DataFrame, idx: str = "window_index") -> DataFrame:
-    return _pick(health, ["risk_category"], F.min_by(_row(health), idx))
-
+    return _pick(health, ["risk_category"], F.col(idx), idx)
 
-def _row(df: DataFrame) -> Column:
-    return F.struct(*[F.col(c) for c in df.columns])
 
+def _pick(df: DataFrame, by: Sequence[str], measure: Column, idx: str) -> DataFrame:
+    """Per group the row with the smallest measure, the first of them by ``idx``.
 
-def _pick(df: DataFrame, by: Sequence[str], chosen: Column) -> DataFrame:
-    usable = df.where("cyber_health IS NOT NULL")
-    return usable.groupBy(*by).agg(chosen.alias("_row")).select("_row.*")
+    Keeping whole rows in an aggregation buffer would sort the table. Instead the minimum is found first (a number,
+    hashed and combined map-side), and only rows that reach it are compared as rows.
+    """
+    usable = df.withColumn("_m", measure).where("_m IS NOT NULL")
+    least = usable.groupBy(*by).agg(F.min("_m").alias("_least"))
+    near = (usable.join(least, list(by)) if by else attach(usable, least)).where(F.col("_m") == F.col("_least"))
+    chosen = F.min_by(F.struct(*[F.col(c) for c in df.columns]), idx).alias("_row")
+    return near.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(chosen).select("_row.*")
 
 
 def middle_window(health: DataFrame) -> DataFrame:
@@ -206,9 +213,7 @@ def nearest_to_extreme_median(health: DataFrame, idx: str = "window_index") -> D
 def _nearest(rows: DataFrame, center: DataFrame, by: Sequence[str], idx: str) -> DataFrame:
     # an even count puts two rows at the same distance from its median: compare without the last digits
     distance = F.round(F.abs(F.col("cyber_health") - F.col("_c")), 9)
-    joined = rows.join(F.broadcast(center), list(by)).withColumn("_d", distance)
-    chosen = F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct("_d", idx))
-    return joined.where("_d IS NOT NULL").groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(chosen.alias("_row")).select("_row.*")
+    return _pick(rows.join(F.broadcast(center), list(by)), by, distance, idx).select(*rows.columns)
 
 
 def example_windows(health: DataFrame) -> DataFrame:

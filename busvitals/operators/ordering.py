@@ -13,7 +13,9 @@ that could differ between two evaluations of the same plan):
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,9 +38,11 @@ def _split_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], bloc
     """Per over-long series one row with its sorted split points.
 
     A series is cut only if it exceeds two blocks, so at most total/step series and about total/step split
-    points exist, and step >= total/max_blocks.
+    points exist, and step >= total/max_blocks. A series with a null key is never cut.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # stating the null check lets both uses of the counts share one exchange
+    keyed = df.where(functools.reduce(operator.and_, [F.col(k).isNotNull() for k in keys]))
+    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
     hot = (
         attach(sizes, total)
@@ -133,7 +137,8 @@ def number_rows(
         blocked,
         keys,
         {"_before": F.count(F.lit(1))},
-        {f"_last_{n}": F.max_by(src, F.struct(*order)) for n, src in previous.items()},
+        # the leading sort column ends a block at its maximum; only other columns need the whole sort key
+        {f"_last_{n}": F.max(src) if src == order[0] else F.max_by(src, F.struct(*order)) for n, src in previous.items()},
     )
     inside = Window.partitionBy(*keys, _BLK).orderBy(*order)
     numbered = blocked.join(F.broadcast(carried), [*keys, _BLK], "left").withColumn(

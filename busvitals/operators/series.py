@@ -108,7 +108,7 @@ def region_trends(
 def current_health_snapshot(health: DataFrame, keys: Sequence[str], idx: str, steps: int = 10) -> DataFrame:
     """Last window of a series with its trend and a short forecast (flat below 20 windows), one row per step."""
     columns = ["cyber_health", "threat_component", "stability_component", "pressure_component", "risk_category"]
-    last = health.groupBy(*keys).agg(F.max_by(F.struct(*columns), idx).alias("_last")).select(*keys, "_last.*")
+    last = _with_ends(health, keys, idx).where(F.col("_e") == 0).select(*keys, *columns)
     ahead = forecast(ema_level(health, keys, idx, "cyber_health"), keys, steps)
     joined = last.join(trend_last(health, keys, idx, "cyber_health"), list(keys)).join(ahead, list(keys))
     return joined.withColumn("forecast", F.when(F.col("n") < 20, F.col("cyber_health")).otherwise(F.col("forecast")))

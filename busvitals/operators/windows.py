@@ -107,8 +107,10 @@ def window_index(windows: DataFrame, scope: tuple[str, ...] = ("vehicle_id",)) -
     ``w`` is already dense inside a series, so only the series sizes are summed up, never the rows ordered.
     """
     scope = list(scope)
-    sizes = windows.groupBy("vehicle_id", "capture").agg(F.count(F.lit(1)).alias("_n"), F.min("attack_type").alias("_type"))
-    before = Window.partitionBy(*scope).orderBy(class_ordinal("_type"), "capture", "vehicle_id")
+    sizes = windows.groupBy("vehicle_id", "capture").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(class_ordinal()).alias("_class")
+    )
+    before = Window.partitionBy(*scope).orderBy("_class", "capture", "vehicle_id")
     offsets = sizes.select(
         "vehicle_id",
         "capture",
@@ -121,7 +123,7 @@ def window_index(windows: DataFrame, scope: tuple[str, ...] = ("vehicle_id",)) -
 
 def window_size_comparison(frames: DataFrame, sizes: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
     """Full windows per class and window size; only the frame counts are needed."""
-    counts = frames.groupBy("vehicle_id", "capture").agg(F.count(F.lit(1)).alias("n"), F.min("attack_type").alias("attack_type"))
+    counts = frames.groupBy("vehicle_id", "capture", "attack_type").agg(F.count(F.lit(1)).alias("n"))
     return (
         counts.withColumn("window_size", F.explode(F.array(*[F.lit(s) for s in sizes])))
         .groupBy("window_size", "attack_type")

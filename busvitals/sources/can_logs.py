@@ -18,7 +18,13 @@ def _label(text: Column) -> Column:
     return F.when(up.isin("T", "1"), 1).when(up.isin("R", "0"), 0)
 
 
+def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """Compute columns in one generator row, so that the filters on them do not repeat the parsing."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _split_good(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every column of ``parsed`` decides about validity, so none is computed in vain."""
     ok = (
         F.col("t").isNotNull()
         & F.col("can_id").isNotNull()
@@ -44,14 +50,14 @@ def parse_can_csv(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = F.size("_tok")
     dlc = F.get("_tok", F.lit(2)).try_cast("int")
     body = F.slice("_tok", F.lit(4), F.greatest(F.lit(0), n - 4))
-    parsed = lines.withColumn("_tok", tokens).select(
-        "line_id",
-        "line",
-        F.get("_tok", F.lit(0)).try_cast("double").alias("t"),
-        hex_to_int(F.get("_tok", F.lit(1))).alias("can_id"),
-        dlc.alias("dlc"),
-        F.transform(body, hex_to_int).alias("payload"),
-        _label(F.get("_tok", n - 1)).alias("flag"),
+    parsed = _once(
+        _once(lines, ["line_id", "line"], _tok=tokens),
+        ["line_id", "line"],
+        t=F.get("_tok", F.lit(0)).try_cast("double"),
+        can_id=hex_to_int(F.get("_tok", F.lit(1))),
+        dlc=dlc,
+        payload=F.transform(body, hex_to_int),
+        flag=_label(F.get("_tok", n - 1)),
     )
     return _split_good(parsed)
 
@@ -59,14 +65,14 @@ def parse_can_csv(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_can_txt(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``line`` such as ``Timestamp: 1.5 ID: 0316 DLC: 2 a0 ff Flag: R`` → (frames, corrupt lines)."""
     body = F.regexp_extract("line", r"DLC:\s*\d+((?:\s+[0-9A-Fa-f]{2})*)(?=\s|$)", 1)
-    parsed = lines.select(
-        "line_id",
-        "line",
-        F.regexp_extract("line", r"Timestamp:\s*([0-9.eE+-]+)", 1).try_cast("double").alias("t"),
-        hex_to_int(F.regexp_extract("line", r"ID:\s*([0-9A-Fa-fxX]+)", 1)).alias("can_id"),
-        F.regexp_extract("line", r"DLC:\s*(\d+)", 1).try_cast("int").alias("dlc"),
-        F.transform(F.regexp_extract_all(body, F.lit("([0-9A-Fa-f]{2})"), F.lit(1)), hex_to_int).alias("payload"),
-        _label(F.regexp_extract("line", r"Flag:\s*(\w)", 1)).alias("flag"),
+    parsed = _once(
+        lines,
+        ["line_id", "line"],
+        t=F.regexp_extract("line", r"Timestamp:\s*([0-9.eE+-]+)", 1).try_cast("double"),
+        can_id=hex_to_int(F.regexp_extract("line", r"ID:\s*([0-9A-Fa-fxX]+)", 1)),
+        dlc=F.regexp_extract("line", r"DLC:\s*(\d+)", 1).try_cast("int"),
+        payload=F.transform(F.regexp_extract_all(body, F.lit("([0-9A-Fa-f]{2})"), F.lit(1)), hex_to_int),
+        flag=_label(F.regexp_extract("line", r"Flag:\s*(\w)", 1)),
     )
     return _split_good(parsed)
 

@@ -41,8 +41,13 @@ def frames_from_events(events: DataFrame, vehicle_id: Column | None = None) -> D
     for name, fixed in INJECTED_ID.items():
         can_id = F.when(injected & (label == name), F.lit(fixed)).otherwise(can_id)
 
+    # two 32-bit halves of the digest as numbers; the bytes are cut out of them by shifting
     digest = F.md5(F.col("event_id").cast("string").cast("binary"))
-    payload = F.array(*[F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") for i in range(8)])
+    halves = [F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint") for start in (1, 9)]
+    events = events.withColumns({"_high": halves[0], "_low": halves[1]})
+    payload = F.array(*[
+        F.shiftright(F.col(half), shift).bitwiseAND(255).cast("int") for half in ("_high", "_low") for shift in (24, 16, 8, 0)
+    ])
     for name, (first, step) in INJECTED_BYTE.items():
         fixed_bytes = F.array(*[F.lit(first + step * i) for i in range(8)])
         payload = F.when(injected & (label == name), fixed_bytes).otherwise(payload)
