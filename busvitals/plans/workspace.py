@@ -31,7 +31,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
         self.root = fresh_path(spark, "tables")
-        self._engineered = self._windows = self._model = self._scored = None
+        self._engineered = self._windows = self._model = self._scored = self._health = None
         self._baselines: dict[int, DataFrame] = {}
 
     def frames(self) -> DataFrame:
@@ -75,8 +75,10 @@ class Workspace:
         return health_score(self.scored(), self.baseline(0), digits=2)
 
     def service_health(self) -> DataFrame:
-        """Health as the service and the explanations use it: unrounded, sample deviations."""
-        return health_score(self.scored(), self.baseline(1))
+        """Health as the service and the explanations use it: unrounded, sample deviations. Stored, read by most questions."""
+        if self._health is None:
+            self._health = stored(health_score(self.scored(), self.baseline(1)), "health")
+        return self._health
 
     def trended(self) -> DataFrame:
         return trend_at_window(self.service_health(), ["vehicle_id"], "window_index", "cyber_health")

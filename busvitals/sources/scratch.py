@@ -15,14 +15,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local-mode session without the setting (tests) gets a folder of its own.
     """
-    configured = spark.conf.get(CONF, None)
+    configured = spark.conf.get(CONF, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CONF} to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="busvitals-")
-    spark.conf.set(CONF, made)
-    return made
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="busvitals-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
