@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4_000_000  # rows aimed at in one ordered block
+BLOCK_ROWS = 2_000_000  # rows aimed at in one ordered block
 MAX_BLOCKS = 20_000  # bound on split points, and so on every table broadcast here
 
 _ALL = "_all"
