@@ -42,7 +42,8 @@ def response_confidence(category: Column, health: Column, attributions: Column)
         F.size(attributions), F.lit(1)
     )
     raw = 0.3 * loss + 0.3 * (1.0 - health / 100.0) + 0.4 * category_index(category) / (len(fv.CATEGORIES) - 1)
-    return F.bround(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 4)
+    # rounded as a decimal, so that exact halves are not decided by noise in the last binary digits
+    return F.bround(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)).cast("decimal(18,9)"), 4).cast("double")
 
 
 def playbook_actions(spark: SparkSession) -> DataFrame:

@@ -275,8 +275,8 @@ LEVEL = (
     "WHEN risk_category = 'Warning' THEN 1 ELSE 0 END"
 )
 CONFIDENCE = (
-    "round_even(least(greatest(3e-1 * mean_loss + 3e-1 * (1 - {h} / 100) + 4e-1 * (CASE risk_category WHEN 'Secure' THEN 0 "
-    "WHEN 'Stable' THEN 1 WHEN 'Warning' THEN 2 WHEN 'High Risk' THEN 3 WHEN 'Critical' THEN 4 ELSE 2 END) / 4e0, 0), 1), 4)"
+    "CAST(round_even(CAST(least(greatest(3e-1 * mean_loss + 3e-1 * (1 - {h} / 100) + 4e-1 * (CASE risk_category WHEN 'Secure' THEN 0 "
+    "WHEN 'Stable' THEN 1 WHEN 'Warning' THEN 2 WHEN 'High Risk' THEN 3 WHEN 'Critical' THEN 4 ELSE 2 END) / 4e0, 0), 1) AS DECIMAL(18, 9)), 4) AS DOUBLE)"
 )
 PLAYBOOK = f"""playbook AS ({values([(*p, i) for i, p in enumerate(fv.PLAYBOOK)], 'pb_type, action_level, id, name, description, target, execution_time_ms, automated, reversible, side_effects, ord')}),
 levels_dim AS ({values(fv.LEVELS, 'response_level, level_label, outcome, recovery, safety')})"""
