@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from busvitals.llm.packing import pack
 from busvitals.llm.quality_rules import quality_rules
 from busvitals.llm.text import table
 
@@ -30,3 +31,12 @@ def query(name: str, sql: str | None = None):
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's base counts and the verdict of the compression bands."""
     return quality_rules(table(spark, folder, "documents"))
+
+
+@query("op7_concatenate_and_cut")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document in sequences of 1024 tokens."""
+    pieces = pack(table(spark, folder, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
