@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from busvitals.llm.mixing import mix
 from busvitals.llm.packing import pack
 from busvitals.llm.quality_rules import quality_rules
 from busvitals.llm.text import table
@@ -40,3 +41,49 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents
+), stats AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS cap FROM stats
+), levels AS (
+  SELECT a.*, (SELECT sum(source_size) FROM stats)
+      - coalesce((SELECT sum(b.cap) FROM weighed b WHERE b.cap * a.weight <= a.cap * b.weight
+          AND (b.cap * a.weight < a.cap * b.weight OR coalesce(b.source, chr(1114111)) < coalesce(a.source, chr(1114111)))), 0) AS rest,
+    (SELECT sum(weight) FROM weighed)
+      - coalesce((SELECT sum(b.weight) FROM weighed b WHERE b.cap * a.weight <= a.cap * b.weight
+          AND (b.cap * a.weight < a.cap * b.weight OR coalesce(b.source, chr(1114111)) < coalesce(a.source, chr(1114111)))), 0) AS among
+  FROM weighed a
+), level AS (
+  SELECT arg_min(rest, cap / weight) AS rest, arg_min(among, cap / weight) AS among FROM levels WHERE cap * among > rest * weight
+), plan AS (
+  SELECT w.*, w.cap * l.among > l.rest * w.weight AS is_open,
+    CASE WHEN w.cap * l.among > l.rest * w.weight THEN l.rest::DOUBLE * w.weight / l.among ELSE w.cap::DOUBLE END AS target,
+    CASE WHEN w.source_size = 0 THEN 0 WHEN w.cap * l.among > l.rest * w.weight
+      THEN (l.rest::HUGEINT * w.weight * 1000000000000) // (l.among::HUGEINT * w.source_size) ELSE 3000000000000 END AS expected,
+    greatest(1, ceil(w.n_docs / greatest(2000.0, 10 * sqrt(w.n_docs))))::BIGINT AS blocks,
+    (('0x' || substr(md5('mix|' || coalesce(w.source, chr(0))), 1, 8))::BIGINT * 232) % 1000000000000 AS shift
+  FROM weighed w, level l
+), placed AS (
+  SELECT d.doc_id, d.size, p.*, ('0x' || substr(md5('mix|' || coalesce(d.doc_id, -1)), 1, 8))::BIGINT % p.blocks AS block
+  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+), summed AS (
+  SELECT *, shift + sum(expected) OVER (PARTITION BY source ORDER BY block, CASE WHEN block % 2 = 0 THEN size ELSE -size END,
+    coalesce(doc_id, -1) ROWS UNBOUNDED PRECEDING) AS upto FROM placed
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (size * (upto // 1000000000000 - (upto - expected) // 1000000000000))::BIGINT AS taken
+FROM summed
+"""
+
+
+@query("op8_systematic_mix", MIX_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mix takes of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mix(docs).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
