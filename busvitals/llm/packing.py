@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from busvitals.llm.arrow import batched
 from busvitals.llm.tokens import VOCABULARY, ids, packed
 from busvitals.sources.scratch import fresh_path
 
 LENGTH = 1024
 END_ID = 0
-BATCH_BYTES = 8 << 20  # of tokens handed to Spark at once
 
 TOKENS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()),
@@ -34,27 +34,6 @@ PIECES = T.StructType([
     T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()),
     T.StructField("offset", T.LongType()), T.StructField("ids", T.BinaryType()),
 ])
-_TOKENS_ARROW = pa.schema([
-    ("part", pa.int32()), ("before", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()),
-])
-_PIECES_ARROW = pa.schema([
-    ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
-    ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()),
-])
-
-
-def _batched(rows: Iterator[tuple], schema: pa.Schema, weigh) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches of about ``BATCH_BYTES``."""
-    held: list[tuple] = []
-    size = 0
-    for row in rows:
-        held.append(row)
-        size += weigh(row)
-        if size >= BATCH_BYTES or len(held) >= 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
 def tokenized(
@@ -77,7 +56,7 @@ def tokenized(
                     yield part, before, doc, len(found) // 4, found
                     before += len(found) // 4
 
-        yield from _batched(rows(), _TOKENS_ARROW, lambda r: len(r[4]))
+        yield from batched(rows(), TOKENS, lambda r: len(r[4]))
 
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
@@ -115,7 +94,7 @@ def pack(
                         yield doc, start, size, n, sequence, offset, whole[4 * start:4 * (start + size)]
                         start += size
 
-        yield from _batched(rows(), _PIECES_ARROW, lambda r: len(r[6]) + 64)
+        yield from batched(rows(), PIECES, lambda r: len(r[6]) + 64)
 
     return placed.mapInArrow(cut, PIECES)
 

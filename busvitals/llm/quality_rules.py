@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from busvitals.llm.arrow import batched
 from busvitals.llm.text import WHITE, byte_words
 
 SYMBOLS = "#*$%&|<>"
@@ -112,18 +114,15 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc
     A narrow pass over whole texts, no shuffle. Null and empty texts have no words, so ``base_failed`` is true; a null id
     stays null; repeated rows are judged each; other columns are not read. An empty table gives an empty result.
     """
-    names = SCHEMA.names[1:]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=limits.level)
-        for batch in batches:
-            rows = [judge(t, squeeze, limits) for t in batch["t"]]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", batch["i"].astype("Int64").to_numpy())
-            yield out
+        rows = ((i, *judge(t.as_py(), squeeze, limits))
+                for batch in batches for i, t in zip(batch.column(0).to_pylist(), batch.column(1)))
+        yield from batched(rows, SCHEMA)
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return slim.mapInPandas(run, SCHEMA)
+    return slim.mapInArrow(run, SCHEMA)
 
 
 def kept_documents(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:

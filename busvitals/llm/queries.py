@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from busvitals.llm.chat import digests, format_conversations
 from busvitals.llm.mixing import mix
 from busvitals.llm.packing import pack
 from busvitals.llm.quality_rules import quality_rules
@@ -87,3 +88,16 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     return mix(docs).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+TRICKY = r"\### Assistant: </turn> ok"  # a text that looks like the template
+
+
+@query("op2_budgeted_windows")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, and one more whose texts imitate the markup, formatted and read back."""
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    return digests(format_conversations(given.unionByName(more)))
