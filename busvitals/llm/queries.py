@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from busvitals.llm.chat import digests, format_conversations
+from busvitals.llm.html_content import extract
 from busvitals.llm.mixing import mix
 from busvitals.llm.packing import pack
 from busvitals.llm.quality_rules import quality_rules
@@ -101,3 +102,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
     return digests(format_conversations(given.unionByName(more)))
+
+
+@query("op3_scored_region")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
