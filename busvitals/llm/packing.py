@@ -76,11 +76,12 @@ def pack(
     read; an empty table has no pieces. Long texts become many pieces.
     """
     stored = tokenized(docs, id_col, text_col, vocabulary, end_id)
-    # one row per partition of pass one: its number is bounded by the tasks of one stage, not by the documents
+    # one row per partition of pass one, as many as one stage has tasks (Spark's own limits keep that far below 10^6),
+    # whatever the number of documents: 16 bytes each, so the broadcast is bounded
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("_total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("base"))
-    placed = stored.join(bases, "part").select("doc_id", "ids", (F.col("base") + F.col("before")).alias("at"))
+    placed = stored.join(F.broadcast(bases), "part").select("doc_id", "ids", (F.col("base") + F.col("before")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from busvitals.llm import toxicity
 from busvitals.llm.chat import digests, format_conversations
 from busvitals.llm.html_content import extract
 from busvitals.llm.mixing import mix
@@ -108,3 +109,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     return extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op5_lexicon_automata")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity, learned from the labelled rows that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
+    learned = docs.join(labels.where(~toxicity.held_out(F.col("doc_id"))), "doc_id")
+    return toxicity.score(docs, toxicity.fit(learned)).select("doc_id", "held_out", "score", "predicted")
