@@ -71,15 +71,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_co
 
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int = MOST_COPIES, id_col: str = "doc_id",
-    source_col: str = "source", text_col: str = "text", seed: str = SEED, block_rows: int = BLOCK_ROWS,
+    source_col: str = "source", text_col: str = "text", size_col: str | None = None, seed: str = SEED,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The input rows, with ``size`` (words), ``source_size``, ``target`` and ``copies`` (0 to ``most_copies``) added.
 
-    An input column of such a name is replaced. Null and empty texts have size 0; a null source is a source of its own, the
+    Sizes are counted from ``text_col``, or taken from ``size_col``. An input column of such a name is replaced. Null and empty texts have size 0; a null source is a source of its own, the
     last; a null id counts as -1 in the order; repeated rows are sampled each, and equal rows may swap their copies; an empty
     table stays empty. Reruns agree, as offsets and blocks come from hashes.
     """
-    sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col(text_col)))
+    size = word_count(F.col(text_col)) if size_col is None else F.col(size_col).cast("bigint")
+    sized = docs.withColumn("size", size).drop("source_size", "target", "copies")
     slim_source = F.col(source_col)
     stats = sized.groupBy(slim_source.alias("source")).agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))

@@ -13,7 +13,8 @@ from busvitals.llm.html_content import extract
 from busvitals.llm.mixing import mix
 from busvitals.llm.packing import pack
 from busvitals.llm.quality_rules import quality_rules
-from busvitals.llm.text import table
+from busvitals.llm.text import table, word_count
+from busvitals.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -87,8 +88,8 @@ FROM summed
 @query("op8_systematic_mix", MIX_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """What the mix takes of every document."""
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return mix(docs).select(
+    docs = table(spark, folder, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix(stored(docs, "sizes"), size_col="size").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
