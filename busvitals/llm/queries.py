@@ -13,6 +13,7 @@ from busvitals.llm.html_content import extract
 from busvitals.llm.mixing import mix
 from busvitals.llm.packing import pack
 from busvitals.llm.quality_rules import quality_rules
+from busvitals.llm.simhash import near_duplicates
 from busvitals.llm.text import table, word_count
 from busvitals.sources.scratch import stored
 
@@ -119,3 +120,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
     learned = docs.join(labels.where(~toxicity.held_out(F.col("doc_id"))), "doc_id")
     return toxicity.score(docs, toxicity.fit(learned)).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op6_simhash_bk_trees")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate component."""
+    return near_duplicates(table(spark, folder, "documents"))
