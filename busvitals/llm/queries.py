@@ -14,6 +14,7 @@ from busvitals.llm.mixing import mix
 from busvitals.llm.packing import pack
 from busvitals.llm.quality_rules import quality_rules
 from busvitals.llm.simhash import near_duplicates
+from busvitals.llm.suffix_dedup import repeated_passages
 from busvitals.llm.text import table, word_count
 from busvitals.sources.scratch import stored
 
@@ -126,3 +127,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op1_interval_expansion")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without its repeated passages."""
+    return repeated_passages(table(spark, folder, "documents")).drop("spans")
