@@ -7,7 +7,7 @@ stretch, elements that are never article text (menus, forms, adverts, comments .
 Labelled pages are those whose author marked the main text with ``article`` or ``main``: what lies inside is content,
 everything else is not. A word's weight is the log-odds of content for the block element it stands in (apart for
 links), a tag's the log-odds of its name, kept below zero. The fit uses a bounded number of labelled pages
-(``FIT_PAGES``, those of the smallest hash); the weights then go to every page.
+(about ``FIT_PAGES``, chosen by hash); the weights then go to every page.
 """
 
 from __future__ import annotations
@@ -166,7 +166,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
 
 
 def fit_weights(pages: DataFrame, html_col: str = "html", most_pages: int = FIT_PAGES) -> dict[str, float]:
-    """Weights of words and tags from at most ``most_pages`` labelled pages; empty (defaults apply) if there are none.
+    """Weights of words and tags from about ``most_pages`` labelled pages, or fewer; empty (defaults apply) if there are none.
 
     What comes to the driver is one row per kind of token, of which there are as many as block and tag names.
     """
@@ -180,8 +180,9 @@ def fit_weights(pages: DataFrame, html_col: str = "html", most_pages: int = FIT_
         known = [k for k in kinds if k.split(":")[1].split("+")[0].split(".")[0] in BLOCKS | {"", "a", "b", "i", "em", "strong", "span", "img"}]
         yield from batched(((k, total[k, True], total[k, False]) for k in sorted(known)), COUNTS)
 
-    marked = pages.where(F.lower(html_col).rlike("<(article|main)[ >]")).select(html_col)
-    fit = marked.orderBy(F.xxhash64(html_col), html_col).limit(most_pages)
+    total = pages.count()  # from the files' own counts
+    marked = pages.select(html_col).where(F.lower(html_col).rlike("<(article|main)[ >]"))
+    fit = marked.where(F.pmod(F.xxhash64(html_col), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * most_pages / max(total, 1))))
     rows = fit.mapInArrow(count, COUNTS).groupBy("token").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()
     weights = {}
     for kind in ("w", "t"):
