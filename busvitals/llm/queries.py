@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from busvitals.llm import toxicity
 from busvitals.llm.chat import digests, format_conversations
 from busvitals.llm.html_content import extract
+from busvitals.llm.kneser_ney import quality
 from busvitals.llm.mixing import mix
 from busvitals.llm.packing import pack
 from busvitals.llm.quality_rules import quality_rules
@@ -133,3 +134,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without its repeated passages."""
     return repeated_passages(table(spark, folder, "documents")).drop("spans")
+
+
+@query("op10_kneser_ney")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's perplexity under a model of the documents labelled good, and whether it passes its language's limit."""
+    trusted = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return quality(table(spark, folder, "documents"), trusted)
