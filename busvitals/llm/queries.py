@@ -11,6 +11,7 @@ from busvitals.llm import toxicity
 from busvitals.llm.chat import digests, format_conversations
 from busvitals.llm.html_content import extract
 from busvitals.llm.kneser_ney import quality
+from busvitals.llm.lsh_forest import search
 from busvitals.llm.mixing import mix
 from busvitals.llm.packing import pack
 from busvitals.llm.quality_rules import quality_rules
@@ -141,3 +142,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's perplexity under a model of the documents labelled good, and whether it passes its language's limit."""
     trusted = table(spark, folder, "labels").where("quality = 1").select("doc_id")
     return quality(table(spark, folder, "documents"), trusted)
+
+
+@query("op4_prefix_forest")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest found to every fiftieth vector."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
