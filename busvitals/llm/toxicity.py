@@ -78,9 +78,10 @@ class Trie:
             node = node.next.setdefault(c, Trie())
         node.term, node.stem = term, stem
 
-    def nearest(self, word: str) -> tuple[str, int] | None:
-        """The term nearest to a word and the edits between, if not more than allowed; the longer term on ties."""
-        most, full = edits_allowed(len(word) + 1), 1 << len(word)
+    def nearest(self, word: str, most: int) -> tuple[str, int] | None:
+        """The term nearest to a word and the edits between, at most ``most`` and what the term allows; the longer term on
+        ties."""
+        full = 1 << len(word)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 2 << i
@@ -112,6 +113,36 @@ class Trie:
         return (best[2], best[0]) if best else None
 
 
+class Sieve:
+    """Tells most words apart from the lexicon before the automaton runs.
+
+    A term that may differ by d edits is cut into d + 1 pieces. An edit spoils one piece, or, where it swaps the letters at a
+    cut, makes the swapped pair appear; so a word within d edits holds a piece or a swapped pair, at most d letters off its
+    place. Nothing within reach is ever sifted out.
+    """
+
+    def __init__(self, terms: list[tuple[str, bool]]) -> None:
+        self.pieces: dict[str, list[tuple[int, int, int, int, int]]] = {}
+        for term, stem in terms:
+            n, d = len(term), edits_allowed(len(term))
+            cuts = [n * k // (d + 1) for k in range(d + 2)]
+            parts = [(a, term[a:b]) for a, b in zip(cuts, cuts[1:])]
+            parts += [(c - 1, term[c] + term[c - 1]) for c in cuts[1:-1]]
+            for at, piece in parts:
+                self.pieces.setdefault(piece, []).append((at - d, at + d, n - d, 1 << 30 if stem else n + d, d))
+        self.sizes = sorted({len(p) for p in self.pieces})
+
+    def edits(self, word: str) -> int:
+        """Most edits to look for in a word; -1 if no term can be near it."""
+        most, n, pieces = -1, len(word), self.pieces
+        for size in self.sizes:
+            for k in range(n - size + 1):
+                for low, high, short, long, d in pieces.get(word[k:k + size], ()):
+                    if d > most and low <= k <= high and short <= n <= long:
+                        most = d
+        return most
+
+
 @dataclass
 class Model:
     """What is learned: a bounded lexicon and a few numbers."""
@@ -121,10 +152,19 @@ class Model:
     context: dict[str, float] = field(default_factory=dict)
     bias: tuple[float, ...] = (-4.0, 1.0, 0.0, 0.0)
     _trie: Trie | None = None
+    _sieve: Sieve | None = None
     _cache: dict[str, tuple[str, int] | None] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_trie": None, "_cache": {}}
+        return {**self.__dict__, "_trie": None, "_sieve": None, "_cache": {}}
+
+    def nearest(self, word: str) -> tuple[str, int] | None:
+        if self._trie is None or self._sieve is None:
+            self._trie, self._sieve = Trie(), Sieve(self.terms)
+            for term, stem in self.terms:
+                self._trie.add(term, stem)
+        most = self._sieve.edits(word)
+        return None if most < 0 else self._trie.nearest(word, most)
 
     def look_up(self, raw: str) -> tuple[str, int] | None:
         """The find of one word as it stands in a text, punctuation and all."""
@@ -133,15 +173,11 @@ class Model:
             return cache[raw]
         if len(cache) >= CACHE_WORDS:
             cache.clear()
-        if self._trie is None:
-            self._trie = Trie()
-            for term, stem in self.terms:
-                self._trie.add(term, stem)
         whole = _EDGES.sub("", raw)
-        found = self._trie.nearest(whole) if whole else None
-        if found is None or found[1]:
+        found = self.nearest(whole)
+        if (found is None or found[1]) and not whole.isalnum():
             for part in _PARTS.findall(whole):
-                if part != whole and (other := self._trie.nearest(part)) and (found is None or other[1] < found[1]):
+                if (other := self.nearest(part)) and (found is None or other[1] < found[1]):
                     found = other
         cache[raw] = found
         return found
