@@ -14,12 +14,13 @@ contracted to components by alternating large and small stars; only distinct fin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,13 +36,17 @@ SHARD_ROWS = 2_000  # a larger shard is split by more bits
 LEVELS = 4
 PART = 1 << 16  # shingles hashed at a time, so that a long text needs little memory
 
+#: Odd multipliers of the further lanes, the golden ratio's and another, as 64-bit numbers.
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
 PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("print", T.LongType())])
 SHARDS = T.StructType([T.StructField("shard", T.StringType()), T.StructField("print", T.LongType())])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash of the lower-cased (A-Z) words' shingles; fewer words are one shingle, none give 0."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> int:
+    """Unsigned SimHash of 64 bits per lane of the lower-cased (A-Z) words' shingles; fewer words are one shingle, none give
+    0. The first lane is XXH64 itself, further ones are mixed from it."""
     words = byte_words(text)
     if not words:
         return 0
@@ -50,11 +55,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate(([0], ends[:-1] + 1))[:n]
     stops = ends[len(words) - n:]
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((lanes, BITS), np.int64)
     digest = xxhash.xxh64_intdigest
     for k in range(0, n, PART):
-        h = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[k:k + PART].tolist(), stops[k:k + PART].tolist())), ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        h = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[k:k + PART].tolist(), stops[k:k + PART].tolist())), np.uint64)
+        for lane in range(lanes):
+            if lane:
+                h = (h ^ (h >> np.uint64(31))) * _MIX[0]
+                h = (h ^ (h >> np.uint64(29))) * _MIX[1]
+            ones[lane] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -79,21 +88,20 @@ class BKTree:
         self.value: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def within(self, number: int, radius: int) -> list[int]:
-        """Positions of the members within the radius."""
-        found, todo = [], [0] if self.value else []
+    def within(self, number: int, radius: int) -> Iterator[int]:
+        """Positions of the members within the radius, one by one."""
+        todo = [0] if self.value else []
         value, children = self.value, self.children
         while todo:
             at = todo.pop()
             far = (value[at] ^ number).bit_count()
             if far <= radius:
-                found.append(at)
+                yield at
             own = children[at]
             if own:
-                todo += [own[d] for d in range(max(far - radius, 0), far + radius + 1) if d in own]
-        return found
+                todo += [child for d, child in own.items() if far - radius <= d <= far + radius]
 
-    def add(self, number: int) -> int:
+    def add(self, number: int) -> None:
         new, at = len(self.value), 0
         self.value.append(number)
         self.children.append({})
@@ -103,28 +111,38 @@ class BKTree:
                 self.children[at][far] = new
                 break
             at = self.children[at][far]
-        return new
 
 
 def shard_links(numbers: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """(number, smallest of its group) for the groups that numbers within the radius of each other form."""
-    tree, root = BKTree(), []
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = k = root[root[k]]
-        return k
+    """(number, smallest of its group) for the groups that numbers within the radius of each other form.
 
+    Numbers without a partner so far share one tree; every group has a tree of its own, of which one hit is enough. So a large
+    cluster of near copies costs a few steps per member, not a comparison with every other.
+    """
+    loners, alive = BKTree(), []
+    groups: list[BKTree] = []
     for number in sorted(numbers):
-        near = tree.within(number, radius)
-        at = tree.add(number)
-        root.append(at)
-        for k in near:
-            a, b = sorted((top(k), top(at)))
-            root[b] = a  # positions are in the order of the numbers, so the first is the smallest
-    for k, number in enumerate(tree.value):
-        if top(k) != k:
-            yield number, tree.value[top(k)]
+        single = [k for k in loners.within(number, radius) if alive[k]]
+        joined = [g for g in groups if next(g.within(number, radius), None) is not None]
+        if not single and not joined:
+            loners.add(number)
+            alive.append(True)
+            continue
+        joined.sort(key=lambda g: -len(g.value))
+        home = joined[0] if joined else BKTree()
+        if not joined:
+            groups.append(home)
+        for g in joined[1:]:
+            for member in g.value:
+                home.add(member)
+            groups.remove(g)
+        for k in single:
+            alive[k] = False
+            home.add(loners.value[k])
+        home.add(number)
+    for g in groups:
+        least = min(g.value)
+        yield from ((member, least) for member in g.value if member != least)
 
 
 def _sharded(rows: DataFrame, radius: int, level: int) -> DataFrame:
@@ -223,3 +241,88 @@ def near_duplicates(
     # the side of the documents may be skewed (equal texts have equal fingerprints); Spark splits it at run time
     return own.join(named, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+LANES = 4
+SIMILAR_RADIUS = 42  # of 256 bits: shingle sets that share 0.8 of their union differ in 39 on average
+KEY_BITS = 12  # per table, for up to 2 ** 18 fingerprints; more for more
+MISS = 0.03  # greatest chance that no table holds a pair at the radius of similarity 0.8
+SIMILAR_SHINGLE = 5
+_AGREE = 1 - 39 / 256  # chance that such a pair agrees in a bit
+
+WIDE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("text_hash", T.LongType())])
+TABLES = T.StructType([T.StructField("shard", T.LongType()), T.StructField("node", T.LongType()), T.StructField("wide", T.BinaryType())])
+
+
+def _table_bits(prints: int) -> tuple[int, int]:
+    """Bits of a table's key and number of tables for so many fingerprints: shards stay small, the chance to miss stays."""
+    bits = max(KEY_BITS, math.ceil(math.log2(max(1, prints))) - 6)
+    return bits, math.ceil(math.log(1 / MISS) / _AGREE**bits)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Fingerprints (``doc_id``, ``wide``, ``text_hash``) of 256 bits over 5-word shingles, and ``wide`` -> ``root`` for all.
+
+    For texts of similarity 0.8 or more the radius is far too wide for shards by agreeing blocks, so shards are tables of
+    randomly chosen bits; a pair misses all of them with a chance below ``MISS``, and rarer still as groups are connected over
+    any of their members.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((i, fingerprint(t.as_py(), SIMILAR_SHINGLE, SEED, LANES).to_bytes(LANES * 8, "big"), x)
+                for b in batches for i, t, x in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()))
+        yield from batched(rows, WIDE)
+
+    text = F.col(text_col).cast("string")
+    own = stored(docs.select(F.col(id_col).cast("bigint").alias("i"), text.alias("t"), F.xxhash64(text).alias("x")).mapInArrow(run, WIDE), "wide")
+    distinct = stored(own.select("wide").distinct().select(F.xxhash64("wide").alias("node"), "wide"), "distinct-wide")
+    bits, tables = _table_bits(distinct.count())
+    chosen = np.random.Generator(np.random.PCG64(SEED)).random((tables, LANES * BITS)).argsort(1)[:, :bits]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            wide = batch.column(1).to_pylist()
+            set_bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1), axis=1)
+            for k, own_bits in enumerate(chosen):
+                shard = (set_bits[:, own_bits] * weights).sum(1) * tables + k
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0), batch.column(1)], names=["shard", "node", "wide"])
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(members: dict[int, int]) -> Iterator[tuple[int, int]]:
+            if len(members) > 1:
+                yield from ((members[a], members[b]) for a, b in shard_links(list(members), SIMILAR_RADIUS))
+
+        def rows() -> Iterator[tuple[int, int]]:
+            shard, members = None, {}
+            for batch in batches:
+                for s, node, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    if s != shard:
+                        yield from linked(members)
+                        shard, members = s, {}
+                    members[int.from_bytes(wide, "big")] = node
+            yield from linked(members)
+
+        yield from batched(rows(), LINKS)
+
+    found = distinct.mapInArrow(keys, TABLES).repartition("shard").sortWithinPartitions("shard").mapInArrow(trees, LINKS)
+    joined = components(found)
+    roots = distinct.join(joined, F.col("node") == F.col("a"), "left").select("wide", F.coalesce("b", "node").alias("root"))
+    return own, roots
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows, all columns, one of each group of near-duplicates: that of the smallest id (null last), of the smallest
+    text hash where ids are equal. Texts without words are one group. A table without copies stays as it is."""
+    own, roots = similar_groups(docs, id_col, text_col)
+    roots = stored(roots, "roots")
+    last = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    best = own.join(roots, "wide").groupBy("root").agg(F.min(last).alias("m")).select(
+        F.col("m.doc_id").alias("_id"), F.col("m.text_hash").alias("_hash"))
+    best = stored(best, "kept")
+    key = F.col(id_col).cast("bigint")
+    joined = docs.withColumn("_k", key).withColumn("_h", F.xxhash64(F.col(text_col).cast("string"))).join(
+        best, F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    # equal rows: one of them; the join has dealt and sorted the rows by these columns already
+    first = F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_k"))
+    return joined.withColumn("_r", first).where("_r = 1").select(*[F.col(c) for c in docs.columns])

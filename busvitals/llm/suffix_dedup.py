@@ -33,6 +33,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from busvitals.llm.arrow import batched
+from busvitals.llm.text import own_name
 from busvitals.sources.scratch import stored
 
 LENGTH = 50
@@ -387,14 +389,13 @@ def _results(docs: DataFrame, length: int, id_col: str, text_col: str, hot_rows:
 
         yield from batched(rows(), RUNS)
 
-    # the texts' exchange is the same in both joins, so Spark shuffles them once
-    if rewrite:
-        texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.struct("*").alias("row"))
-    else:
-        texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.col(id_col).cast("bigint").alias("doc_id"))
+    # the same columns go into both joins, so Spark shuffles the texts once and uses that exchange twice
+    other = [c for c in docs.columns if c != text_col] if rewrite else [id_col]
+    rest = F.struct(*[F.col(c) for c in other], F.col(text_col).isNull().alias(own_name(docs, "_null")))
+    texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), rest.alias("rest"))
     places = shared.where(F.col("key").isNotNull()).groupBy("key").agg(F.collect_list("at").alias("places"))
     runs = (
-        texts.join(places, "key").drop("row", "doc_id").mapInArrow(contexts, BLOCKS)
+        texts.join(places, "key").mapInArrow(contexts, BLOCKS)
         .repartition("part").sortWithinPartitions("part").mapInArrow(expand, RUNS)
     )
     by_doc = runs.groupBy("key").agg(F.collect_list(F.struct("tag", "a", "b")).alias("runs"))
@@ -406,28 +407,25 @@ def _results(docs: DataFrame, length: int, id_col: str, text_col: str, hot_rows:
 
     if rewrite:
         @F.pandas_udf("string")
-        def kept_text(texts_, runs_):
-            import pandas as pd
-
+        def kept_text(texts_: pd.Series, runs_: pd.Series) -> pd.Series:
             out = []
             for text, own in zip(texts_, runs_):
                 spans = spans_of(text, None if own is None else list(own))
                 out.append(_cut(text, spans).decode("utf-8", "ignore") if spans else text.decode("utf-8"))
             return pd.Series(out)
 
-        cut = both.withColumn("cut", kept_text("text", "runs"))
-        names = docs.columns
-        return cut.select(*[
-            F.when(F.col("row")[n].isNotNull(), F.col("cut")).alias(n) if n == text_col else F.col("row")[n].alias(n) for n in names])
+        null = F.col("rest")[own_name(docs, "_null")]
+        cut = both.withColumn("cut", F.when(~null, kept_text("text", "runs")))
+        return cut.select(*[F.col("cut").alias(n) if n == text_col else F.col("rest")[n].alias(n) for n in docs.columns])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                cols = [batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "text", "runs")]
-                for doc, text, own in zip(*cols):
+                cols = [batch.column(batch.schema.get_field_index(n)) for n in ("rest", "text", "runs")]
+                for doc, text, own in zip(cols[0].field(0).to_pylist(), *cols[1:]):
                     text = text.as_py()
                     spans = spans_of(text, own.as_py())
-                    yield (doc.as_py(), len(text), sum(b - a for a, b in spans), len(spans),
+                    yield (doc, len(text), sum(b - a for a, b in spans), len(spans),
                            hashlib.sha256(_cut(text, spans)).hexdigest(), [list(s) for s in spans])
 
         yield from batched(rows(), KEPT, lambda r: 128 + 32 * r[3])
