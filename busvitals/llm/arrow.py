@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -29,3 +30,16 @@ def batched(rows: Iterable[tuple], schema: T.StructType, weigh: Callable[[tuple]
             held, size = [], 0
     if held:
         yield made()
+
+
+def portions(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts in ``column`` have about ``most_bytes`` each (at least one row)."""
+    texts = batch.column(batch.schema.get_field_index(column))
+    begin = size = 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + (n or 0) > most_bytes:
+            yield batch.slice(begin, k - begin)
+            begin, size = k, 0
+        size += n or 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)

@@ -40,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from busvitals.llm.arrow import batched
+from busvitals.llm.arrow import batched, portions
 from busvitals.llm.text import own_name
 from busvitals.sources.scratch import stored
 
 LENGTH = 50
 ANCHOR = 16
 SHARD_BYTES = 4 << 20
+PORTION_BYTES = 6 << 20  # of texts that a task works on at a time
+PIECE = 1 << 20  # strings of a long text whose anchors are sought at a time
 HOT_ROWS = 5_000  # occurrences from which an anchor's strings are dealt one by one
 MOST_HOT = 1_000_000  # such anchors at most: the bound on what the driver gets and sends (8 bytes each)
 START = 8  # bytes of the first intervals, sorted as one number
@@ -140,10 +142,12 @@ def anchor_blocks(keys: list[int], texts: list[bytes], length: int, bits: int) -
     found = []
     for key, text in zip(keys, texts):
         if len(text) >= length:
-            h, first, n, off = anchors(np.frombuffer(text, np.uint8), length)
             tag = zlib.crc32(text) & (1 << _TAG_BITS) - 1
-            at = ((first.astype(np.int64) << _N_BITS | n) << _OFF_BITS | off) << _TAG_BITS | tag
-            found.append((h, np.full(len(h), key, np.int64), at))
+            raw = np.frombuffer(text, np.uint8)
+            for begin in range(0, len(text) - length + 1, PIECE):
+                h, first, n, off = anchors(raw[begin:begin + PIECE + length - 1], length)
+                at = ((first.astype(np.int64) + begin << _N_BITS | n) << _OFF_BITS | off) << _TAG_BITS | tag
+                found.append((h, np.full(len(h), key, np.int64), at))
     if not found:
         return
     h, key, at = (np.concatenate(x) for x in zip(*found))
@@ -356,7 +360,7 @@ def _results(docs: DataFrame, length: int, id_col: str, text_col: str, hot_rows:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in portions(whole, "text", PORTION_BYTES)):
                 yield from anchor_blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length, bits)
 
         yield from batched(rows(), BLOCKS, lambda r: len(r[2]))
@@ -371,7 +375,7 @@ def _results(docs: DataFrame, length: int, id_col: str, text_col: str, hot_rows:
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in portions(whole, "text", PORTION_BYTES)):
                 cols = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("key", "text", "places")]
                 yield from context_blocks(*cols, hot, length, bits)
 
