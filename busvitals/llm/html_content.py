@@ -54,6 +54,8 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 WORD_DEFAULT, WORD_LEAST, WORD_MOST = 0.5, -3.0, 3.0
 TAG_DEFAULT, TAG_LEAST, TAG_MOST = -0.3, -6.0, -0.05
+#: Tags of running text cost least while nothing is learned about them.
+TEXT_TAGS = frozenset("p b i em strong span br h1 h2 h3 h4 h5 h6 blockquote pre code sup sub".split())
 OUTSIDE_COST, OUTSIDE_MOST = -0.2, -2.0
 
 TEXTS = T.StructType([
@@ -154,7 +156,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
             pieces.append((kind, "" if kind[0] == "w" else text))
         else:
             cost = 0.0
-            step = words * weights.get(kind, WORD_DEFAULT) if kind[0] == "w" else weights.get(kind, TAG_DEFAULT)
+            step = words * weights.get(kind, WORD_DEFAULT) if kind[0] == "w" else weights.get(kind, TAG_MOST if kind[2:] in TEXT_TAGS else TAG_DEFAULT)
             pieces.append((kind, text))
         total += step
         if total <= 0:
