@@ -4,10 +4,10 @@ Symbols are UTF-16 code units of the lower-cased text with white space runs as o
 64-bit number and every count table a narrow table of numbers. Counts come from all trusted text. Lower orders count
 distinct continuations; discounts of grams seen once, twice and more follow from the counts of counts.
 
-Scoring asks and answers by blocks of documents: a block sends each of its distinct grams once; all blocks' distinct grams
-are joined with the count tables of each order, which are sharded by gram and by context; the answers (one logarithm per gram)
-go back to the blocks that asked and are summed over their documents. What is shuffled follows the number of distinct
-grams, not the length of texts; the texts themselves are dealt to their blocks once.
+The corpus's distinct grams are joined with the count tables of every order, which are sharded by gram and by context, and so
+become one table of logarithms. It is cut by hash into shards of at most ``SHARD_GRAMS`` grams; each shard is broadcast, its size
+being bounded by that cut, and adds up its grams of every document where the text lies. So texts are never shuffled for scoring,
+and a larger model only means more shards.
 
 Documents above their language's limit go: a quantile of the trusted documents' perplexity in that language, plus a share of
 its distance from the median (short texts scatter).
@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from busvitals.sources.scratch import stored
 
 ORDER = 4
-BLOCK_BYTES = 8 << 20
+SHARD_GRAMS = 2_000_000  # of 12 bytes: the bound on what is broadcast at once
+MOST_IDS = 2_000_000  # trusted ids that are broadcast; more are joined by a shuffle
 QUANTILE = 0.99
 SLACK = 2.0
 MIN_TRUSTED = 50  # trusted documents a language needs for a limit of its own
@@ -35,10 +36,9 @@ BINS = 1_000  # of log-perplexity per unit, for exact quantiles from bounded cou
 UNITS = 1 << 16
 
 GRAMS = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
-ASKED = T.StructType([T.StructField("block", T.LongType()), T.StructField("gram", T.LongType())])
-PERPLEXITY = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()),
-    T.StructField("n_grams", T.LongType()), T.StructField("log_ppl", T.DoubleType())])
+PARTIAL = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text_hash", T.LongType()),
+    T.StructField("n_grams", T.LongType()), T.StructField("minus", T.DoubleType())])
 _SPACE = re.compile(r"\s+")
 PART = 1 << 20
 
@@ -139,30 +139,60 @@ def log_probabilities(asked: DataFrame, levels: list[tuple[DataFrame, DataFrame,
     return out.select("gram", F.log("_p").alias("lp"))
 
 
-def perplexities(docs: DataFrame, levels: list) -> DataFrame:
-    """``doc_id``, ``lang``, ``n_grams``, ``log_ppl`` (mean negative log-probability of a symbol; 0 if none)."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).alias("block"), "doc_id", "lang", "text")
+def corpus_grams(docs: DataFrame) -> DataFrame:
+    """The distinct grams of all texts (column ``text``)."""
 
-    def ask(block: pa.Table) -> pa.Table:
-        keys, _ = _counted(block.column("text").to_pylist())
-        return pa.table({"block": pa.array(np.full(len(keys), block.column("block")[0].as_py(), np.int64)), "gram": pa.array(keys.view(np.int64))})
-
-    def add_up(block: pa.Table, answers: pa.Table) -> pa.Table:
-        order = np.argsort(keys := answers.column("gram").to_numpy())
-        keys, lp = keys[order], answers.column("lp").to_numpy()[order]
-        n, mean = [], []
-        for text in block.column("text"):
-            g = grams(text.as_py()).view(np.int64)
-            n.append(len(g))
-            mean.append(-float(lp[np.searchsorted(keys, g)].mean()) if len(g) else 0.0)
-        return pa.table({**{c: block.column(c) for c in ("doc_id", "lang")}, "n_grams": pa.array(n, pa.int64()), "log_ppl": pa.array(mean, pa.float64())})
-
-    asked = dealt.groupBy("block").applyInArrow(ask, ASKED)
-    # the distinct grams of all blocks, then back to the blocks that asked
-    answered = asked.join(log_probabilities(asked.select("gram").distinct(), levels), "gram")
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add_up, PERPLEXITY)
+    def run(batches):
+        for batch in batches:
+            keys, _ = _counted(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.ones(len(keys), np.int64))], names=["gram", "n"])
+
+    return docs.select("text").mapInArrow(run, GRAMS).select("gram").distinct()
+
+
+def perplexities(docs: DataFrame, probabilities: DataFrame, shard_grams: int = SHARD_GRAMS) -> DataFrame:
+    """``doc_id``, ``lang``, ``n_grams``, ``log_ppl`` (mean negative log-probability of a symbol; 0 if none) of every row."""
+    spark = docs.sparkSession
+    shards = max(1, math.ceil(1.1 * probabilities.count() / shard_grams))
+    slim = docs.select("doc_id", "lang", F.xxhash64("text").alias("text_hash"), "text")
+
+    def part(number: int) -> DataFrame:
+        own = probabilities.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == number).toArrow()
+        keys, lp = own.column("gram").to_numpy(), own.column("lp").to_numpy()
+        order = np.argsort(keys)
+        held = spark.sparkContext.broadcast((keys[order], lp[order].astype(np.float64)))
+
+        def run(batches):
+            keys, lp = held.value
+            for batch in batches:
+                n, minus = [], []
+                for text in batch.column(3):
+                    g = grams(text.as_py()).view(np.int64)
+                    if shards > 1:  # only this shard's grams are here
+                        at = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
+                        here = keys[at] == g if len(keys) else np.zeros(len(g), bool)
+                        at = at[here]
+                    else:
+                        at = np.searchsorted(keys, g)
+                    n.append(len(at))
+                    minus.append(-float(lp[at].sum()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(minus, pa.float64())], names=PARTIAL.names)
+
+        return slim.mapInArrow(run, PARTIAL)
+
+    mean = lambda n, minus: F.when(F.col(n) > 0, F.col(minus) / F.col(n)).otherwise(F.lit(0.0))
+    if shards == 1:
+        return part(0).select("doc_id", "lang", "n_grams", mean("n_grams", "minus").alias("log_ppl"))
+    sums = None
+    for number in range(shards):
+        one = stored(part(number), "partial")
+        sums = one if sums is None else sums.unionByName(one)
+    # equal rows are summed together; their mean is the same, and their number is how often the shards saw them
+    whole = sums.groupBy("doc_id", "lang", "text_hash").agg(
+        F.sum("n_grams").alias("n"), F.sum("minus").alias("minus"), (F.count(F.lit(1)) / shards).cast("bigint").alias("rows"))
+    return whole.select(
+        "doc_id", "lang", (F.col("n") / F.col("rows")).cast("bigint").alias("n_grams"), mean("n", "minus").alias("log_ppl"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))).alias("_row")).drop("_row")
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, min_trusted: int = MIN_TRUSTED) -> DataFrame:
@@ -179,7 +209,7 @@ def limits(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK,
 
 def quality(
     docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id",
-    text_col: str = "text", lang_col: str = "lang",
+    text_col: str = "text", lang_col: str = "lang", shard_grams: int = SHARD_GRAMS,
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``lang``, ``n_grams``, ``log_ppl``, ``perplexity`` (per symbol), ``limit`` (of
     log_ppl) and ``kept``.
@@ -191,8 +221,11 @@ def quality(
     """
     ids = trusted.select(F.col("doc_id").alias("_t")).where(F.col("_t").isNotNull()).distinct()
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    levels = order_tables(gram_counts(slim.join(ids, F.col("doc_id") == F.col("_t"), "left_semi")))
-    scored = stored(perplexities(slim, levels), "perplexities").join(
+    ids = stored(ids, "trusted")
+    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids  # 8 bytes each
+    levels = order_tables(gram_counts(slim.join(few, F.col("doc_id") == F.col("_t"), "left_semi")))
+    probabilities = stored(log_probabilities(corpus_grams(slim), levels), "probabilities")
+    scored = stored(perplexities(slim, probabilities, shard_grams), "perplexities").join(
         ids, F.col("doc_id") == F.col("_t"), "left").withColumn("trusted", F.col("_t").isNotNull())
     by_lang = stored(limits(scored, quantile, slack), "limits")
     general = by_lang.where("lang is null").agg(F.max("limit").alias("_all"))  # one row, also of an empty table

@@ -244,12 +244,13 @@ def windows(text):
     return [line[k:k + 4] for k in range(len(line) - 3)] if text.strip() else []
 
 
-def test_language_model_against_the_formula(spark):
+@pytest.mark.parametrize("shard_grams", [40, kneser_ney.SHARD_GRAMS])
+def test_language_model_against_the_formula(spark, shard_grams):
     train = ["the cat sat on the mat", "the dog ate the cat", "a cat and a dog", "Mats  and\ncats é"]
     odd = ["the mat", "zzz qqq", "", None, "É é 日本", "the cat " * 2_000]
     rows = [(k, t, "en", "a") for k, t in enumerate(train)] + [(10 + k, t, None, "a") for k, t in enumerate(odd)] + [(None, "the cat", "de", "a"), (0, train[0], "en", "a")]
     trusted = spark.createDataFrame([(0,), (1,), (2,), (3,), (3,), (None,)], "doc_id bigint")
-    got = kneser_ney.quality(documents(spark, rows), trusted).collect()
+    got = kneser_ney.quality(documents(spark, rows), trusted, shard_grams=shard_grams).collect()
     assert len(got) == len(rows)
     learned = train + [train[0]]  # the repeated row is a document as well
     for r, (i, t, _, _) in zip(sorted(got, key=lambda r: (repr(r.doc_id), r.n_grams)), sorted(rows, key=lambda r: (repr(r[0]), len(windows(r[1] or ""))))):
