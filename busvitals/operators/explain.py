@@ -52,19 +52,22 @@ def zscore_attribution(windows: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def top_driver(windows: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Per window the anomalous feature of the largest importance; without one, the first feature at 0 percent."""
+    """Per window the anomalous feature of the largest importance, compared at 4 digits, the first one on ties; without
+    one, the first feature at 0 percent."""
     items = []
     for i, c in enumerate(fv.FEATURES):
         z = zscore(F.bround(F.col(c), 4), F.col(f"m_{c}"), F.col(f"s_{c}"))
         importance = F.least(F.lit(1.0), F.coalesce(F.abs(z), F.lit(0.0)) / 5.0)
-        items.append(F.struct(importance.alias("importance"), F.lit(-i).alias("neg"), F.lit(c).alias("feature")))
+        items.append(F.struct(
+            F.bround(importance, 4).alias("rounded"), F.lit(-i).alias("neg"), F.lit(c).alias("feature"), importance.alias("importance")
+        ))
     anomalous = F.filter(F.array(*items), lambda a: F.round(a["importance"], 9) > 0.3)
     found = attach(windows, baseline).withColumn("_f", anomalous).withColumn("_b", F.array_max("_f"))
     return found.select(
         *KEY,
         "attack_type",
         F.coalesce(F.col("_b.feature"), F.lit(fv.FEATURES[0])).alias("top_driver"),
-        F.coalesce(F.bround(F.col("_b.importance"), 4) * 100, F.lit(0.0)).alias("contribution_pct"),
+        F.coalesce(F.col("_b.rounded") * 100, F.lit(0.0)).alias("contribution_pct"),
         F.size("_f").cast("bigint").alias("anomalous_features"),
     )
 

@@ -7,6 +7,7 @@ carried value per block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -16,8 +17,13 @@ from busvitals.functions import fixed_values as fv
 from busvitals.functions.scalars import trend_label
 from busvitals.operators.ordering import attach, halo_blocks, halo_window, own_rows
 
-KERNEL = 110  # 0.7**110 is below the resolution of a double
-VANISHED = 2100  # 0.7**2100 is exactly zero in double arithmetic
+FINE = 2.0**-60  # weights below this share of the newest one are beneath the resolution of a double
+LONGEST_KERNEL = 1_024  # a longer memory is carried from block to block instead of being folded anew at every row
+
+
+def kernel_rows(alpha: float) -> int:
+    """Rows back after which a smoothing with this alpha has forgotten a value."""
+    return 0 if alpha >= 1 else math.ceil(math.log(FINE) / math.log1p(-alpha))
 
 
 def _with_ends(df: DataFrame, keys: Sequence[str], idx: str) -> DataFrame:
@@ -42,11 +48,15 @@ def trend_last(df: DataFrame, keys: Sequence[str], idx: str, value: str, lookbac
 
 
 def trend_at_window(df: DataFrame, keys: Sequence[str], idx: str, value: str, block: int = 65_536) -> DataFrame:
-    """At every row: mean of rows [i-10, i] minus mean of rows [i-20, i-11]; without earlier rows Stable."""
+    """At every row: mean of rows [i-10, i] minus mean of rows [i-20, i-11]; without earlier rows Stable.
+
+    A series of fewer than 20 rows is Stable with 0 throughout.
+    """
     w = halo_window(keys, idx)
-    framed = halo_blocks(df, idx, behind=20, block=block).withColumn(
-        "_d", F.avg(value).over(w.rowsBetween(-10, 0)) - F.avg(value).over(w.rowsBetween(-20, -11))
-    )
+    diff = F.avg(value).over(w.rowsBetween(-10, 0)) - F.avg(value).over(w.rowsBetween(-20, -11))
+    framed = halo_blocks(_with_ends(df, keys, idx), idx, behind=20, block=block).withColumn(
+        "_d", F.when(F.col("_n") < 20, F.lit(0.0)).otherwise(diff)
+    ).drop("_hi", "_lo", "_e", "_n")
     return own_rows(framed).withColumns({"trend": trend_label(F.col("_d")), "trend_diff": F.col("_d")}).drop("_d")
 
 
@@ -54,7 +64,7 @@ def ema_level(df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: f
     """Last value of the exponential smoothing, in closed form, with the length and mean of the series."""
     ended = _with_ends(df, keys, idx)
     weight = F.when(F.col(idx) == F.col("_lo"), F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(
-        F.lit(1.0 - alpha), F.least(F.col("_e"), F.lit(VANISHED)).cast("double")
+        F.lit(1.0 - alpha), F.col("_e").cast("double")
     )
     return ended.groupBy(*keys).agg(
         F.sum(weight * F.col(value)).alias("level"), F.avg(value).alias("mean_value"), F.first("_n").alias("n")
@@ -64,12 +74,44 @@ def ema_level(df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: f
 def ema_series(
     df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: float = fv.EMA_ALPHA, block: int = 65_536
 ) -> DataFrame:
-    """The smoothed value at every row, folding the last ``KERNEL`` + 1 values."""
-    w = halo_window(keys, idx).rowsBetween(-KERNEL, 0)
-    framed = halo_blocks(df, idx, behind=KERNEL, block=block).withColumn("_recent", F.collect_list(value).over(w))
-    rest = F.slice("_recent", 2, KERNEL)
-    smoothed = F.aggregate(rest, F.col("_recent")[0], lambda s, x: F.lit(alpha) * x + F.lit(1.0 - alpha) * s)
-    return own_rows(framed).withColumn("ema", smoothed).drop("_recent")
+    """The smoothed value at every row.
+
+    While the memory is short, each row folds the values it still remembers. A longer memory is cut into blocks: within a
+    block the smoothing starts at nothing and is a sum of weighted values; a block's end is (what it adds, what it keeps of
+    what came before), so one row per block carries the value on.
+    """
+    memory = kernel_rows(alpha)
+    if memory <= LONGEST_KERNEL:
+        w = halo_window(keys, idx).rowsBetween(-memory, 0)
+        framed = halo_blocks(df, idx, behind=memory, block=block).withColumn("_recent", F.collect_list(value).over(w))
+        rest = F.slice("_recent", 2, max(memory, 1))
+        smoothed = F.aggregate(rest, F.col("_recent")[0], lambda s, x: F.lit(alpha) * x + F.lit(1.0 - alpha) * s)
+        return own_rows(framed).withColumn("ema", smoothed).drop("_recent")
+    return _carried_ema(df, keys, idx, value, alpha, min(block, LONGEST_KERNEL))
+
+
+def _carried_ema(df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: float, block: int) -> DataFrame:
+    """``ema_series`` by one carried value per block of rows."""
+    names = df.columns
+    ended = _with_ends(df, keys, idx).withColumns(
+        {"_b": F.floor((F.col(idx) - F.col("_lo")) / block), "_k": F.pmod(F.col(idx) - F.col("_lo"), F.lit(block))}
+    )
+    start = (F.col("_b") == 0) & (F.col("_k") == 0)
+    # (1 - alpha) ** -k stays small within a block, so a running sum can be scaled back
+    grown = F.when(start, F.lit(1.0)).otherwise(F.lit(alpha)) * F.col(value) * F.pow(F.lit(1.0 - alpha), -F.col("_k").cast("double"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ended.withColumn("_own", F.sum(grown).over(inside) * F.pow(F.lit(1.0 - alpha), F.col("_k").cast("double")))
+    added = summed.where(F.col("_k") == block - 1).select(*keys, F.col("_b"), F.col("_own").alias("_add"))
+    kept = (1.0 - alpha) ** block
+    back = max(1, math.ceil(kernel_rows(alpha) / block))  # blocks after which a block's own share is forgotten
+    ends = halo_window(keys, "_b").rowsBetween(-back, -1)
+    shares = F.aggregate(F.collect_list("_add").over(ends), F.lit(0.0), lambda s, x: s * F.lit(kept) + x)
+    # the next block has a row here even where it is not full
+    blocks = summed.where(F.col("_k") == 0).select(*keys, "_b").join(added, [*keys, "_b"], "left").withColumn("_add", F.coalesce("_add", F.lit(0.0)))
+    carried = own_rows(halo_blocks(blocks, "_b", behind=back).withColumn("_carry", shares)).select(*keys, "_b", "_carry")
+    return summed.join(carried, [*keys, "_b"]).select(
+        *names, (F.col("_own") + F.col("_carry") * F.pow(F.lit(1.0 - alpha), (F.col("_k") + 1).cast("double"))).alias("ema")
+    )
 
 
 def forecast(levels: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:

@@ -296,6 +296,14 @@ def ema_series(ws: Workspace) -> DataFrame:
     return se.ema_series(ws.service_health(), SERIES, "w", "cyber_health").select(*KEY, "ema")
 
 
+@question("ema_series_slow", build("health", keyed(
+    """SELECT a.vehicle_id, a.capture, a.w, sum((CASE WHEN b.w = 0 THEN 1e0 ELSE 1e-3 END) * pow(999e-3, a.w - b.w) * b.cyber_health) AS ema
+    FROM hs a JOIN hs b ON a.vehicle_id = b.vehicle_id AND a.capture = b.capture AND b.w <= a.w GROUP BY ALL""", "", "ema")))
+def ema_series_slow(ws: Workspace) -> DataFrame:
+    """Smoothing with a memory of thousands of windows, carried from block to block."""
+    return se.ema_series(ws.service_health(), SERIES, "w", "cyber_health", alpha=0.001, block=8).select(*KEY, "ema")
+
+
 @question("forecast", build("regions", out("SELECT vehicle_id, capture, CAST(step AS INTEGER) AS step, forecast FROM region_forecast", "vehicle_id capture step", "forecast")))
 def forecast(ws: Workspace) -> DataFrame:
     return se.forecast(se.ema_level(ws.service_health(), SERIES, "w", "cyber_health"), SERIES, 20)

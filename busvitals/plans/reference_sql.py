@@ -171,8 +171,9 @@ classified AS MATERIALIZED (SELECT s.*, t.threshold, CASE WHEN s.anomaly_score <
     "health": _base_cte("base_e", 0) + ",\n" + _base_cte("base_s", 1) + "," + _health_cte("he", "base_e", 2) + ","
     + _health_cte("hs", "base_s", None),
     "trended": f"""local_diff AS (
-    SELECT *, avg(cyber_health) OVER (PARTITION BY vehicle_id ORDER BY window_index ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)
-        - avg(cyber_health) OVER (PARTITION BY vehicle_id ORDER BY window_index ROWS BETWEEN 20 PRECEDING AND 11 PRECEDING) AS trend_diff FROM hs),
+    SELECT *, CASE WHEN count(*) OVER (PARTITION BY vehicle_id) < 20 THEN 0e0
+        ELSE avg(cyber_health) OVER (PARTITION BY vehicle_id ORDER BY window_index ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)
+        - avg(cyber_health) OVER (PARTITION BY vehicle_id ORDER BY window_index ROWS BETWEEN 20 PRECEDING AND 11 PRECEDING) END AS trend_diff FROM hs),
 trended AS MATERIALIZED (SELECT *, {trend_of('trend_diff')} AS trend FROM local_diff)""",
     "regions": f"""ends AS (SELECT vehicle_id, capture, max(w) AS hi FROM hs GROUP BY ALL),
 levels_ AS (

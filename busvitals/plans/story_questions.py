@@ -55,7 +55,7 @@ _DRIVER = f"""{_ATTRIBUTION},
 drivers AS (
     SELECT vehicle_id, capture, w, attack_type, coalesce(arg_min(feature, (-importance, ord)) FILTER (is_anomalous = 1), '{fv.FEATURES[0]}') AS top_driver,
         coalesce(round_even(max(importance) FILTER (is_anomalous = 1), 4) * 100, 0) AS contribution_pct, sum(is_anomalous) AS anomalous_features
-    FROM attribution GROUP BY ALL)""".replace("arg_min(feature, (-importance, ord)) FILTER (is_anomalous = 1)", "(list(feature ORDER BY importance DESC, ord) FILTER (is_anomalous = 1))[1]")
+    FROM attribution GROUP BY ALL)""".replace("arg_min(feature, (-importance, ord)) FILTER (is_anomalous = 1)", "(list(feature ORDER BY round_even(importance, 4) DESC, ord) FILTER (is_anomalous = 1))[1]")
 
 
 @question("zscore_attribution", build("health", keyed("SELECT * FROM attribution", "feature is_anomalous", "value z importance"), _ATTRIBUTION))

@@ -1,4 +1,4 @@
-"""Streams over the whole event table, delivered in four files, compared with the batch answers."""
+"""Streams over the whole event table, delivered in slices of many files, compared with the batch answers."""
 
 from __future__ import annotations
 
@@ -15,11 +15,12 @@ from busvitals.sources.scratch import fresh_path
 from busvitals.streaming.count_windows import CountWindowTables, start_count_windows
 from busvitals.streaming.health import HealthTables, start_health
 
-_STATE: dict[tuple[int, str], str] = {}
+FILES = 72  # per slice
+_STATE: dict[tuple[str, str], str] = {}
 
 
 def deliver(ws: Workspace, late: bool = False) -> DataFrame:
-    """The events as a file stream of four time slices; with ``late``, the injected-looking part of the second one comes last."""
+    """The events as a file stream of four time slices of ``FILES`` files each; with ``late``, the injected-looking part of the second one comes last."""
     spark: SparkSession = ws.spark
     events = spark.read.parquet(f"{ws.folder}/events.parquet")
     micros = epoch_micros("ts", dict(events.dtypes)["ts"])
@@ -30,14 +31,14 @@ def deliver(ws: Workspace, late: bool = False) -> DataFrame:
     sliced = events.withColumn("part", F.when((part == 1) & injected, 4).otherwise(part) if late else part)
     # one write per slice: files are delivered in the order in which they were written
     for part in range(5 if late else 4):
-        sliced.where(F.col("part") == part).select(*events.columns).coalesce(1).write.mode("append").parquet(path)
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        sliced.where(F.col("part") == part).select(*events.columns).repartition(FILES).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
     return frames_from_events(arriving).select(*FRAME_COLUMNS)
 
 
 def windowed(ws: Workspace, late: bool = False) -> str:
     """Root folder of a finished window stream, run once per workspace."""
-    key = (id(ws), f"windows-{late}")
+    key = (ws.root, f"windows-{late}")
     if key not in _STATE:
         root = fresh_path(ws.spark, "stream")
         start_count_windows(deliver(ws, late), root).awaitTermination()
@@ -47,7 +48,7 @@ def windowed(ws: Workspace, late: bool = False) -> str:
 
 def followed(ws: Workspace) -> HealthTables:
     """Tables of a finished health stream over the streamed windows."""
-    key = (id(ws), "health")
+    key = (ws.root, "health")
     root = windowed(ws)
     if key not in _STATE:
         windows = CountWindowTables.at(ws.spark, root).windows.stream()

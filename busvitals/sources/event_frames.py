@@ -29,7 +29,10 @@ def epoch_micros(ts: str, dtype: str) -> Column:
 
 
 def frames_from_events(events: DataFrame, vehicle_id: Column | None = None) -> DataFrame:
-    """One frame per event; the payload bytes are the first ``dlc`` bytes of the md5 of the event id, or injected."""
+    """One frame per event; the payload bytes are the first ``dlc`` bytes of the md5 of the event id, or injected.
+
+    An unknown event type has no capture and no label: nothing says that it is normal traffic.
+    """
     label = F.lit(None).cast("string")
     for kind, name in CAPTURES.items():
         label = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(label)
@@ -56,7 +59,7 @@ def frames_from_events(events: DataFrame, vehicle_id: Column | None = None) -> D
         (vehicle_id if vehicle_id is not None else F.lit("v0")).alias("vehicle_id"),
         label.alias("capture"),
         label.alias("attack_type"),
-        F.when(attacked, 1).otherwise(0).alias("attack_label"),
+        F.when(attacked, 1).when(label.isNotNull(), 0).alias("attack_label"),
         epoch_micros("ts", dict(events.dtypes)["ts"]).alias("t_us"),
         F.col("event_id").alias("seq"),
         can_id.cast("int").alias("can_id"),
@@ -67,4 +70,10 @@ def frames_from_events(events: DataFrame, vehicle_id: Column | None = None) -> D
 
 
 def event_frames(spark: SparkSession, folder: str) -> DataFrame:
-    return frames_from_events(spark.read.parquet(f"{folder}/events.parquet"))
+    """Frames of the known event types; ``unknown_events`` has the rest."""
+    return frames_from_events(spark.read.parquet(f"{folder}/events.parquet").where(F.col("event_type").isin(*CAPTURES)))
+
+
+def unknown_events(events: DataFrame) -> DataFrame:
+    """Events whose type names no capture, for a side output."""
+    return events.where(~F.coalesce(F.col("event_type").isin(*CAPTURES), F.lit(False)))

@@ -42,4 +42,5 @@ class EpochTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/epoch=*")
 
     def stream(self) -> DataFrame:
-        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 64).parquet(f"{self.path}/epoch=*")
+        """The table as a stream. An epoch's files may be split over micro-batches; readers must not rely on its order."""
+        return self.spark.readStream.schema(self.schema).parquet(f"{self.path}/epoch=*")

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from busvitals.functions import fixed_values as fv
 from busvitals.functions.scalars import trend_label
 from busvitals.operators.explain import root_cause, threat_story
 from busvitals.operators.health import health_score
 from busvitals.operators.kernel import KernelModel, rbf_score
-from busvitals.operators.ordering import halo_blocks, halo_window, own_rows
+from busvitals.operators.ordering import halo_blocks, halo_window, number_rows, own_rows
 from busvitals.operators.respond import response_decision
-from busvitals.operators.series import KERNEL, ema_series
+from busvitals.operators.series import ema_series, kernel_rows
 from busvitals.sources.tables import flat_schema, stored_schema
 from busvitals.streaming.epochs import EpochTable, batch_session
 
@@ -69,11 +70,12 @@ def follow(scored: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class HealthTables:
-    """Outputs (followed windows, decisions) and state (the last windows of each series)."""
+    """Outputs (followed windows, decisions) and state (the last windows of each series, windows that came early)."""
 
     followed: EpochTable
     decisions: EpochTable
     tail: EpochTable
+    early: EpochTable
 
     @classmethod
     def at(cls, spark: SparkSession, root: str) -> "HealthTables":
@@ -81,27 +83,38 @@ class HealthTables:
             EpochTable(spark, f"{root}/followed", FOLLOWED),
             EpochTable(spark, f"{root}/decisions", DECIDED),
             EpochTable(spark, f"{root}/tail", SCORED),
+            EpochTable(spark, f"{root}/early", SCORED),
         )
 
 
 def health_batch(scored: DataFrame, epoch: int, tables: HealthTables, baseline: DataFrame) -> None:
     """One micro-batch of scored windows, continued from the last windows of each series.
 
-    A window delivered again is recognised by its number, so every (series, w) is followed and decided once.
+    Windows of a series are numbered from 0 without gaps, but may be delivered in any order: one that comes before its
+    predecessors waits in ``early`` until they are there. So what has been followed is always everything up to a number, and
+    a window delivered again is recognised by its own: every (series, w) is followed and decided once.
     """
     batch_session(scored)
     columns = [f.name for f in SCORED.fields]
     tail = tables.tail.before(epoch)
     known = tail.groupBy(*SERIES).agg(F.max("w").alias("_known"))
-    fresh = scored.select(*columns).join(known, SERIES, "left").where("_known IS NULL OR w > _known")
+    arrived = scored.select(*columns).unionByName(tables.early.before(epoch)).join(known, SERIES, "left")
     # scoring runs once per batch; lost blocks are recomputed from the batch's files
-    history = fresh.select(*columns).unionByName(tail).persist(StorageLevel.MEMORY_AND_DISK)
+    waiting = (
+        arrived.where("_known IS NULL OR w > _known").dropDuplicates([*SERIES, "w"]).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    placed = number_rows(waiting, SERIES, ["w"], "_place", total_rows=waiting.count())
+    ready = F.col("w") == F.coalesce("_known", F.lit(-1)) + 1 + F.col("_place")
+    tables.early.write(placed.where(~ready), epoch)
+    history = placed.where(ready).select(*columns).unionByName(tail).persist(StorageLevel.MEMORY_AND_DISK)
     new_only = follow(history).join(known, SERIES, "left").where("_known IS NULL OR w > _known")
     followed = tables.followed.write(new_only, epoch)
     tables.decisions.write(decide(followed, baseline), epoch)
     ends = history.groupBy(*SERIES).agg(F.max("w").alias("_last"))
-    tables.tail.write(history.join(ends, SERIES).where(F.col("_last") - F.col("w") <= KERNEL), epoch)
+    remembered = kernel_rows(fv.EMA_ALPHA)
+    tables.tail.write(history.join(ends, SERIES).where(F.col("_last") - F.col("w") <= remembered), epoch)
     history.unpersist()
+    waiting.unpersist()
 
 
 def decide(followed: DataFrame, baseline: DataFrame) -> DataFrame:

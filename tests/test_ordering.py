@@ -98,3 +98,28 @@ def test_run_longer_than_many_blocks(spark):
     df = spark.range(1000).select(F.lit("a").alias("key"), F.col("id").alias("i"), F.when(F.col("id") == 10, 0.0).otherwise(99.0).alias("v"))
     runs = sorted(map(tuple, recovery_islands(df, ["key"], "i", "v", block=16).collect()))
     assert runs == [("a", 0, 9, 10, 2), ("a", 11, 999, 989, 13)]
+
+
+def test_smoothing_with_a_long_memory(spark):
+    """A memory far longer than a block is carried over; checked against the recursion."""
+    from busvitals.operators.series import ema_level
+
+    rows = [("a", i, 10.0 if i < 1 else 20.0 + (i * 37 % 11)) for i in range(3_000)] + [("b", i, float(i)) for i in range(7)]
+    df = spark.createDataFrame(rows, "key string, i bigint, v double")
+    for alpha in (0.001, 0.01, 0.3, 1.0):
+        want, level = {}, {}
+        for key, i, v in rows:
+            level[key] = v if i == 0 else alpha * v + (1 - alpha) * level[key]
+            want[key, i] = level[key]
+        for block in (64, 5_000):
+            got = {(r.key, r.i): r.ema for r in ema_series(df, ["key"], "i", "v", alpha=alpha, block=block).collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert all(abs(r.level - level[r.key]) < 1e-9 for r in ema_level(df, ["key"], "i", "v", alpha=alpha).collect())
+
+
+def test_short_series_have_no_trend(spark):
+    rows = [("a", i, 90.0 - 3 * i) for i in range(15)] + [("b", i, 90.0 - 3 * i) for i in range(20)]
+    df = spark.createDataFrame(rows, "key string, i bigint, v double")
+    got = {(r.key, r.i): (r.trend, r.trend_diff) for r in trend_at_window(df, ["key"], "i", "v").collect()}
+    assert all(got["a", i] == ("Stable", 0.0) for i in range(15))
+    assert got["b", 19][0] == "Degrading"

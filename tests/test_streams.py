@@ -81,3 +81,21 @@ def test_followed_windows_equal_batch_and_are_decided_once(spark, tmp_path):
     # windows delivered a second time change nothing
     health_batch(stream_health(data, model, baseline), 3, tables, baseline)
     assert tables.followed.all().count() == 210 and tables.decisions.all().count() == expected
+
+
+def test_epoch_of_many_files_in_any_order_loses_nothing(spark, tmp_path):
+    from test_models import windows
+
+    data = windows(spark, 150, 60, shift=1.5).drop("capture").withColumn("capture", F.col("attack_type"))
+    model = fit_parzen(data)
+    baseline = fit_baseline(rbf_score(data, model)).persist()
+    data.repartition(100).write.parquet(str(tmp_path / "in"))
+    # 40 of the 100 files at a time, so windows come before their predecessors and wait
+    stream = spark.readStream.schema(data.schema).option("maxFilesPerTrigger", 40).parquet(str(tmp_path / "in"))
+    start_health(stream, str(tmp_path / "out"), model, baseline).awaitTermination()
+    tables = HealthTables.at(spark, str(tmp_path / "out"))
+    batch = follow(stream_health(data, model, baseline))
+    columns = ["vehicle_id", "capture", "w", "cyber_health", "trend", "trend_diff", "ema", "resume"]
+    got, want = rounded(tables.followed.all().select(*columns)), rounded(batch.select(*columns))
+    assert got.count() == 210 and got.exceptAll(want).count() == 0
+    assert tables.early.before(3).count() == 0
