@@ -110,6 +110,11 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return h[own[first]], first, np.diff(first, append=n), own[first] - first
 
 
+def _route(h: np.ndarray, bits: int) -> np.ndarray:
+    """Shards of anchors. An anchor is the least hash of its string, so the hash is mixed again to be even."""
+    return ((h ^ (h >> np.uint64(32))) * _MUL[6] >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _pack(arrays: list[np.ndarray]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join([np.uint32(len(arrays[0])).tobytes(), *[a.tobytes() for a in arrays]]))
 
@@ -158,7 +163,7 @@ def anchor_blocks(keys: list[int], texts: list[bytes], length: int, bits: int) -
     ends = begins + times - 1
     several = key[begins] < key[ends]
     alone = ~np.repeat(several, times)
-    part = (h >> np.uint64(64 - bits)).astype(np.int64)
+    part = _route(h, bits)
     witness = np.concatenate((begins[several], ends[several]))
     asked = np.concatenate((np.flatnonzero(alone), witness))
     place = np.concatenate((at[alone], np.full(len(witness), -1)))
@@ -204,7 +209,7 @@ def context_blocks(
         if not len(off):
             continue
         h = hashes_at(np.frombuffer(text, np.uint8), first + off)
-        route = (h >> np.uint64(64 - bits)).tolist()
+        route = _route(h, bits).tolist()
         for f, m, r, x in zip(first.tolist(), n.tolist(), route, h.view(np.int64).tolist()):
             if x in hot:
                 for k in range(f, f + m):
