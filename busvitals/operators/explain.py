@@ -73,11 +73,14 @@ def top_driver(windows: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def feature_importance(windows: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Mean |z| of the attack windows / 5, capped at 1; a constant baseline gives 0."""
-    long = zscores_long(windows.where("attack_label = 1"), baseline, fv.FEATURES)
-    ranked = long.groupBy("feature").agg(F.avg(F.abs("z")).alias("_z")).withColumn(
-        "importance", F.bround(F.least(F.lit(1.0), F.coalesce(F.col("_z"), F.lit(0.0)) / 5.0), 4)
-    )
+    """Mean |z| of the attack windows / 5, capped at 1; a constant baseline gives 0.
+
+    All features are averaged in one pass over the windows; only the one row of means is turned on its side.
+    """
+    z = {c: zscore(F.col(c), F.col(f"m_{c}"), F.col(f"s_{c}")) for c in fv.FEATURES}
+    means = attach(windows.where("attack_label = 1"), baseline).agg(*[F.avg(F.abs(z[c])).alias(c) for c in fv.FEATURES])
+    long = means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("_z")) for c in fv.FEATURES])).alias("_r"))
+    ranked = long.select("_r.*").withColumn("importance", F.bround(F.least(F.lit(1.0), F.coalesce(F.col("_z"), F.lit(0.0)) / 5.0), 4))
     named = ranked.join(F.broadcast(dims.feature_categories(windows.sparkSession)), "feature", "left")
     return named.select("feature", "importance", F.coalesce("category", F.lit("Other")).alias("category")).orderBy(
         F.desc("importance"), "feature"
@@ -85,10 +88,12 @@ def feature_importance(windows: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def feature_separability(windows: DataFrame) -> DataFrame:
-    """Mean of every feature per class, one row per feature and one column per class."""
-    values = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in fv.FEATURES])
-    long = windows.select("attack_type", F.explode(values).alias("_r")).select("attack_type", "_r.*")
-    return long.groupBy("feature").pivot("attack_type", fv.CLASSES).agg(F.avg("value"))
+    """Mean of every feature per class, one row per feature and one column per class, from one pass over the windows."""
+    means = windows.agg(*[
+        F.avg(F.when(F.col("attack_type") == k, F.col(c).cast("double"))).alias(f"{c}|{k}") for c in fv.FEATURES for k in fv.CLASSES
+    ])
+    rows = [F.struct(F.lit(c).alias("feature"), *[F.col(f"`{c}|{k}`").alias(k) for k in fv.CLASSES]) for c in fv.FEATURES]
+    return means.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
 
 
 def _tracked(windows_columns: Sequence[str] = ()) -> Column:
