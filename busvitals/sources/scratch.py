@@ -8,20 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without the setting (tests) gets a folder of its own.
+    Only a local-mode session without the setting (tests) gets a folder of its own, removed when the program ends; the
+    session itself is left as it is.
     """
     configured = spark.conf.get(CONF, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CONF} to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="busvitals-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.TemporaryDirectory(prefix="busvitals-", ignore_cleanup_errors=True)
+    return _LOCAL[app].name
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -22,10 +22,11 @@ def test_the_configured_folder_is_used():
 def test_only_local_sessions_get_a_folder_of_their_own():
     local = session()
     assert scratch.shared_dir(local) == scratch.shared_dir(local)
+    assert local.sparkContext.getCheckpointDir() is None  # the session is left as it is
     with pytest.raises(RuntimeError):
         scratch.shared_dir(session(master="yarn"))
 
 
 def test_context_has_the_calls(spark):
-    assert callable(spark.sparkContext.getCheckpointDir) and callable(spark.sparkContext.setCheckpointDir)
+    assert callable(spark.sparkContext.getCheckpointDir)
     assert scratch.fresh_path(spark, "a") != scratch.fresh_path(spark, "a")
