@@ -220,7 +220,7 @@ explained AS MATERIALIZED (
 }
 
 
-def _story_sql() -> str:
+def story_sql() -> str:
     texts = {
         "health": fixed("cyber_health", 0), "trend": "lower(trend)", "trend_size": f"coalesce({fixed('abs(trend_diff)', 0)}, 'nan')",
         "lookback": "'10'", "horizon": "'20'", "forecast": fixed("projected_health", 0),
@@ -256,7 +256,7 @@ stories AS MATERIALIZED (
 BLOCKS["stories"] = """to_tell AS (
     SELECT e.*, t.trend, t.trend_diff, r.projected_health FROM explained e
     JOIN trended t USING (vehicle_id, capture, w) JOIN regions r USING (vehicle_id, capture)),
-""" + _story_sql()
+""" + story_sql()
 
 # One representative window per class told with the trend of its class.
 EXAMPLES = """centers AS (SELECT attack_type, avg(cyber_health) AS c FROM hs GROUP BY ALL),
@@ -319,7 +319,7 @@ def told_examples(select: str) -> str:
 to_tell AS (
     SELECT e.*, r.trend, round_even(r.d, 2) AS trend_diff, r.projected_health FROM explained e JOIN examples x USING (capture, w)
     JOIN regions r USING (vehicle_id, capture)),
-""" + _story_sql()
+""" + story_sql()
     return build("explained", select, chosen)
 
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from busvitals.plans.frame_questions import _feature_sql, _window_columns
 from busvitals.plans.health_questions import KEY, keyed
-from busvitals.plans.reference_sql import build, trend_of
+from busvitals.plans.reference_sql import BLOCKS, build, story_sql, trend_of
 from busvitals.plans.registry import question
 from busvitals.plans.workspace import Workspace
 from busvitals.sources.event_frames import FRAME_COLUMNS, INJECTED_FROM, epoch_micros, frames_from_events
 from busvitals.sources.scratch import fresh_path
 from busvitals.streaming.count_windows import CountWindowTables, start_count_windows
-from busvitals.streaming.health import HealthTables, start_health
+from busvitals.streaming.health import HORIZON, HealthTables, start_health
 
 FILES = 72  # per slice
 _STATE: dict[tuple[str, str], str] = {}
@@ -96,7 +98,17 @@ def stream_recovery(ws: Workspace) -> DataFrame:
     return followed(ws).followed.all().where("resume = 1").select(*KEY, "cyber_health")
 
 
-@question("stream_decisions")
+_WEIGHT = sum(math.exp(-i / HORIZON) for i in range(HORIZON)) / HORIZON
+_STREAMED = f"""{_FOLLOWED},
+to_tell AS (
+    SELECT e.*, {trend_of('f.trend_diff')} AS trend, f.trend_diff, s.ema * {_WEIGHT:.17e} + e.cyber_health * (1 - {_WEIGHT:.17e}) AS projected_health
+    FROM explained e JOIN followed f USING (vehicle_id, capture, w) JOIN smooth s USING (vehicle_id, capture, w)),
+{story_sql()},
+{BLOCKS['decisions']}"""
+
+
+@question("stream_decisions", build("explained", keyed(
+    "SELECT * FROM decisions WHERE response_level >= 1", "risk_category trend_label attack_type response_level level_label action_ids", "health_score confidence"), _STREAMED))
 def stream_decisions(ws: Workspace) -> DataFrame:
     """Decisions of level 1 and above, appended per micro-batch."""
     return followed(ws).decisions.all()
