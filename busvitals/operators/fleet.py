@@ -46,9 +46,9 @@ def data_reduction(frames: DataFrame, windows: DataFrame) -> DataFrame:
     return f.crossJoin(F.broadcast(w)).withColumn("frames_per_window", F.try_divide(F.col("frames"), F.col("windows")))
 
 
-def twin_status(windows: DataFrame) -> DataFrame:
-    """Means over the first 100 normal windows of each vehicle."""
-    first = windows.where((F.col("attack_label") == 0) & (F.col("w") < TWIN_WINDOWS))
+def twin_status(windows: DataFrame, first_windows: int = TWIN_WINDOWS) -> DataFrame:
+    """Means over the first ``first_windows`` normal windows of each vehicle."""
+    first = windows.where((F.col("attack_label") == 0) & (F.col("w") < first_windows))
     rate, entropy = F.avg("messages_per_second"), F.avg("window_payload_entropy_mean")
     return first.groupBy("vehicle_id").agg(
         rate.alias("can_rate"),

@@ -11,7 +11,7 @@ from busvitals.operators.health import filter_by_class
 from busvitals.operators.ordering import number_rows
 from busvitals.plans.reference_sql import CLASS_ORD, build, out, windows_cte
 from busvitals.plans.registry import question
-from busvitals.sources.scratch import fresh_path
+from busvitals.sources.scratch import fresh_path, stored
 from busvitals.plans.workspace import Workspace
 from busvitals.sources import can_logs
 from busvitals.sources.tables import load_windows, write_windows
@@ -227,9 +227,10 @@ def data_reduction(ws: Workspace) -> DataFrame:
 
 @question("time_order", build("numbered", "SELECT vehicle_id, capture, seq, rn AS position FROM numbered"))
 def time_order(ws: Workspace) -> DataFrame:
-    """Frames in time order, with their position in it."""
+    """Frames in time order, with their position in it, numbered by where the rows physically lie."""
     ordered = fr.time_order(ws.frames().select("vehicle_id", "capture", "t_us", "seq"))
-    return number_rows(ordered, fr.SERIES, fr.ORDER, "position").select("vehicle_id", "capture", "seq", "position")
+    lying = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    return number_rows(lying, fr.SERIES, ["at"], "position").select("vehicle_id", "capture", "seq", "position")
 
 
 @question("union_captures", build("frames", "SELECT attack_type, CAST(attack_label AS INTEGER) AS attack_label, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM frames GROUP BY ALL"))

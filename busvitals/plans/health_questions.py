@@ -145,6 +145,13 @@ def subsample(ws: Workspace) -> DataFrame:
     return subsample_normal(ws.windows()).select(*KEY)
 
 
+@question("subsample_normal_10", build("windows", f"""SELECT vehicle_id, capture, {W} FROM (SELECT * FROM windows WHERE attack_label = 0
+    ORDER BY md5(concat_ws('|', vehicle_id, capture, CAST(w AS VARCHAR), '42')), vehicle_id, capture, w LIMIT 10)"""))
+def subsample_10(ws: Workspace) -> DataFrame:
+    """A draw smaller than the table."""
+    return subsample_normal(ws.windows(), 10).select(*KEY)
+
+
 @question("score_threshold", build("threshold", out("SELECT * FROM threshold", "", "threshold")))
 def score_threshold(ws: Workspace) -> DataFrame:
     return dt.score_threshold(ws.scored())
@@ -371,6 +378,17 @@ def timeline_downsample(ws: Workspace) -> DataFrame:
     return kth.unionByName(se.evenly_spaced(h).withColumn("method", F.lit("evenly_spaced")))
 
 
+@question("timeline_downsample_20", build("health", out(
+    """SELECT 'every_kth' AS method, window_index, window_index AS position, cyber_health FROM he WHERE window_index % greatest(1, (SELECT count(*) FROM he) // 20) = 0
+    UNION ALL SELECT 'evenly_spaced', window_index, position, cyber_health FROM spaced""",
+    "method window_index position", "cyber_health"), _SPACED.replace("5000", "20")))
+def timeline_downsample_20(ws: Workspace) -> DataFrame:
+    """The same with 20 points, so that rows are left out on small tables as well."""
+    h = ws.engine_health().select("window_index", "cyber_health")
+    kth = se.every_kth(h, points=20).withColumns({"position": F.col("window_index"), "method": F.lit("every_kth")})
+    return kth.unionByName(se.evenly_spaced(h, points=20).withColumn("method", F.lit("evenly_spaced")))
+
+
 @question("rolling_mean_centered", build("health", out(
     """SELECT position, window_index, CASE WHEN count(*) OVER r = 100 THEN avg(cyber_health) OVER r END AS rolling_mean FROM spaced
     WINDOW r AS (ORDER BY position ROWS BETWEEN 50 PRECEDING AND 49 FOLLOWING)""", "position window_index", "rolling_mean"), _SPACED))
@@ -477,6 +495,13 @@ def metrics_sampled(ws: Workspace) -> DataFrame:
     return ev.metrics_sampled(classified(ws))
 
 
+@question("metrics_sampled_50", build("threshold", out(
+    f"SELECT * FROM ({METRICS.format(t='drawn')}) CROSS JOIN ({_AUC.replace('scored', 'drawn')})", "", "precision recall f1 fpr detection_rate auc"), _DRAWN.replace("50000", "50")))
+def metrics_sampled_50(ws: Workspace) -> DataFrame:
+    """Metrics on a draw smaller than the table."""
+    return ev.metrics_sampled(classified(ws), 50)
+
+
 @question("score_histogram", build("scored", """SELECT attack_type, CAST(coalesce(least(floor((anomaly_score - lo) * 80 / nullif(hi - lo, 0)), 79), 0) AS INTEGER) AS bin, count(*) AS n
     FROM scored CROSS JOIN (SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi FROM scored) GROUP BY ALL"""))
 def score_histogram(ws: Workspace) -> DataFrame:
@@ -495,6 +520,14 @@ def twin_status(ws: Workspace) -> DataFrame:
     return fleet.twin_status(ws.windows())
 
 
+@question("twin_status_5", build("scored", out(
+    """SELECT vehicle_id, avg(messages_per_second) AS can_rate, avg(can_id_entropy) AS entropy, round_even(avg(window_delta_time_std), 4) AS signal_drift
+    FROM (SELECT * FROM scored WHERE attack_label = 0 ORDER BY window_index LIMIT 5) GROUP BY ALL""", "vehicle_id", "can_rate entropy signal_drift")))
+def twin_status_5(ws: Workspace) -> DataFrame:
+    """The first five normal windows, fewer than there are."""
+    return fleet.twin_status(ws.windows(), 5).select("vehicle_id", "can_rate", "entropy", "signal_drift")
+
+
 @question("ecu_status", build("health", f"""SELECT ecu_id, ecu_name, CASE WHEN h >= 60 THEN 'secure' WHEN h >= 30 THEN 'warning' ELSE 'critical' END AS status,
     CAST(round_even(r * rate_frac, 0) AS BIGINT) AS packet_rate, CAST(round_even(rate_frac * 100 * 3e-1, 0) AS BIGINT) AS cpu_load
     FROM ({values(fv.ECUS, 'ecu_id, ecu_name, rate_frac')}) CROSS JOIN (SELECT avg(cyber_health) AS h, avg(messages_per_second) FILTER (attack_label = 0) AS r FROM hs)"""))
