@@ -132,3 +132,28 @@ def test_components_sum_to_health_and_nulls_stay_null(spark):
         assert 0 <= r["cyber_health"] <= 100
         assert r["cyber_health"] == pytest.approx(r["threat_component"] + r["stability_component"] + r["pressure_component"])
     assert got[-1]["cyber_health"] is None and got[-1]["risk_category"] is None
+
+
+def test_top_driver_ties_are_decided_at_four_digits(spark):
+    """3.5001 and 3.5002 deviations both make 0.7000: the first feature wins, as if they were equal."""
+    from busvitals.functions import fixed_values as fv
+    from busvitals.operators.explain import top_driver
+
+    values = {c: 0.0 for c in fv.FEATURES} | {"messages_per_second": 3.5001, "can_id_entropy": 3.5002}
+    window = spark.createDataFrame([("v", "DoS", 0, "DoS", *values.values())], "vehicle_id string, capture string, w bigint, attack_type string, "
+                                   + ", ".join(f"{c} double" for c in values))
+    baseline = spark.createDataFrame([tuple([0.0] * len(values) + [1.0] * len(values))], ", ".join(
+        [f"m_{c} double" for c in values] + [f"s_{c} double" for c in values]))
+    row = top_driver(window, baseline).first()
+    assert (row.top_driver, row.contribution_pct, row.anomalous_features) == ("messages_per_second", 70.0, 2)
+
+
+def test_unknown_events_are_not_normal(spark):
+    from pyspark.sql import functions as F
+
+    from busvitals.sources.event_frames import frames_from_events, unknown_events
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(5).withColumn("event_type", F.when(F.col("event_id") % 2 == 0, "click").otherwise("new kind"))
+    rows = frames_from_events(events).collect()
+    assert {(r.capture, r.attack_label) for r in rows} == {("Normal", 0), (None, None)}
+    assert unknown_events(events).count() == sum(r.capture is None for r in rows)
