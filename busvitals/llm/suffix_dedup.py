@@ -100,12 +100,12 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     h = gram_hashes(text)
     wide = length - ANCHOR + 1
     n = len(h) - wide + 1
-    least, size = np.arange(len(h), dtype=np.int32), 1
+    value, least, size = h, np.arange(len(h), dtype=np.int32), 1
     while 2 * size <= wide:
-        left, right = least[:-size], least[size:]
-        least, size = np.where(h[left] <= h[right], left, right), 2 * size
-    left, right = least[:n], least[wide - size:wide - size + n]
-    own = np.where(h[left] <= h[right], left, right)
+        least = np.where(value[:-size] <= value[size:], least[:-size], least[size:])
+        value, size = np.minimum(value[:-size], value[size:]), 2 * size
+    last = slice(wide - size, wide - size + n)
+    own = np.where(value[:n] <= value[last], least[:n], least[last])
     first = np.flatnonzero(np.diff(own, prepend=-1))
     return h[own[first]], first, np.diff(first, append=n), own[first] - first
 
@@ -271,8 +271,8 @@ def common_intervals(text: np.ndarray, starts: np.ndarray, length: int) -> tuple
     first = np.zeros(len(place), np.uint64)
     for k in range(start):
         first = first << np.uint64(8) | text[place + k]
-    string = np.argsort(first, kind="stable")
-    first, place = first[string], place[string]
+    string = np.argsort(first, kind="stable").astype(np.int32)
+    first, place = first[string], place[string].astype(np.int32 if len(text) < 1 << 31 else np.int64)
     fresh = np.concatenate(([True], first[1:] != first[:-1])) if len(first) else np.empty(0, bool)
     for _ in range(start, length + 1):
         # intervals of one suffix hold nothing in common with another: they end here
@@ -281,7 +281,7 @@ def common_intervals(text: np.ndarray, starts: np.ndarray, length: int) -> tuple
         string, place, fresh = string[several], place[several], fresh[several]
         if not len(string) or _ == length:
             break
-        interval = np.cumsum(fresh)
+        interval = np.cumsum(fresh, dtype=np.int32)
         place = place - 1
         before = text[place]
         order = np.argsort(before, kind="stable")  # a counting sort for bytes: the LF step
