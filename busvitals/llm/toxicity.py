@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +63,7 @@ _PARTS = re.compile(r"[^\W_]+")
 
 def edits_allowed(letters: int) -> int:
     """Edits that a term of so many letters may differ by."""
-    return 0 if letters < 4 else 1 if letters < 8 else 2
+    return 0 if letters < 4 else 1 if letters < 12 else 2
 
 
 @dataclass
@@ -247,6 +249,21 @@ def _chosen(candidates: list[tuple[float, float, str, bool]]) -> list[tuple[str,
     return [(t, stem) for t, (_, stem) in chosen.items()]
 
 
+def _without_copies(labelled: DataFrame) -> DataFrame:
+    """One row of each group of texts with the same least hash of a 3-word shingle: near copies of one toxic text would else
+    make a term of every rare word in it. Each label keeps its own."""
+
+    @F.pandas_udf("long")
+    def least(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            w = (text or "").lower().split()
+            out.append(min((zlib.crc32(" ".join(w[k:k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(w) - 2))), default=0))
+        return pd.Series(out, dtype="int64")
+
+    return labelled.withColumn("_least", least("text")).dropDuplicates(["_least", "label"]).drop("_least")
+
+
 def _sample(labelled: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` of the rows, by a hash of the text's id, so that reruns agree."""
     n = labelled.count()
@@ -261,7 +278,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_terms: int = MOST_TE
     At most about ``fit_rows`` rows are used. The driver gets at most ``most_terms`` terms, their counts, and a few numbers per
     row of the sample. Without toxic or without clean rows nothing is learned, and every score is low.
     """
-    rows = stored(_sample(labelled.where(F.col("label").isin(0, 1)), fit_rows).select("text", F.col("label").cast("int").alias("label")), "toxic")
+    rows = stored(_sample(labelled.where(F.col("label").isin(0, 1)), fit_rows).select("doc_id", "text", F.col("label").cast("int").alias("label")), "sample")
+    rows = stored(_without_copies(rows).select("text", "label"), "toxic")
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     all_pos, all_neg = totals.get(1, 0), totals.get(0, 0)
     if not all_pos or not all_neg:
