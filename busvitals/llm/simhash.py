@@ -44,21 +44,26 @@ SHARDS = T.StructType([T.StructField("shard", T.StringType()), T.StructField("pr
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> int:
-    """Unsigned SimHash of 64 bits per lane of the lower-cased (A-Z) words' shingles; fewer words are one shingle, none give
-    0. The first lane is XXH64 itself, further ones are mixed from it."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of the lower-cased (A-Z) words' shingles, ``PART`` at a time; fewer words are one shingle, none give nothing."""
     words = byte_words(text)
     if not words:
-        return 0
+        return
     line = b" ".join(words).lower()
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate(([0], ends[:-1] + 1))[:n]
     stops = ends[len(words) - n:]
-    ones = np.zeros((lanes, BITS), np.int64)
     digest = xxhash.xxh64_intdigest
     for k in range(0, n, PART):
-        h = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[k:k + PART].tolist(), stops[k:k + PART].tolist())), np.uint64)
+        yield np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[k:k + PART].tolist(), stops[k:k + PART].tolist())), np.uint64)
+
+
+def _majority(parts: Iterable[np.ndarray], lanes: int) -> int:
+    """SimHash of 64 bits per lane of hashes; 0 of none."""
+    ones, n = np.zeros((lanes, BITS), np.int64), 0
+    for h in parts:
+        n += len(h)
         for lane in range(lanes):
             if lane:
                 h = (h ^ (h >> np.uint64(31))) * _MIX[0]
@@ -67,6 +72,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, lane
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> int:
+    """Unsigned SimHash of 64 bits per lane of a text's shingles, repeated ones as often as they occur. The first lane is
+    XXH64 itself, further ones are mixed from it."""
+    return _majority(shingle_hashes(text, shingle, seed), lanes)
+
+
 def signed(number: int) -> int:
     return number - (1 << BITS) if number >> BITS - 1 else number
 
@@ -244,73 +255,143 @@ def near_duplicates(
 
 
 LANES = 4
-#: Of 256 bits. Shingle sets that share 0.8 of their union differ in 39 on average with a deviation of 5.7; two deviations
-#: more let few of them through. Unrelated texts differ in 128.
-SIMILAR_RADIUS = 50
-KEY_BITS = 12  # per table, for up to 2 ** 18 fingerprints; more for more
-MISS = 0.02  # greatest chance that no table holds a pair at the radius of similarity 0.8
+SIMILAR = 0.8  # least share of their union that two texts' distinct shingles have in common
+#: Of 256 bits; only says which pairs are compared. Shingle sets that share 0.8 of their union differ in 39 on average with a
+#: deviation of 5.7, so one pair in 250 is beyond it. Unrelated texts differ in 128.
+SIMILAR_RADIUS = 54
+KEY_BITS = 8  # per table, for up to 2 ** 16 sets; more for more
+MISS = 0.02  # greatest chance that no table holds a pair at the radius
 SIMILAR_SHINGLE = 5
-_AGREE = 1 - 39 / 256  # chance that such a pair agrees in a bit
+NEAREST = 8  # partners in a shard of which all are compared; of more the nearest, and the least of all
+_AGREE = 1 - SIMILAR_RADIUS / (LANES * BITS)  # chance that a pair at the radius agrees in a bit
+_SLICE = 256  # members of a shard compared with the others at a time
+
+WIDE = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
+    T.StructField("wide", T.BinaryType()), T.StructField("text_hash", T.LongType())])
+TABLES = T.StructType([
+    T.StructField("shard", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("wide", T.BinaryType())])
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("far", T.LongType())])
+SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+
+
+def _table_bits(sets: int) -> tuple[int, int]:
+    """Bits of a table's key and number of tables for so many sets: shards stay small, the chance to miss stays."""
+    bits = max(KEY_BITS, math.ceil(math.log2(max(1, sets))) - 8)
+    return bits, math.ceil(math.log(1 / MISS) / _AGREE**bits)
 
-WIDE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("text_hash", T.LongType())])
-TABLES = T.StructType([T.StructField("shard", T.LongType()), T.StructField("node", T.LongType()), T.StructField("wide", T.BinaryType())])
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's 5-word shingles, in order."""
+    parts = list(shingle_hashes(text, SIMILAR_SHINGLE))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
-def _table_bits(prints: int) -> tuple[int, int]:
-    """Bits of a table's key and number of tables for so many fingerprints: shards stay small, the chance to miss stays."""
-    bits = max(KEY_BITS, math.ceil(math.log2(max(1, prints))) - 6)
-    return bits, math.ceil(math.log(1 / MISS) / _AGREE**bits)
+
+def _node(hashes: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+
+
+def near_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(greater node, lesser node, differing bits) of a shard's members that may be similar: within the radius, and of sizes
+    that allow it. A member with more than ``NEAREST`` partners has the nearest ones and the least one, so that n copies have
+    no n squared pairs."""
+    for k in range(0, len(node), _SLICE):
+        far = np.bitwise_count(wide[k:k + _SLICE, None, :] ^ wide[None]).sum(2, dtype=np.int64)
+        own = size[k:k + _SLICE, None]
+        may = (far <= SIMILAR_RADIUS) & (np.minimum(own, size) >= SIMILAR * np.maximum(own, size) - 1e-9) & (node[k:k + _SLICE, None] != node)
+        for i in np.flatnonzero(may.any(1)):
+            at = np.flatnonzero(may[i])
+            if len(at) > NEAREST:
+                at = np.append(at[np.lexsort((node[at], far[i, at]))[:NEAREST]], at[node[at].argmin()])
+            me = int(node[k + i])
+            yield from ((max(me, o), min(me, o), f) for o, f in zip(node[at].tolist(), far[i, at].tolist()))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets share at least ``SIMILAR`` of their union."""
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("hashes").alias("_b")), "b")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return both.where(shared >= F.lit(SIMILAR) * (F.size("_a") + F.size("_b") - shared) - F.lit(1e-9)).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Fingerprints (``doc_id``, ``wide``, ``text_hash``) of 256 bits over 5-word shingles, and ``wide`` -> ``root`` for all.
+    """Rows (``doc_id``, ``node``, ``n``, ``wide``, ``text_hash``: a number and the size of the text's set of 5-word shingles, and
+    its fingerprint of 256 bits), and ``node`` -> ``root`` for all.
 
-    For texts of similarity 0.8 or more the radius is far too wide for shards by agreeing blocks, so shards are tables of
-    randomly chosen bits; a pair misses all of them with a chance below ``MISS``, and rarer still as groups are connected over
-    any of their members.
+    Fingerprints only find candidates: for similarity 0.8 the radius is far too wide for shards by agreeing blocks, so shards
+    are tables of randomly chosen bits; a pair misses all of them with a chance below ``MISS``. A link is a pair of which the
+    sets themselves are at least ``SIMILAR``. First each set is compared with its nearest and its least candidate; the other
+    candidates are compared where this has not connected them yet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i, fingerprint(t.as_py(), SIMILAR_SHINGLE, SEED, LANES).to_bytes(LANES * 8, "big"), x)
-                for b in batches for i, t, x in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()))
-        yield from batched(rows, WIDE)
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for i, t, x in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                    own = shingle_set(t.as_py())
+                    yield i, _node(own), len(own), _majority([own], LANES).to_bytes(LANES * 8, "big"), x
+
+        yield from batched(rows(), WIDE)
 
     text = F.col(text_col).cast("string")
     own = stored(docs.select(F.col(id_col).cast("bigint").alias("i"), text.alias("t"), F.xxhash64(text).alias("x")).mapInArrow(run, WIDE), "wide")
-    distinct = stored(own.select("wide").distinct().select(F.xxhash64("wide").alias("node"), "wide"), "distinct-wide")
-    bits, tables = _table_bits(distinct.count())
+    distinct = stored(own.groupBy("node").agg(F.first("n").alias("n"), F.first("wide").alias("wide")), "distinct-wide")
+    filled = distinct.where("n > 0")
+    bits, tables = _table_bits(filled.count())
     chosen = np.random.Generator(np.random.PCG64(SEED)).random((tables, LANES * BITS)).argsort(1)[:, :bits]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            wide = batch.column(1).to_pylist()
+            wide = batch.column(2).to_pylist()
             set_bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1), axis=1)
             for k, own_bits in enumerate(chosen):
                 shard = (set_bits[:, own_bits] * weights).sum(1) * tables + k
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0), batch.column(1)], names=["shard", "node", "wide"])
-
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(members: dict[int, int]) -> Iterator[tuple[int, int]]:
-            if len(members) > 1:
-                yield from ((members[a], members[b]) for a, b in shard_links(list(members), SIMILAR_RADIUS))
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *batch.columns], names=TABLES.names)
 
-        def rows() -> Iterator[tuple[int, int]]:
-            shard, members = None, {}
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shards() -> Iterator[list[np.ndarray]]:
+            held: list[np.ndarray] | None = None
             for batch in batches:
-                for s, node, wide in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    if s != shard:
-                        yield from linked(members)
-                        shard, members = s, {}
-                    members[int.from_bytes(wide, "big")] = node
-            yield from linked(members)
-
-        yield from batched(rows(), LINKS)
-
-    found = distinct.mapInArrow(keys, TABLES).repartition("shard").sortWithinPartitions("shard").mapInArrow(trees, LINKS)
-    joined = components(found)
-    roots = distinct.join(joined, F.col("node") == F.col("a"), "left").select("wide", F.coalesce("b", "node").alias("root"))
-    return own, roots
+                wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, LANES)
+                now = [*(batch.column(c).to_numpy() for c in range(3)), wide]
+                held = now if held is None else [np.concatenate(c) for c in zip(held, now)]
+                ends = np.flatnonzero(np.diff(held[0])) + 1
+                for a, b in zip([0, *ends], ends):
+                    yield [c[a:b] for c in held]
+                held = [c[ends[-1] if len(ends) else 0:] for c in held]
+            if held is not None:
+                yield held
+
+        yield from batched((pair for _, node, size, wide in shards() for pair in near_pairs(node, size, wide)), PAIRS)
+
+    placed = filled.select("node", "n", "wide").mapInArrow(keys, TABLES)
+    found = placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(candidates, PAIRS)
+    pairs = stored(found.groupBy("a", "b").agg(F.min("far").alias("far")), "pairs")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = (shingle_set(t.as_py()) for b in batches for t in b.column(0))
+        yield from batched(((_node(h), h.view(np.int64)) for h in sets), SETS, lambda r: 8 * len(r[1]) + 64)
+
+    # the sets of what is compared, made anew from the texts; one row of each
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "far").unionByName(
+        pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "far"))
+    firsts = stored(ends.groupBy("node").agg(F.min("other").alias("least"), F.min(F.struct("far", "other")).alias("near")), "first-pairs")
+    texts = own.join(firsts.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("_h")).select("_h").distinct()
+    used = docs.select(text.alias("t")).withColumn("_h", F.xxhash64("t")).join(texts, "_h", "left_semi")
+    sets = stored(used.select("t").mapInArrow(whole, SETS).dropDuplicates(["node"]), "sets")
+    pair = lambda other: firsts.select(F.greatest("node", other).alias("a"), F.least("node", other).alias("b"))
+    joined = components(_similar(pair(F.col("least")).unionByName(pair(F.col("near.other"))).distinct(), sets))
+
+    def rooted(df: DataFrame, column: str) -> DataFrame:
+        root = joined.select(F.col("a").alias(column), F.col("b").alias(f"root_{column}"))
+        return df.join(root, column, "left").withColumn(f"root_{column}", F.coalesce(f"root_{column}", column))
+
+    rest = rooted(rooted(pairs, "a"), "b").where("root_a <> root_b").select("a", "b")
+    more = components(rooted(rooted(_similar(rest, sets), "a"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    roots = rooted(distinct.select(F.col("node").alias("a")), "a").join(more.select(F.col("a").alias("root_a"), "b"), "root_a", "left")
+    return own, roots.select(F.col("a").alias("node"), F.coalesce("b", "root_a").alias("root"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,7 +400,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own, roots = similar_groups(docs, id_col, text_col)
     roots = stored(roots, "roots")
     last = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    best = own.join(roots, "wide").groupBy("root").agg(F.min(last).alias("m")).select(
+    best = own.join(roots, "node").groupBy("root").agg(F.min(last).alias("m")).select(
         F.col("m.doc_id").alias("_id"), F.col("m.text_hash").alias("_hash"))
     best = stored(best, "kept")
     key = F.col(id_col).cast("bigint")

@@ -243,6 +243,31 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(documents(spark, [])).count() == 0
 
 
+def test_one_of_each_keeps_what_is_not_similar(spark):
+    """Pairs that fingerprints within the radius cannot tell apart are decided by their sets, and repeats do not count."""
+    rng = np.random.default_rng(11)
+    rows, similar = [], {}
+    for k in range(120):
+        w = [f"v{x}" for x in rng.integers(0, 100_000, 304)]
+        changed = list(w)
+        for at in range(10, 10 + 5 * (8, 12)[k % 2], 5):  # 40 or 60 of 300 shingles: similarity 0.76 and 0.67
+            changed[at] = "changed"
+        close = list(w)
+        for at in range(10, 35, 5):  # 25 of 300 shingles: similarity 0.85
+            close[at] = "other"
+        rows += [(10 * k, " ".join(w), "en", "a"), (10 * k + 1, " ".join(changed), "en", "a"), (10 * k + 2, " ".join(close), "en", "a")]
+    line = "one line that is found again and again "
+    rows += [(5_000 + k, line * 300 + " ".join(f"u{x}" for x in rng.integers(0, 100_000, 100)), "en", "a") for k in range(5)]
+    shingles = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t, _, _ in rows}
+    for k in range(120):
+        a, b, c = (shingles[10 * k + j] for j in range(3))
+        similar[k] = [len(x & y) / len(x | y) for x, y in ((a, b), (a, c), (b, c))]
+    assert all(s[0] < 0.8 <= s[1] and s[2] < 0.8 for s in similar.values())
+    left = {r.doc_id for r in simhash.one_of_each(documents(spark, rows)).collect()}
+    assert {i for i, *_ in rows if i % 10 != 2 or i >= 5_000} <= left
+    assert sum(10 * k + 2 in left for k in range(120)) <= 2
+
+
 # repeated passages
 
 
