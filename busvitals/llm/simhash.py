@@ -263,6 +263,8 @@ KEY_BITS = 8  # per table, for up to 2 ** 16 sets; more for more
 MISS = 0.02  # greatest chance that no table holds a pair at the radius
 SIMILAR_SHINGLE = 5
 NEAREST = 8  # partners in a shard of which all are compared; of more the nearest, and the least of all
+BLOCK_ROWS = 2_000  # a larger shard is worked on in blocks
+LEADERS = 32  # about so many members of a larger shard are in all its blocks
 _AGREE = 1 - SIMILAR_RADIUS / (LANES * BITS)  # chance that a pair at the radius agrees in a bit
 _SLICE = 256  # members of a shard compared with the others at a time
 
@@ -307,6 +309,24 @@ def near_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray) -> Iterator
             yield from ((max(me, o), min(me, o), f) for o, f in zip(node[at].tolist(), far[i, at].tolist()))
 
 
+def in_blocks(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Members of shards with those of over ``block_rows`` dealt by hash to blocks, ``shard`` then being the block's number.
+
+    Near copies agree in nearly all bits, so further bits would not part them. Members in different blocks are connected by
+    way of the shard's ``LEADERS`` least nodes, which are members of each block, and blocks differ from table to table.
+    """
+    large = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block_rows)
+    large = stored(large, "large-shards")
+    blocks = F.ceil(F.col("m") / F.lit(block_rows)).cast("bigint")
+    leads = F.col("node").cast("double") < F.lit(float(1 << BITS)) * (F.lit(LEADERS) / F.col("m") - F.lit(0.5))  # nodes are hashes
+    own = (
+        F.when(F.col("m").isNull(), F.array(F.lit(0).cast("bigint"))).when(leads, F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+        .otherwise(F.array(F.pmod(F.xxhash64("shard", "node"), blocks)))
+    )
+    dealt = placed.join(large, "shard", "left").withColumn("_block", F.explode(own))
+    return dealt.select(F.when(F.col("m").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", "_block")).alias("shard"), "node", "n", "wide")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets share at least ``SIMILAR`` of their union."""
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a")), "a").join(
@@ -315,7 +335,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared >= F.lit(SIMILAR) * (F.size("_a") + F.size("_b") - shared) - F.lit(1e-9)).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Rows (``doc_id``, ``node``, ``n``, ``wide``, ``text_hash``: a number and the size of the text's set of 5-word shingles, and
     its fingerprint of 256 bits), and ``node`` -> ``root`` for all.
 
@@ -367,7 +387,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from batched((pair for _, node, size, wide in shards() for pair in near_pairs(node, size, wide)), PAIRS)
 
     placed = filled.select("node", "n", "wide").mapInArrow(keys, TABLES)
-    found = placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(candidates, PAIRS)
+    found = in_blocks(placed, block_rows).repartition("shard").sortWithinPartitions("shard").mapInArrow(candidates, PAIRS)
     pairs = stored(found.groupBy("a", "b").agg(F.min("far").alias("far")), "pairs")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,10 +414,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own, roots.select(F.col("a").alias("node"), F.coalesce("b", "root_a").alias("root"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The input rows, all columns, one of each group of near-duplicates: that of the smallest id (null last), of the smallest
     text hash where ids are equal. Texts without words are one group. A table without copies stays as it is."""
-    own, roots = similar_groups(docs, id_col, text_col)
+    own, roots = similar_groups(docs, id_col, text_col, block_rows)
     roots = stored(roots, "roots")
     last = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     best = own.join(roots, "node").groupBy("root").agg(F.min(last).alias("m")).select(

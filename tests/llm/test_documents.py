@@ -268,6 +268,28 @@ def test_one_of_each_keeps_what_is_not_similar(spark):
     assert sum(10 * k + 2 in left for k in range(120)) <= 2
 
 
+def test_large_shards_are_worked_on_in_blocks(spark):
+    rng = np.random.default_rng(12)
+    nodes = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 5_000)]
+    placed = spark.createDataFrame([(7, x, 100, b"x") for x in nodes] + [(8, x, 100, b"y") for x in nodes[:90]], simhash.TABLES)
+    members = defaultdict(list)
+    for r in simhash.in_blocks(placed, 100).collect():
+        members[r.shard].append(r.node)
+    assert sorted(members.pop(8)) == sorted(nodes[:90]) and len(members) == 50
+    assert set().union(*members.values()) == set(nodes) and max(map(len, members.values())) < 250
+    leaders = set.intersection(*map(set, members.values()))
+    assert leaders == set(sorted(nodes)[:len(leaders)]) and 10 < len(leaders) < 60
+
+    base = [f"v{x}" for x in rng.integers(0, 100_000, 200)]
+    rows = []
+    for k in range(400):  # copies of one text with a word changed
+        w = list(base)
+        w[int(rng.integers(0, 200))] = f"changed{k}"
+        rows.append((k, " ".join(w), "en", "a"))
+    rows.append((900, " ".join(f"v{x}" for x in rng.integers(0, 100_000, 200)), "en", "a"))
+    assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, rows), block_rows=50).collect()) == [0, 900]
+
+
 # repeated passages
 
 
