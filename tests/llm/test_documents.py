@@ -56,6 +56,20 @@ def test_quality_bands(spark):
     assert not any(r.kept for r in quality_rules(documents(spark, rows)).collect())
 
 
+def test_quality_finds_junk_in_a_part_of_a_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = sorted((r.text for r in quality_rules(docs).where("kept").join(docs, "doc_id").select("text").collect()), key=lambda t: (len(t), t))[-20:]
+    rng = np.random.default_rng(2)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")
+    noise = " ".join("".join(rng.choice(letters, 60)) for _ in range(400))
+    whole = max(clean, key=lambda t: len(t.encode())).encode()
+    cut = lambda n: whole[:n].decode(errors="ignore")
+    assert len(whole) >= 20_000
+    rows = [(1, cut(20_000) + " " + noise[:20_000], "en", "a"), (2, cut(8_192) + " " + noise[:4_095], "en", "a"), (3, cut(1_500) + " " + noise[:700], "en", "a")]
+    rows += [(10, cut(20_000), "en", "a"), (11, cut(8_192), "en", "a"), (12, cut(1_500), "en", "a")]
+    assert {r.doc_id: r.kept for r in quality_rules(documents(spark, rows)).collect()} == {1: False, 2: False, 3: False, 10: True, 11: True, 12: True}
+
+
 def test_quality_keeps_columns_and_empty(spark):
     docs = documents(spark)
     kept = kept_documents(docs)
