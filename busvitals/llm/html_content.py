@@ -2,7 +2,8 @@
 
 A page is read as a sequence of words and tags. Words score positive, tags negative; how much is learned from labelled
 pages. One linear scan finds the contiguous stretch with the greatest sum, which is where the article is. Inside the
-stretch, elements that are never article text (menus, forms, adverts, comments ...) are left out.
+stretch, elements that are never article text (menus, forms, adverts, comments ...) are left out. A tag or role says so for
+certain; a name in a class or id only lowers an element's score: it is left out unless it still outweighs the rest of the page.
 
 Labelled pages are those whose author marked the main text with ``article`` or ``main``: what lies inside is content,
 everything else is not. A word's weight is the log-odds of content for the block element it stands in (apart for
@@ -44,6 +45,9 @@ NAMES_OUTSIDE = frozenset(
     "pager form search skip".split())
 ROLES_OUTSIDE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MARKED = ("article", "main")
+WHOLE = frozenset("html body main article".split())  # a name never puts these, or what is around them, outside
+#: What is left of the score of an element whose class or id names a menu, advert and the like.
+NAMED_SHARE, NAMED_COST = 0.5, 5.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)|([^<]+|<)",
@@ -67,68 +71,127 @@ COUNTS = T.StructType([
 ])
 
 
-def _names_outside(attributes: str) -> bool:
-    """Do class, id or role say that the element is not article text?"""
+CERTAIN, NAMED = 2, 1
+
+
+def _says_outside(attributes: str) -> int:
+    """Do role or a hidden state (``CERTAIN``), or class or id (``NAMED``), say that the element is not article text?"""
+    said = 0
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return CERTAIN
         if key == "role":
             if value.lower() in ROLES_OUTSIDE:
-                return True
+                return CERTAIN
         elif key in ("class", "id"):
             names = _NAME.findall(_CAMEL.sub("-", value))
             if any(n.lower() in NAMES_OUTSIDE for n in names):
-                return True
-    return False
+                said = NAMED
+    return said
+
+
+class _Page:
+    """A page's tokens (kind, text, words, certainly outside, marked, innermost named element or -1), and its named elements:
+    which one is around each, and whether it counts as any other element."""
+
+    def __init__(self, page: str) -> None:
+        self.around: list[int] = []
+        self.free: list[bool] = []
+        self.plain_article = False  # has an article that no name is on or around
+        self.named_articles: list[int] = []
+        self.tokens = list(self._read(page))
+        # next to a plain article, named ones may be comments
+        for number in [] if self.plain_article else self.named_articles:
+            self.release(number)
+
+    def release(self, number: int) -> None:
+        while number >= 0 and not self.free[number]:
+            self.free[number] = True
+            number = self.around[number]
+
+    def _name(self, around: int) -> int:
+        self.around.append(around)
+        self.free.append(False)
+        return len(self.free) - 1
+
+    def outside(self) -> list[bool]:
+        """Of each named element, and last of -1: is it or one around it left out?"""
+        out: list[bool] = []
+        for around, free in zip(self.around, self.free):
+            out.append(not free or around >= 0 and out[around])
+        return [*out, False]
+
+    def resolved(self) -> Iterator[tuple[str, str, int, bool, bool]]:
+        out = self.outside()
+        for kind, text, words, certain, marked, number in self.tokens:
+            yield kind, text, words, certain or out[number], marked
+
+    def _read(self, page: str) -> Iterator[tuple[str, str, int, bool, bool, int]]:
+        stack: list[tuple[str, bool, bool, int]] = []  # name, certainly outside, marked, named element
+        block, link, paragraph = "", 0, -1
+        at, end = 0, len(page)
+        while at < end:
+            m = _TOKEN.match(page, at)
+            if m is None:
+                return
+            at = m.end()
+            outside, marked, number = stack[-1][1:] if stack else (False, False, -1)
+            if m[7] is not None:
+                text = m[7]
+                while at < end and (n := _TOKEN.match(page, at)) and n[7] is not None:  # a lone "<" belongs to the text
+                    text, at = text + n[7], n.end()
+                yield f"w:{block}+a" if link else f"w:{block}", text, len(text.split()), outside, marked, paragraph if paragraph >= 0 else number
+                continue
+            closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            if not name:
+                continue
+            name = name.lower()
+            if name in RAW and not closing:
+                close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = close.end() if close else end
+                yield "t:" + name, "", 0, outside, marked, number
+                continue
+            inner = number
+            if name == "a":
+                link = 0 if closing else 1
+            elif name in NESTING:
+                if closing:
+                    held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+                    if held is not None:
+                        del stack[held:]
+                else:
+                    said = _says_outside(rest) if rest else 0
+                    if said == NAMED and name not in ("html", "body", "main"):
+                        inner = self._name(number)
+                    certain = outside or name in OUTSIDE or said == CERTAIN
+                    if name == "article" and not certain:
+                        if inner >= 0:
+                            self.named_articles.append(inner)
+                        else:
+                            self.plain_article = True
+                    elif name in WHOLE and not certain:
+                        self.release(number)
+                    stack.append((name, certain, marked or name in MARKED, inner))
+                block, link, paragraph = stack[-1][0] if stack else "", 0, -1
+            elif name in BLOCKS and name != "br":
+                block, paragraph = (stack[-1][0] if stack else "") if closing else name, -1
+                if not closing and name == "p" and rest and (said := _says_outside(rest)):
+                    if said == CERTAIN:
+                        block = "p.outside"
+                    else:
+                        paragraph = self._name(number)
+            yield "t:" + name, "", 0, outside or bool(stack and stack[-1][1]), marked, inner
 
 
 def page_tokens(page: str) -> Iterator[tuple[str, str, int, bool, bool]]:
     """Tokens of a page: (kind, text, words, outside, marked).
 
     Kind is ``t:name`` for a tag and ``w:block`` or ``w:block+a`` for a run of text; ``outside`` is true within elements that
-    are never article text, ``marked`` within the author's own ``article`` or ``main``. Elements left open end where an
-    element around them ends.
+    are never article text or are named so, ``marked`` within the author's own ``article`` or ``main``. Elements left open end
+    where an element around them ends.
     """
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, marked
-    block, link = "", 0
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.match(page, at)
-        if m is None:
-            return
-        at = m.end()
-        outside, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if m[7] is not None:
-            text = m[7]
-            while at < end and (n := _TOKEN.match(page, at)) and n[7] is not None:  # a lone "<" belongs to the text
-                text, at = text + n[7], n.end()
-            yield f"w:{block}+a" if link else f"w:{block}", text, len(text.split()), outside, marked
-            continue
-        closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            continue
-        name = name.lower()
-        if name in RAW and not closing:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else end
-            yield "t:" + name, "", 0, outside, marked
-            continue
-        if name == "a":
-            link = 0 if closing else 1
-        elif name in NESTING:
-            if closing:
-                held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-                if held is not None:
-                    del stack[held:]
-            else:
-                stack.append((name, outside or name in OUTSIDE or bool(rest) and _names_outside(rest), marked or name in MARKED))
-            block, link = stack[-1][0] if stack else "", 0
-        elif name in BLOCKS and name != "br":
-            block = (stack[-1][0] if stack else "") if closing else name
-            if not closing and name == "p" and rest and _names_outside(rest):
-                block = "p.outside"
-        yield "t:" + name, "", 0, outside or bool(stack and stack[-1][1]), marked
+    yield from _Page(page).resolved()
 
 
 def token_counts(page: str) -> Counter:
@@ -144,26 +207,49 @@ def token_counts(page: str) -> Counter:
     return total
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
-    """The main text of a page and the score of its stretch."""
+def _step(kind: str, words: int, weights: dict[str, float]) -> float:
+    if kind[0] == "w":
+        return words * weights.get(kind, WORD_DEFAULT)
+    return weights.get(kind, TAG_MOST if kind[2:] in TEXT_TAGS else TAG_DEFAULT)
+
+
+def _best_stretch(page: _Page, weights: dict[str, float]) -> tuple[list[tuple[str, str]], float]:
+    """The tokens (kind, text) of the stretch with the greatest sum, and the sum."""
     pieces: list[tuple[str, str]] = []
     best, best_from, best_to = 0.0, 0, 0
     total, begin, cost = 0.0, 0, 0.0
-    for kind, text, words, outside, _ in page_tokens(page or ""):
+    for kind, text, words, outside, _ in page.resolved():
         if outside or kind == "w:p.outside":
             step = max(OUTSIDE_COST * max(words, 1), OUTSIDE_MOST - cost)  # an element inside an article must not break it in two
             cost += step
             pieces.append((kind, "" if kind[0] == "w" else text))
         else:
             cost = 0.0
-            step = words * weights.get(kind, WORD_DEFAULT) if kind[0] == "w" else weights.get(kind, TAG_MOST if kind[2:] in TEXT_TAGS else TAG_DEFAULT)
+            step = _step(kind, words, weights)
             pieces.append((kind, text))
         total += step
         if total <= 0:
             total, begin = 0.0, len(pieces)
         elif total > best:
             best, best_from, best_to = total, begin, len(pieces)
-    out = [html.unescape(text) if kind[0] == "w" else " " * (kind[2:] in BLOCKS) for kind, text in pieces[best_from:best_to]]
+    return pieces[best_from:best_to], best
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
+    """The main text of a page and the score of its stretch."""
+    read = _Page(page or "")
+    pieces, best = _best_stretch(read, weights)
+    if not all(read.free):  # does a named element outweigh the rest even with its score lowered?
+        own = [0.0] * len(read.free)
+        for kind, _, words, certain, _, number in read.tokens:
+            if number >= 0 and not certain and kind != "w:p.outside":
+                own[number] += _step(kind, words, weights)
+        heavy = [k for k, score in enumerate(own) if not read.free[k] and NAMED_SHARE * score - NAMED_COST > best]
+        for k in heavy:
+            read.release(k)
+        if heavy:
+            pieces, best = _best_stretch(read, weights)
+    out = [html.unescape(text) if kind[0] == "w" else " " * (kind[2:] in BLOCKS) for kind, text in pieces]
     return " ".join("".join(out).split()), best
 
 

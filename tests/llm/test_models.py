@@ -102,6 +102,27 @@ def test_pages_by_hand(spark):
     assert html_content.extract(df.limit(0)).count() == 0
 
 
+PROSE = " ".join(f"prose{k}" for k in range(80))
+NAMED_PAGES = {
+    f"<body class='has-sidebar'><p>{PROSE}</p><div class=sidebar>side text</div></body>": PROSE,
+    f"<article class='post category-legal'><p>{PROSE}</p></article>": PROSE,
+    f"<main id=search-results><p>{PROSE}</p></main>": PROSE,
+    f"<div class='layout with-sidebar'><article><p>{PROSE}</p><div class='related'>see also this</div></article></div>": PROSE,
+    f"<h1>Title</h1><div class='content with-sidebar'><p>{PROSE}</p></div>": f"Title {PROSE}",
+    f"<div class='page no-comments'><div class='content with-sidebar'><p>{PROSE}</p></div></div>": PROSE,
+    f"<p class='form-intro'>{PROSE}</p><p class=ad>buy this now</p>": PROSE,
+    f"<article><p>{PROSE}</p></article><div class=comments><article class=comment><p>{'says ' * 60}</p></article></div>": PROSE,
+    f"<div class='ad'>{'buy ' * 30}</div><p>{PROSE}</p>": PROSE,
+    "<div class='ad'>buy now</div>": "",
+}
+
+
+def test_names_do_not_put_the_article_outside(spark):
+    weights = html_content.fit_weights(spark.read.parquet(f"{FOLDER}/pages.parquet"))
+    for w in (weights, {}):
+        assert [html_content.main_text(p, w)[0] for p in NAMED_PAGES] == list(NAMED_PAGES.values())
+
+
 def test_best_stretch_is_a_linear_scan():
     """The score equals the best of all stretches."""
     rng = random.Random(3)
