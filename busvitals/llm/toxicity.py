@@ -47,7 +47,7 @@ MENTION = frozenset(
     "sagte sagt zitat zitierte nannte schrieb wort begriff "
     "dit disait cite citation mot mots terme écrit appelé "
     "dijo dice cita citado palabra palabras término escribió llamó".split())
-MENTION_PRIOR = -1.5
+MENTION_PRIOR = -1.5  # likewise
 
 COUNTS = T.StructType([T.StructField("word", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("neg", T.LongType())])
 FEATURES = T.StructType([
@@ -63,7 +63,7 @@ _PARTS = re.compile(r"[^\W_]+")
 
 def edits_allowed(letters: int) -> int:
     """Edits that a term of so many letters may differ by."""
-    return 0 if letters < 4 else 1 if letters < 12 else 2
+    return 0 if letters < 4 else 1 if letters < 8 else 2
 
 
 @dataclass
@@ -115,33 +115,47 @@ class Trie:
         return (best[2], best[0]) if best else None
 
 
+_ALL_KINDS = (1 << 61) - 1
+
+
+def _kinds(word: str) -> int:
+    """A bit for each kind of letter; some kinds share one."""
+    out = 0
+    for c in word:
+        out |= 1 << ord(c) % 61
+    return out
+
+
 class Sieve:
     """Tells most words apart from the lexicon before the automaton runs.
 
     A term that may differ by d edits is cut into d + 1 pieces. An edit spoils one piece, or, where it swaps the letters at a
     cut, makes the swapped pair appear; so a word within d edits holds a piece or a swapped pair, at most d letters off its
-    place. Nothing within reach is ever sifted out.
+    place. Each edit also adds or takes away one kind of letter at most, so no more than d kinds of a term are missing from the
+    word, and, unless the term is a stem, none but d of the word's are foreign to it. Nothing within reach is ever sifted out.
     """
 
     def __init__(self, terms: list[tuple[str, bool]]) -> None:
-        self.pieces: dict[str, list[tuple[int, int, int, int, int]]] = {}
+        self.pieces: dict[str, list[tuple[int, int, int, int, int, int, int]]] = {}
         for term, stem in terms:
-            n, d = len(term), edits_allowed(len(term))
+            n, d, kinds = len(term), edits_allowed(len(term)), _kinds(term)
             cuts = [n * k // (d + 1) for k in range(d + 2)]
             parts = [(a, term[a:b]) for a, b in zip(cuts, cuts[1:])]
             parts += [(c - 1, term[c] + term[c - 1]) for c in cuts[1:-1]]
             for at, piece in parts:
-                self.pieces.setdefault(piece, []).append((at - d, at + d, n - d, 1 << 30 if stem else n + d, d))
+                self.pieces.setdefault(piece, []).append((at - d, at + d, n - d, 1 << 30 if stem else n + d, d, kinds, _ALL_KINDS if stem else kinds))
         self.sizes = sorted({len(p) for p in self.pieces})
 
     def edits(self, word: str) -> int:
         """Most edits to look for in a word; -1 if no term can be near it."""
-        most, n, pieces = -1, len(word), self.pieces
+        most, n, pieces, kinds = -1, len(word), self.pieces, None
         for size in self.sizes:
             for k in range(n - size + 1):
-                for low, high, short, long, d in pieces.get(word[k:k + size], ()):
+                for low, high, short, long, d, own, known in pieces.get(word[k:k + size], ()):
                     if d > most and low <= k <= high and short <= n <= long:
-                        most = d
+                        kinds = _kinds(word) if kinds is None else kinds
+                        if (own & ~kinds).bit_count() <= d and (kinds & ~known).bit_count() <= d:
+                            most = d
         return most
 
 
@@ -329,17 +343,21 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_terms: int = MOST_TE
         .limit(4 * most_terms).collect()
     )
     hits = next(((r["pos"], r["neg"]) for r in seen if r["word"] == "\t"), (0, 0))
+    learned = {"<quoted>": QUOTE_PRIOR, "<mention>": MENTION_PRIOR}
     for r in seen:
         term, _, rest = r["word"].partition("\t")
         if term:
             model.weights[term, int(rest)] = max(-3.0, min(8.0, odds(r["pos"], r["neg"])))
-        elif rest and rest[0] != "<" and g_square(r["neg"], r["pos"], max(hits[1], 1), max(hits[0], 1)) >= SIGNIFICANT:
+        elif rest[:1] == "<":  # marks have weights of their own once training shows them
+            rate = (hits[0] + 0.5) / (sum(hits) + 1)
+            learned[rest] = max(-3.0, min(0.0, math.log((r["pos"] + rate) / (r["neg"] + 1 - rate)) - math.log(rate / (1 - rate))))
+        elif rest and g_square(r["neg"], r["pos"], max(hits[1], 1), max(hits[0], 1)) >= SIGNIFICANT:
             model.context[rest] = max(-3.0, min(0.0, odds(r["pos"], r["neg"]) - odds(*hits)))
     for term, _ in model.terms:  # an edit of a term that training did not show counts somewhat less than the term
         sure = model.weights.get((term, 0), 0.0)
         for d in range(1, edits_allowed(len(term)) + 1):
             model.weights.setdefault((term, d), max(0.0, sure - 0.75 * d))
-    model.context |= {"<quoted>": QUOTE_PRIOR, "<mention>": MENTION_PRIOR}
+    model.context |= learned
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batched(((*model.features(t.as_py())[0], y) for b in batches for t, y in zip(b.column(0), b.column(1).to_pylist())), FEATURES)

@@ -235,6 +235,27 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.fit(learned.limit(0)).terms == []
 
 
+def test_two_edits_from_eight_letters_on():
+    model = toxicity.Model([("nuisance", False), ("blockhead", False), ("scoundre", True), ("rascals", False)])
+    for word, term in (("unisanec", "nuisance"), ("nuissanxe", "nuisance"), ("blokchaed", "blockhead"), ("scuondrxls", "scoundre")):
+        assert model.nearest(word) == (term, 2)
+    assert model.nearest("rsacasl") is None and model.nearest("rsacals") == ("rascals", 1)
+
+
+def test_quotation_marks_are_weighed_by_the_labels(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(900):
+        text = list(rng.choice([f"word{k}" for k in range(800)], 40))
+        if k % 9 == 0:
+            text[7] = ("blockhead", "nitwit", "dunce")[k // 9 % 3]
+            if k % 2:
+                text[7] = f'"{text[7]}"'  # direct speech, and abuse all the same
+        rows.append((k, " ".join(text), int(k % 9 == 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, label int"))
+    assert model.context["<quoted>"] > -0.5 and model.context["<mention>"] == toxicity.MENTION_PRIOR
+
+
 # language model
 
 
