@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from busvitals.llm import toxicity
 from busvitals.llm.chat import digests, format_conversations
+from busvitals.llm.collocations import collocations
 from busvitals.llm.html_content import extract
 from busvitals.llm.kneser_ney import quality
+from busvitals.llm.line_dedup import keep_bitmaps, kept_texts
 from busvitals.llm.lsh_forest import search
 from busvitals.llm.mixing import mix
 from busvitals.llm.packing import pack
@@ -149,3 +151,72 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest found to every fiftieth vector."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+LINES_SQL = r"""
+WITH parts AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS part FROM documents
+), lines AS (
+  SELECT doc_id, unnest(part) AS line, generate_subscripts(part, 1) AS i FROM parts
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), gone AS (
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(g.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN gone g ON k.key = g.key GROUP BY doc_id
+"""
+
+
+@query("op12_range_partitioned_lines", LINES_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines found in ten documents or more."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return kept_texts(docs, keep_bitmaps(docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+PHRASES_SQL = r"""
+WITH plain AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(11) || chr(12) || chr(13) || '.,;:!?', 'abcdefghijklmnopqrstuvwxyz ' || repeat(chr(10), 9)) AS text
+  FROM documents
+), pieces AS (
+  SELECT lang, unnest(string_split(text, chr(10))) AS piece FROM plain
+), split AS (
+  SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS w FROM pieces
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split WHERE len(w) > 0
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM starts, range(1, 6) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, count(*) AS n FROM starts GROUP BY lang
+), listed AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM grams
+), inner_ AS (
+  SELECT lang, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase, f FROM listed WHERE k > 2
+), covered AS (
+  SELECT lang, phrase, max(f) AS most FROM inner_ GROUP BY ALL
+), open_ AS (
+  SELECT l.* FROM listed l LEFT JOIN covered c USING (lang, phrase) WHERE l.k > 1 AND (c.most IS NULL OR 100 * c.most < 100 * l.f)
+), cuts AS (
+  SELECT o.lang, o.phrase, o.f AS a, c.j, x.f AS l, y.f AS r, t.n,
+    CAST((CAST(1000 AS HUGEINT) * o.f * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM open_ o JOIN range(1, 5) c(j) ON c.j < o.k
+  JOIN grams x ON x.lang = o.lang AND x.phrase = array_to_string(o.w[1:c.j], ' ')
+  JOIN grams y ON y.lang = o.lang AND y.phrase = array_to_string(o.w[c.j + 1:o.k], ' ')
+  JOIN totals t ON t.lang = o.lang
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+
+@query("op13_setm_collocations", PHRASES_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language's 2,000 most strongly bound phrases."""
+    return collocations(table(spark, folder, "documents").select("lang", "text"))
