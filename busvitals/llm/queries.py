@@ -20,6 +20,7 @@ from busvitals.llm.quality_rules import quality_rules
 from busvitals.llm.simhash import near_duplicates
 from busvitals.llm.suffix_dedup import repeated_passages
 from busvitals.llm.text import table, word_count
+from busvitals.llm.turn_repair import damaged, repaired_digests
 from busvitals.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +221,10 @@ FROM lowest QUALIFY rank <= 2000
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """Each language's 2,000 most strongly bound phrases."""
     return collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+@query("op11_lightest_derivation")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, damaged and put right again: its faults, the cheapest edits, and the hash of what they make."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return repaired_digests(damaged(turns), turns)
