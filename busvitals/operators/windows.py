@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,13 @@ def window_features(
     return features_of_windows(count_window(slim, size, **blocks), size, tail, label)
 
 
-def features_of_windows(framed: DataFrame, size: int = fv.WINDOW_SIZE, tail: str = "drop", label: str = "capture") -> DataFrame:
-    """Aggregate frames that already carry ``w`` and ``delta_time``. The lists hold at most ``size`` elements."""
+def features_of_windows(
+    framed: DataFrame, size: int = fv.WINDOW_SIZE, tail: str = "drop", label: str = "capture", also: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Aggregate frames that already carry ``w`` and ``delta_time``. The lists hold at most ``size`` elements.
+
+    ``also`` names further aggregates of a window to return.
+    """
     grouped = framed.groupBy(*SERIES, "w").agg(
         F.count(F.lit(1)).alias("n_frames"),
         F.min("attack_type").alias("_type"),
@@ -53,6 +60,7 @@ def features_of_windows(framed: DataFrame, size: int = fv.WINDOW_SIZE, tail: str
         F.avg("payload_entropy").alias("window_payload_entropy_mean"),
         F.collect_list("can_id").alias("_ids"),
         F.collect_list("t_us").alias("_ts"),
+        *[column.alias(name) for name, column in (also or {}).items()],
     )
     kept = grouped.where(_tail_filter(size, tail))
     span = F.col("_t1") - F.col("_t0")
@@ -72,7 +80,7 @@ def features_of_windows(framed: DataFrame, size: int = fv.WINDOW_SIZE, tail: str
             "frequency_spike_score": F.try_divide(F.col("window_delta_time_max"), F.col("window_delta_time_mean")),
             "payload_instability_score": F.col("window_payload_std") / F.lit(HALF_BYTE_RANGE),
         }
-    ).withColumns(_labels(label)).select(*SERIES, "w", *fv.FEATURES, "attack_label", "attack_type", "n_frames")
+    ).withColumns(_labels(label)).select(*SERIES, "w", *fv.FEATURES, "attack_label", "attack_type", "n_frames", *(also or {}))
 
 
 def _tail_filter(size: int, tail: str) -> Column:

@@ -12,63 +12,97 @@ from busvitals.plans.health_questions import KEY, keyed
 from busvitals.plans.reference_sql import BLOCKS, build, story_sql, trend_of
 from busvitals.plans.registry import question
 from busvitals.plans.workspace import Workspace
-from busvitals.sources.event_frames import FRAME_COLUMNS, INJECTED_FROM, epoch_micros, frames_from_events
+from busvitals.sources.event_frames import CAPTURES, FRAME_COLUMNS, INJECTED_FROM, epoch_micros, frames_from_events, unknown_events
 from busvitals.sources.scratch import fresh_path
-from busvitals.streaming.count_windows import CountWindowTables, start_count_windows
-from busvitals.streaming.health import HORIZON, HealthTables, start_health
+from busvitals.streaming.health import HORIZON
+from busvitals.streaming.keyed_health import KeyedHealthTables, start_keyed_health
+from busvitals.streaming.keyed_windows import KeyedWindowTables, all_windows, start_keyed_windows, start_windows
 
 FILES = 72  # per slice
+SLICES = 4
+DELAY_MS = 60_000
 _STATE: dict[tuple[str, str], str] = {}
 
 
-def deliver(ws: Workspace, late: bool = False) -> DataFrame:
-    """The events as a file stream of four time slices of ``FILES`` files each; with ``late``, the injected-looking part of the second one comes last."""
+def deliver(ws: Workspace, order: str = "slices") -> tuple[DataFrame, DataFrame]:
+    """The events as a file stream of time slices of ``FILES`` files each, as frames, and the events of unknown types beside it.
+
+    ``late``: the injected-looking part of the second slice comes after all others. ``disordered``: one event in seven comes
+    with the next slice.
+    """
     spark: SparkSession = ws.spark
     events = spark.read.parquet(f"{ws.folder}/events.parquet")
     micros = epoch_micros("ts", dict(events.dtypes)["ts"])
     ends = events.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).first()
     path = fresh_path(spark, "delivered")
-    part = F.least(F.floor((micros - ends["a"]) * 4 / (ends["b"] - ends["a"])), F.lit(3))
-    injected = (F.col("event_type") != "click") & (F.col("value") >= INJECTED_FROM)
-    sliced = events.withColumn("part", F.when((part == 1) & injected, 4).otherwise(part) if late else part)
+    part = F.least(F.floor((micros - ends["a"]) * SLICES / (ends["b"] - ends["a"])), F.lit(SLICES - 1))
+    if order == "late":
+        injected = (F.col("event_type") != "click") & (F.col("value") >= INJECTED_FROM)
+        part = F.when((part == 1) & injected, SLICES).otherwise(part)
+    if order == "disordered":
+        part = part + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    sliced = events.withColumn("part", part)
     # one write per slice: files are delivered in the order in which they were written
-    for part in range(5 if late else 4):
-        sliced.where(F.col("part") == part).select(*events.columns).repartition(FILES).write.mode("append").parquet(path)
+    for number in range(SLICES if order == "slices" else SLICES + 1):
+        sliced.where(F.col("part") == number).select(*events.columns).repartition(FILES).write.mode("append").parquet(path)
     arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
-    return frames_from_events(arriving).select(*FRAME_COLUMNS)
+    known = arriving.where(F.col("event_type").isin(*CAPTURES))
+    return frames_from_events(known).select(*FRAME_COLUMNS), unknown_events(arriving)
 
 
-def windowed(ws: Workspace, late: bool = False) -> str:
+def windowed(ws: Workspace, order: str = "slices", delay_ms: int = 0) -> str:
     """Root folder of a finished window stream, run once per workspace."""
-    key = (ws.root, f"windows-{late}")
+    key = (ws.root, f"windows-{order}")
     if key not in _STATE:
         root = fresh_path(ws.spark, "stream")
-        start_count_windows(deliver(ws, late), root).awaitTermination()
+        start_keyed_windows(deliver(ws, order)[0], root, delay_ms=delay_ms).awaitTermination()
         _STATE[key] = root
     return _STATE[key]
 
 
-def followed(ws: Workspace) -> HealthTables:
+def followed(ws: Workspace) -> KeyedHealthTables:
     """Tables of a finished health stream over the streamed windows."""
     key = (ws.root, "health")
     root = windowed(ws)
     if key not in _STATE:
-        windows = CountWindowTables.at(ws.spark, root).windows.stream()
-        start_health(windows, root, ws.model(), ws.baseline(1)).awaitTermination()
+        windows = KeyedWindowTables.at(ws.spark, root).windows.stream()
+        start_keyed_health(windows, root, ws.model(), ws.baseline(1)).awaitTermination()
         _STATE[key] = root
-    return HealthTables.at(ws.spark, _STATE[key])
+    return KeyedHealthTables.at(ws.spark, _STATE[key])
 
 
 @question("stream_count_windows", build("windows", _feature_sql("windows")))
 def stream_count_windows(ws: Workspace) -> DataFrame:
-    return _window_columns(CountWindowTables.at(ws.spark, windowed(ws)).windows.all())
+    return _window_columns(KeyedWindowTables.at(ws.spark, windowed(ws)).windows.all())
+
+
+@question("stream_busy_windows", build("windows", _feature_sql("windows")))
+def stream_busy_windows(ws: Workspace) -> DataFrame:
+    """The same windows when the busiest capture goes by tables and all others by keyed state."""
+    root = fresh_path(ws.spark, "stream")
+    for query in start_windows(deliver(ws)[0], root, F.col("capture") == "Normal"):
+        query.awaitTermination()
+    return _window_columns(all_windows(ws.spark, root))
 
 
 @question("stream_late_frames", build("frames", """SELECT vehicle_id, capture, seq, t_us FROM frames CROSS JOIN (SELECT min(t_us) AS a, max(t_us) AS b FROM frames)
     WHERE flag = 1 AND least(floor(CAST((t_us - a) * 4 AS DOUBLE) / (b - a)), 3) = 1"""))
 def stream_late_frames(ws: Workspace) -> DataFrame:
     """Injected frames of the second quarter arrive after everything else and are set aside."""
-    return CountWindowTables.at(ws.spark, windowed(ws, late=True)).late.all().select("vehicle_id", "capture", "seq", "t_us")
+    return KeyedWindowTables.at(ws.spark, windowed(ws, "late")).late.all().select("vehicle_id", "capture", "seq", "t_us")
+
+
+@question("stream_watermark_late", build("frames", f"""SELECT vehicle_id, capture, seq, t_us FROM (
+        SELECT *, part + CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END AS given FROM (
+            SELECT *, least(floor(CAST((t_us - a) * {SLICES} AS DOUBLE) / (b - a)), {SLICES - 1}) AS part
+            FROM frames CROSS JOIN (SELECT min(t_us) AS a, max(t_us) AS b FROM frames)))
+    JOIN (SELECT given, max(max(t_us)) OVER (ORDER BY given ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 - {DELAY_MS} AS clock FROM (
+        SELECT t_us, least(floor(CAST((t_us - a) * {SLICES} AS DOUBLE) / (b - a)), {SLICES - 1}) + CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END AS given
+        FROM frames CROSS JOIN (SELECT min(t_us) AS a, max(t_us) AS b FROM frames)) GROUP BY given) USING (given)
+    WHERE t_us // 1000 < clock"""))
+def stream_watermark_late(ws: Workspace) -> DataFrame:
+    """A seventh of all frames comes one slice too late; those older than the watermark by then are set aside."""
+    return KeyedWindowTables.at(ws.spark, windowed(ws, "disordered", DELAY_MS)).late.all().select("vehicle_id", "capture", "seq", "t_us")
 
 
 @question("stream_health", build("health", keyed("SELECT * FROM hs", "risk_category", "anomaly_score cyber_health threat_component stability_component pressure_component")))
