@@ -1,4 +1,4 @@
-"""Exact k-nearest-neighbour join and the local outlier factor.
+"""Exact k-nearest-neighbour join.
 
 No all-pairs join: train rows are assigned to their nearest pivot and, inside that cell, to a ring of distances to the
 pivot. For every query row the ring counts give an upper bound on its k-th distance, and the triangle inequality then
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from busvitals.functions import fixed_values as fv
 from busvitals.operators.baseline import standard_scale
 from busvitals.operators.sampling import sample_rows
-from busvitals.sources.scratch import stored
 
 PIVOTS = 256
 RINGS = 16
@@ -151,24 +150,3 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         gap = a[start : start + step, None, :] - b[None, :, :]
         result[start : start + step] = np.sqrt((gap * gap).sum(axis=2))
     return result
-
-
-def lof_score(windows: DataFrame, k: int = 20, out: str = "lof", **sizes: int) -> DataFrame:
-    """Local outlier factor of every complete window against the normal ones (about 1 inside, larger outside).
-
-    Density of a row = 1 / mean reachability distance to its neighbours; the factor compares it with theirs.
-    """
-    points = stored(as_points(windows), "points")
-    train = points.where("attack_label = 0")
-    near = stored(knn_join(points, train, k, **sizes), "neighbours")  # read three times below
-    # the train rows are among the queries, so their k-distances come from the same join
-    train_near = near.join(train.select("pid"), "pid", "left_semi")
-    reach = train_near.groupBy(F.col("pid").alias("neighbour")).agg(F.max("distance").alias("k_distance"))
-    reached = near.join(reach, "neighbour").withColumn("r", F.greatest("distance", "k_distance"))
-    density = reached.groupBy("pid").agg((F.lit(1.0) / (F.avg("r") + F.lit(1e-10))).alias("density"))
-    of_train = density.select(F.col("pid").alias("neighbour"), F.col("density").alias("n_density"))
-    ratio = near.join(of_train, "neighbour").groupBy("pid").agg(F.avg("n_density").alias("_around"))
-    return (
-        points.join(ratio, "pid").join(density, "pid")
-        .select(*KEY, (F.col("_around") / F.col("density")).alias(out))
-    )

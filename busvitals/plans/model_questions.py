@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from busvitals.functions import fixed_values as fv
-from busvitals.operators import evaluate as ev, forest, frames as fr, neighbors, oneclass
+from busvitals.operators import evaluate as ev, forest, frames as fr, neighbors, oneclass, vantage
 from busvitals.operators.detect import classify_anomaly, score_threshold
 from busvitals.plans.health_questions import KEY, keyed
 from busvitals.plans.reference_sql import build, out
@@ -34,7 +34,7 @@ def knn_join(ws: Workspace) -> DataFrame:
     return neighbors.knn_join(points, points.where("attack_label = 0"), 20)
 
 
-_LOF = f"""{_KNN},
+_LOF = f"""{_KNN.replace("scaled t WHERE t.attack_label = 0", "support t")},
 kd AS (SELECT pid AS neighbour, max(distance) AS k_distance FROM knn GROUP BY ALL),
 density AS (SELECT pid, 1 / (avg(greatest(distance, k_distance)) + 1e-10) AS density FROM knn JOIN kd USING (neighbour) GROUP BY ALL),
 lof AS (SELECT k.pid, avg(n.density) / any_value(d.density) AS lof FROM knn k JOIN density n ON n.pid = k.neighbour JOIN density d ON d.pid = k.pid GROUP BY k.pid)"""
@@ -42,7 +42,8 @@ lof AS (SELECT k.pid, avg(n.density) / any_value(d.density) AS lof FROM knn k JO
 
 @question("lof_score", build("support", keyed(f"SELECT s.vehicle_id, s.capture, s.w, l.lof FROM scaled s JOIN lof l ON l.pid = {_PID.format(t='s')}", "", "lof"), _LOF))
 def lof_score(ws: Workspace) -> DataFrame:
-    return neighbors.lof_score(ws.windows())
+    """Local outlier factor of every window against the training draw."""
+    return vantage.lof_score(ws.windows(), vantage.fit_lof(ws.windows())).where("lof IS NOT NULL").select(*KEY, "lof")
 
 
 @question("isolation_forest")
@@ -70,11 +71,11 @@ def detector_scores(ws: Workspace) -> dict[str, DataFrame]:
     """Score table of every detector, low = anomalous."""
     keep = [*KEY, "attack_type", "attack_label"]
     windows = ws.scored()
-    lof = neighbors.lof_score(windows).select(*KEY, (-F.col("lof")).alias("score"))
+    lof = vantage.lof_score(windows, vantage.fit_lof(windows))
     return {
         "parzen": windows.select(*keep, F.col("anomaly_score").alias("score")),
         "isolation_forest": forest.isolation_forest(windows, KEY, out="score").select(*keep, "score"),
-        "lof": windows.select(*keep).join(lof, KEY, "left"),
+        "lof": lof.select(*keep, (-F.col("lof")).alias("score")),
         "ocsvm": oneclass.ocsvm_score(windows, oneclass.ocsvm_fit(windows), "score").select(*keep, "score"),
     }
 

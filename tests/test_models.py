@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from busvitals.functions import fixed_values as fv
-from busvitals.operators import evaluate as ev, forest, kernel, neighbors, oneclass
+from busvitals.operators import evaluate as ev, forest, kernel, neighbors, oneclass, vantage
 
 KEY = ["vehicle_id", "capture", "w"]
 
@@ -51,7 +51,7 @@ def test_fewer_train_rows_than_k(spark):
 
 
 def test_outlier_factor_is_high_outside(data):
-    lof = neighbors.lof_score(data).join(data.select(*KEY, "attack_label"), KEY)
+    lof = vantage.lof_score(data, vantage.fit_lof(data)).select(*KEY, "lof").join(data.select(*KEY, "attack_label"), KEY)
     by = {r["attack_label"]: r["m"] for r in lof.groupBy("attack_label").agg(F.avg("lof").alias("m")).collect()}
     assert 0.9 < by[0] < 1.2 and by[1] > 1.5
     assert lof.count() == 460
@@ -114,3 +114,54 @@ def test_quality_numbers_by_hand(spark):
     one_class = df.where("attack_label = 0")
     assert ev.roc_auc(one_class).first()["auc"] == 0.0
     assert ev.classification_metrics(one_class).first()["precision"] == 0.0
+
+
+@pytest.mark.parametrize("leaf,k", [(4, 3), (16, 20), (1000, 7)])
+def test_vantage_tree_equals_brute_force(leaf, k):
+    """Clusters, copies, ties, far points, and queries that are points themselves."""
+    rng = np.random.default_rng(7)
+    points = np.concatenate([rng.normal(size=(150, 5)), np.zeros((40, 5)), rng.integers(0, 2, size=(80, 5)).astype(float), rng.normal(size=(9, 5)) * 100])
+    asked = np.concatenate([points, rng.normal(size=(60, 5)), np.full((1, 5), 1e6)])
+    itself = np.concatenate([np.arange(len(points)), np.full(61, -1)])
+    far, near = vantage.Tree.over(points, leaf).nearest(asked, k, itself)
+    d = np.sqrt(((asked[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    d[np.arange(len(points)), np.arange(len(points))] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :k]
+    assert np.allclose(far, np.take_along_axis(d, want, axis=1))
+    assert (np.take_along_axis(d, near, axis=1) == np.take_along_axis(d, want, axis=1)).all() and (near == want).all()
+
+
+def test_vantage_tree_leaves_out_what_is_far():
+    """Well-parted clusters: a query looks at its own."""
+    rng = np.random.default_rng(9)
+    points = np.concatenate([rng.normal(size=(200, 13)) + 60 * c for c in range(20)])
+    tree = vantage.Tree.over(points)
+    seen = []
+    looked = vantage._distances
+
+    def counting(a, b):
+        seen.append(len(a) * len(b))
+        return looked(a, b)
+
+    vantage._distances = counting
+    try:
+        tree.nearest(points[:500], 20)
+    finally:
+        vantage._distances = looked
+    assert sum(seen) < 500 * len(points) / 5
+
+
+def test_few_train_rows_and_missing_features(spark):
+    few = windows(spark, 3, 2)
+    got = {(r["capture"], r["w"]): r["lof"] for r in vantage.lof_score(few, vantage.fit_lof(few)).collect()}
+    assert len(got) == 5 and all(v > 0 for v in got.values())
+    one = windows(spark, 1, 2)
+    got = {(r["capture"], r["w"]): r["lof"] for r in vantage.lof_score(one, vantage.fit_lof(one)).collect()}
+    assert got[("Normal", 0)] is None  # no neighbour but itself
+    holed = few.withColumn(fv.FEATURES[2], F.when(F.col("w") > 0, F.col(fv.FEATURES[2])))
+    assert vantage.lof_score(holed, vantage.fit_lof(few)).where("lof IS NULL").count() == 2
+
+
+def test_lof_is_narrow(data):
+    scored = vantage.lof_score(data, vantage.fit_lof(data))
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString().replace("InMemoryRelation", "").split("InMemoryTableScan")[0]
