@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -180,12 +181,10 @@ def test_phrases(spark, most_words, least, cover, best, block):
 
 
 def test_phrase_counts_pass_64_bits(spark):
-    """1000 * a * n of these counts does not fit 64 bits; the relation of counts is fed in place of a corpus of that size."""
+    """1000 * a * n of these counts does not fit 64 bits."""
     big = 4_000_000_000_000
-    row = spark.createDataFrame([(big, big * 5, 3, 7)], "a bigint, n bigint, l bigint, r bigint")
-    from pyspark.sql import functions as F
-    exact = phrases_._exact
-    value = row.select((F.lit(1000).cast("decimal(4,0)") * (exact(F.col("a")) * exact(F.col("n")))).alias("above"), (exact(F.col("l")) * exact(F.lit(big))).alias("below")).selectExpr("above div below").first()[0]
+    row = spark.createDataFrame([(big, big * 5, 3, big)], "a bigint, n bigint, l bigint, r bigint")
+    value = row.select(phrases_.score(*[row[c] for c in row.columns])).first()[0]
     assert value == 1000 * big * big * 5 // (3 * big)
 
 
@@ -202,10 +201,16 @@ def test_long_text_is_parted_between_pieces(spark):
 
 
 def test_word_block_positions():
-    text = b"a b\nc  a\n\nb"
-    batch = phrases_.word_block(7, "en", text)
-    at = np.cumsum(np.frombuffer(batch.column(3)[0].as_py(), "<u4"))
-    ids = np.frombuffer(batch.column(4)[0].as_py(), "<i4")
-    names = batch.column(5)[0].as_py()
-    assert [names[i] for i in ids] == [b"a", b"b", b"c", b"a", b"b"] and list(np.diff(at)) == [1, 2, 1, 3]
+    _, _, n, n_keys, steps, ids, keys, counts = phrases_.word_block(7, "en", b"a b\nc  a\n\nb")
+    names = zlib.decompress(keys).split(b" ")
+    at = np.cumsum(phrases_._loose(steps, "<u4"))
+    assert [names[i] for i in phrases_._loose(ids, "<i4")] == [b"a", b"b", b"c", b"a", b"b"] and list(np.diff(at)) == [1, 2, 1, 3]
+    assert (n, n_keys) == (5, 3) and dict(zip(names, phrases_._loose(counts, "<u4"))) == {b"a": 2, b"b": 2, b"c": 1}
     assert phrases_.word_block(7, "en", b" \n ") is None
+
+
+def test_phrases_over_many_shards(spark, monkeypatch):
+    rows = [r for r in phrase_rows() if r[1] is None or len(r[1]) < 50_000]
+    monkeypatch.setattr(phrases_, "SHARD_PHRASES", 50)
+    got = phrases_.collocations(documents(spark, rows), 4, 3, 100, 500, block_bytes=700)
+    assert by_row(got, *COLUMNS) == mined(rows, 4, 3, 100, 500)
