@@ -94,7 +94,7 @@ def test_forest_separates_and_does_not_depend_on_partitions(data):
 
 
 def test_one_class_machine(data):
-    model = oneclass.ocsvm_fit(data, steps=8)
+    model = oneclass.ocsvm_fit(data)
     scored = oneclass.ocsvm_score(data, model)
     share = scored.where("attack_label = 0").agg(F.avg((F.col("ocsvm_score") < 0).cast("int"))).first()[0]
     assert share <= oneclass.NU + 0.005
@@ -165,3 +165,50 @@ def test_few_train_rows_and_missing_features(spark):
 def test_lof_is_narrow(data):
     scored = vantage.lof_score(data, vantage.fit_lof(data))
     assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString().replace("InMemoryRelation", "").split("InMemoryTableScan")[0]
+
+
+def objective(weights, phi, nu):
+    margins = phi @ weights
+    rho = np.quantile(margins, nu)
+    return weights @ weights / 2 - rho + np.maximum(0, rho - margins).mean() / nu
+
+
+def test_one_class_blocks_agree_with_the_whole(spark):
+    """Ten blocks, at most five passes; near the optimum of all rows, and better than many plain sub-gradient steps."""
+    data = windows(spark, 3000, 10).persist()
+    passes = []
+    summed = oneclass._summed
+    oneclass._summed = lambda *a: passes.append(1) or summed(*a)
+    try:
+        model = oneclass.ocsvm_fit(data, nu=0.05, block_rows=300)
+    finally:
+        oneclass._summed = summed
+    assert 1 <= len(passes) <= 5
+    rows = data.where("attack_label = 0").select(*fv.FEATURES).toPandas().to_numpy()
+    phi = model.features(rows)
+    whole = oneclass.minimum(phi, 0.05)
+    best, got = objective(whole[:-1], phi, 0.05), objective(model.weights, phi, 0.05)
+    w = phi.mean(axis=0)
+    rho, mean = w @ w, 0.0
+    for step in range(1, 201):
+        below = phi @ w < rho
+        rate = 0.5 / np.sqrt(step)
+        w = w - rate * (w - phi[below].sum(axis=0) / (0.05 * len(phi)))
+        rho -= rate * (below.sum() / (0.05 * len(phi)) - 1) * 0.01
+        mean = mean + w / 200
+    assert best <= got <= best + 0.02 * abs(best) + 1e-3 and got <= objective(mean, phi, 0.05)
+    share = oneclass.ocsvm_score(data, model).where("attack_label = 0").agg(F.avg((F.col("ocsvm_score") < 0).cast("int"))).first()[0]
+    assert abs(share - 0.05) <= 2 / 3000
+
+
+def test_one_class_minimum_has_no_slope():
+    """The optimum of a small problem: no step in any direction makes it better."""
+    rng = np.random.default_rng(4)
+    phi = rng.normal(size=(200, 6)) * 0.2 + 0.5
+    x = oneclass.minimum(phi, 0.1)
+
+    def value(x):
+        z = np.maximum(0, x[-1] - phi @ x[:-1])
+        return x[:-1] @ x[:-1] / 2 - x[-1] + z.mean() / 0.1
+
+    assert all(value(x) <= value(x + step) + 1e-4 for step in rng.normal(size=(500, 7)) * rng.choice([0.3, 0.03, 0.003], size=(500, 1)))
