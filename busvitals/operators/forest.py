@@ -1,7 +1,12 @@
-"""Isolation forest: trees grown in parallel on small hashed samples, scoring vectorised and narrow."""
+"""Isolation forest: trees grown in parallel on small hashed samples, scoring vectorised and narrow.
+
+Samples and cuts are drawn from digests of the row's key and of (seed, tree, node), so a forest depends on the data alone and
+any engine with md5 grows the same one. Nodes are numbered as in a heap: 1 is the root, 2n and 2n + 1 are the children of n.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -15,64 +20,71 @@ from busvitals.operators.ordering import attach
 
 TREES = 100
 SAMPLE = 256
-_SPACE = 1 << 52
-NODES = "tree int, node int, feature int, cut double, left int, right int, depth double"
+DIGITS = 9  # of features; what differs by less is rounding noise, which must not open a cut
+_HEX = 13
+_SPACE = 16**_HEX  # 52 bits, so sums of a hundred strides stay whole numbers
+NODES = "tree int, node int, feature int, cut double, depth double"
 
 
 def fit_forest(
     rows: DataFrame, keys: Sequence[str], features: Sequence[str] = tuple(fv.FEATURES), trees: int = TREES,
     sample: int = SAMPLE, seed: int = fv.SEED,
 ) -> DataFrame:
-    """Node table of all trees (at most 2 * sample - 1 nodes per tree).
+    """Node table of all trees (fewer than 4 * sample nodes per tree).
 
     Each row decides by hash in which trees' samples it may be; only about sample + 10*sqrt(sample) rows per tree are
     shuffled, and the ``sample`` smallest hashes of each tree are used.
     """
-    usable = rows.dropna(subset=list(features)).select(*keys, *features)
+    usable = rows.dropna(subset=list(features)).select(*keys, *[F.round(F.col(c).cast("double"), DIGITS).alias(c) for c in features])
     count = usable.agg(F.count(F.lit(1)).alias("_rows"))
     room = sample + 10 * math.sqrt(sample) + 10
 
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))
+    start, stride = (F.conv(F.substring(digest, at, _HEX), 16, 10).cast("bigint") for at in (1, 1 + _HEX))
+
     def draw(tree):
-        return F.pmod(F.xxhash64(*keys, tree, F.lit(seed)), F.lit(_SPACE))
+        """One digest per row is enough: the draws of any two trees are independent."""
+        return (F.col("_start") + tree * F.col("_stride")) % _SPACE
 
     member = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t).cast("double") * F.col("_rows") <= F.lit(room * _SPACE)
     )
-    drawn = attach(usable, count).withColumn("tree", F.explode(member)).withColumn("_d", draw(F.col("tree")))
+    drawn = attach(usable.withColumns({"_start": start, "_stride": stride}), count).withColumn("tree", F.explode(member)).withColumn("_d", draw(F.col("tree")))
     first = Window.partitionBy("tree").orderBy("_d", *keys)
     chosen = drawn.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= sample)
     names = list(features)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_r")
         tree = int(pdf["tree"].iloc[0])
-        return pd.DataFrame(_grow(pdf[names].to_numpy(dtype="float64"), np.random.default_rng([seed, tree])),
-                            columns=["node", "feature", "cut", "left", "right", "depth"]).assign(tree=tree)[
-            ["tree", "node", "feature", "cut", "left", "right", "depth"]
-        ]
+        nodes = _grow(pdf[names].to_numpy(dtype="float64"), seed, tree)
+        return pd.DataFrame(nodes, columns=["node", "feature", "cut", "depth"]).assign(tree=tree)[["tree", "node", "feature", "cut", "depth"]]
+
+    return chosen.select("tree", *names).groupBy("tree").applyInPandas(grow, NODES)
 
-    return chosen.select("tree", "_r", *names).groupBy("tree").applyInPandas(grow, NODES)
 
+def uniform(seed: int, tree: int, node: int, purpose: str) -> float:
+    """A number from 0 to below 1 that belongs to a node."""
+    return int(hashlib.md5(f"{seed}|{tree}|{node}|{purpose}".encode()).hexdigest()[:_HEX], 16) / _SPACE
 
-def _grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Random cuts until rows are alone, equal, or log2(n) deep; leaves hold their depth plus the expected rest."""
+
+def _grow(x: np.ndarray, seed: int, tree: int) -> list[tuple]:
+    """Level by level, random cuts until rows are alone, equal, or log2(n) deep; leaves hold their depth plus the expected rest."""
     limit = math.ceil(math.log2(max(len(x), 2)))
     nodes: list[tuple] = []
-    todo = [(0, np.arange(len(x)), 0)]
-    used = 1
-    while todo:
-        node, rows, depth = todo.pop()
-        spread = np.ptp(x[rows], axis=0) if len(rows) else np.zeros(x.shape[1])
-        open_features = np.flatnonzero(spread > 0)
-        if depth >= limit or len(rows) <= 1 or not len(open_features):
-            nodes.append((node, -1, 0.0, -1, -1, depth + _average_path(len(rows))))
-            continue
-        f = int(rng.choice(open_features))
-        cut = float(rng.uniform(x[rows, f].min(), x[rows, f].max()))
-        left, right = used, used + 1
-        used += 2
-        nodes.append((node, f, cut, left, right, 0.0))
-        todo += [(left, rows[x[rows, f] < cut], depth + 1), (right, rows[x[rows, f] >= cut], depth + 1)]
+    level = {1: np.arange(len(x))}
+    for depth in range(limit + 1):
+        below = {}
+        for node, rows in level.items():
+            low, high = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) else (np.zeros(1), np.zeros(1))
+            open_features = np.flatnonzero(high > low)
+            if depth == limit or len(rows) <= 1 or not len(open_features):
+                nodes.append((node, -1, 0.0, depth + _average_path(len(rows))))
+                continue
+            f = int(open_features[int(uniform(seed, tree, node, "feature") * len(open_features))])
+            cut = float(low[f] + uniform(seed, tree, node, "cut") * (high[f] - low[f]))
+            nodes.append((node, f, cut, 0.0))
+            below |= {2 * node: rows[x[rows, f] < cut], 2 * node + 1: rows[x[rows, f] >= cut]}
+        level = below
     return nodes
 
 
@@ -91,13 +103,13 @@ def score_forest(
 ) -> DataFrame:
     """-2^(-mean depth / expected depth): low = anomalous. The node table has a fixed maximal size and is broadcast."""
     spark: SparkSession = rows.sparkSession
-    table = nodes.orderBy("tree", "node").toPandas()
-    shared = spark.sparkContext.broadcast(
-        [
-            {c: g[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth")}
-            for _, g in table.groupby("tree", sort=True)
-        ]
-    )
+    trees = []
+    for _, g in nodes.toPandas().groupby("tree", sort=True):
+        tree = {c: np.zeros(g["node"].max() + 1, g[c].dtype) for c in ("feature", "cut", "depth")}
+        for c in tree:
+            tree[c][g["node"]] = g[c]
+        trees.append(tree)
+    shared = spark.sparkContext.broadcast(trees)
     norm = _average_path(sample)
 
     @F.pandas_udf("double")
@@ -106,21 +118,21 @@ def score_forest(
         total = np.zeros(len(x))
         every = np.arange(len(x))
         for tree in shared.value:
-            at = np.zeros(len(x), dtype="int64")
+            at = np.ones(len(x), dtype="int64")
             while True:
                 f = tree["feature"][at]
                 inner = f >= 0
                 if not inner.any():
                     break
-                goes_left = x[every, np.maximum(f, 0)] < tree["cut"][at]
-                at = np.where(inner, np.where(goes_left, tree["left"][at], tree["right"][at]), at)
+                goes_right = ~(x[every, np.maximum(f, 0)] < tree["cut"][at])
+                at = np.where(inner, 2 * at + goes_right, at)
             total += tree["depth"][at]
         return pd.Series(-(2.0 ** (-(total / len(shared.value)) / norm)))
 
     complete = F.lit(True)
     for c in features:
         complete = complete & F.col(c).isNotNull()
-    return rows.withColumn(out, score(*[F.col(c).cast("double") for c in features])).withColumn(
+    return rows.withColumn(out, score(*[F.round(F.col(c).cast("double"), DIGITS) for c in features])).withColumn(
         out, F.when(complete, F.col(out))
     )
 

@@ -46,17 +46,71 @@ def lof_score(ws: Workspace) -> DataFrame:
     return vantage.lof_score(ws.windows(), vantage.fit_lof(ws.windows())).where("lof IS NOT NULL").select(*KEY, "lof")
 
 
-@question("isolation_forest")
+def forest_sql(rows: str, keys: str, features: list[str]) -> str:
+    """CTEs from ``pool`` to ``forest`` (``tree``, ``node``, ``feature``, ``cut``, ``depth``) and ``forest_scored``: the table
+    ``rows`` (with ``attack_label``) and its ``forest_score``, from a forest grown on the normal ones."""
+    x = "[" + ", ".join(f"round(CAST({c} AS DOUBLE), {forest.DIGITS})" for c in features) + "]"
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in features)
+    key = f"concat_ws('|', {keys})"
+    hex_ = lambda text, at: f"CAST(('0x' || substr(md5({text}), {at}, {forest._HEX})) AS BIGINT)"
+    unit = lambda purpose: hex_(f"concat_ws('|', '{fv.SEED}', tree, node, '{purpose}')", 1) + f" / {float(forest._SPACE)!r}"
+    deepest = (forest.SAMPLE - 1).bit_length()
+    rest = "CASE WHEN n <= 1 THEN 0e0 WHEN n = 2 THEN 1e0 ELSE 2e0 * (ln(n - 1) + 0.5772156649015329e0) - 2e0 * (n - 1) / n END"
+    ctes = [f"""pool AS MATERIALIZED (SELECT *, {key} AS rid, {x} AS x FROM {rows} WHERE {whole}),
+drawn AS (SELECT tree, rid, x, (base + tree * stride) % {forest._SPACE} AS d FROM (
+    SELECT rid, x, {hex_(f"rid || '|{fv.SEED}'", 1)} AS base, {hex_(f"rid || '|{fv.SEED}'", 1 + forest._HEX)} AS stride FROM pool WHERE attack_label = 0
+    ) CROSS JOIN range({forest.TREES}) t(tree)),
+level0 AS MATERIALIZED (SELECT tree, x, 1 AS node, least(count(*) OVER (PARTITION BY tree), {forest.SAMPLE}) AS size FROM drawn
+    QUALIFY row_number() OVER (PARTITION BY tree ORDER BY d, rid) <= {forest.SAMPLE})"""]
+    for depth in range(deepest + 1):
+        ctes.append(f"""cuts{depth} AS MATERIALIZED (SELECT tree, node, n, pick.f AS feature, pick.lo + {unit('cut')} * (pick.hi - pick.lo) AS cut FROM (
+    SELECT tree, node, n, CASE WHEN n > 1 AND {depth} < ceil(log2(greatest(size, 2))) AND len(open) > 0 THEN open[1 + CAST(floor({unit('feature')} * len(open)) AS INTEGER)] END AS pick FROM (
+        SELECT tree, node, max(n) AS n, max(size) AS size, list({{'f': f, 'lo': lo, 'hi': hi}} ORDER BY f) FILTER (WHERE hi > lo) AS open FROM (
+            SELECT tree, node, f, count(*) AS n, max(size) AS size, min(v) AS lo, max(v) AS hi FROM (
+                SELECT tree, node, size, unnest(range({len(features)})) AS f, unnest(x) AS v FROM level{depth}) GROUP BY ALL)
+        GROUP BY ALL))),
+level{depth + 1} AS MATERIALIZED (SELECT tree, x, 2 * node + CASE WHEN x[feature + 1] < cut THEN 0 ELSE 1 END AS node, size
+    FROM level{depth} JOIN cuts{depth} USING (tree, node) WHERE feature IS NOT NULL)""")
+    every = " UNION ALL ".join(f"SELECT tree, node, coalesce(feature, -1) AS feature, cut, {d} + {rest} AS depth FROM cuts{d}" for d in range(deepest + 1))
+    # a cut at the least value leaves its left child without rows
+    ctes.append(f"grown AS ({every}), forest AS MATERIALIZED (SELECT * FROM grown)")
+    ctes.append(f"at0 AS (SELECT rid, x, tree, 1 AS node FROM pool CROSS JOIN range({forest.TREES}) t(tree))")
+    for depth in range(deepest):
+        ctes.append(f"""at{depth + 1} AS (SELECT rid, x, a.tree, CASE WHEN feature < 0 OR feature IS NULL THEN a.node WHEN x[feature + 1] < cut THEN 2 * a.node ELSE 2 * a.node + 1 END AS node
+    FROM at{depth} a LEFT JOIN forest f ON f.tree = a.tree AND f.node = a.node)""")
+    norm = forest._average_path(forest.SAMPLE)
+    ctes.append(f"""deep AS (SELECT rid, avg(depth) AS depth FROM at{deepest} a JOIN forest f ON f.tree = a.tree AND f.node = a.node GROUP BY rid),
+forest_scored AS MATERIALIZED (SELECT p.* EXCLUDE (x), round(-pow(2e0, -depth / {norm!r}), 9) AS forest_score FROM pool p JOIN deep USING (rid))""")
+    return ",\n".join(ctes)
+
+
+_WINDOW_FOREST = forest_sql("windows", "vehicle_id, capture, CAST(CAST(w AS BIGINT) AS VARCHAR)", list(fv.FEATURES))
+
+
+@question("isolation_forest", build("windows", keyed("SELECT * FROM forest_scored", "attack_type", "forest_score"), _WINDOW_FOREST))
 def isolation_forest(ws: Workspace) -> DataFrame:
     """Score of every window under a forest grown on the normal ones."""
-    return forest.isolation_forest(ws.windows(), KEY).select(*KEY, "attack_type", "forest_score")
+    scored = forest.isolation_forest(ws.windows(), KEY).where("forest_score IS NOT NULL")
+    return scored.select(*KEY, "attack_type", F.round("forest_score", 9).alias("forest_score"))
 
 
-@question("isolation_forest_frames")
+_ENGINEERED = """engineered AS MATERIALIZED (
+    SELECT n.vehicle_id, n.capture, n.seq, n.attack_type, n.attack_label, n.can_id, 2047 - n.can_id AS can_id_priority, n.dlc, n.dlc / 8e0 AS dlc_normalized,
+        payload_entropy, coalesce(m, 0) AS payload_mean, coalesce(s, 0) AS payload_std, coalesce(t, 0) AS payload_sum, coalesce(lo, 0) AS payload_min,
+        coalesce(hi, 0) AS payload_max, coalesce(z, 0) AS payload_non_zero_count
+    FROM numbered n LEFT JOIN (SELECT seq, avg(b) AS m, stddev_pop(b) AS s, sum(b) AS t, min(b) AS lo, max(b) AS hi, count(*) FILTER (b <> 0) AS z
+        FROM (SELECT seq, unnest(payload) AS b FROM frames) GROUP BY seq) x ON n.seq = x.seq)"""
+
+
+@question("isolation_forest_frames", build("numbered", out("""SELECT attack_type, count(*) AS samples, avg(CASE WHEN forest_score < t THEN 1e0 ELSE 0e0 END) AS detection_rate
+    FROM forest_scored CROSS JOIN (SELECT quantile_cont(forest_score, 0.05) AS t FROM forest_scored WHERE attack_label = 0) GROUP BY attack_type""",
+    "attack_type samples", "detection_rate"), _ENGINEERED + ",\n" + forest_sql("engineered", "vehicle_id, capture, CAST(seq AS VARCHAR)", FRAME_FEATURES)))
 def isolation_forest_frames(ws: Workspace) -> DataFrame:
     """The per-frame baseline: the same forest on single frames, as detection rate per class."""
     frames = ws.engineered()
-    scored = stored(forest.isolation_forest(frames, ["vehicle_id", "capture", "seq"], FRAME_FEATURES), "frame-scores")
+    # nine digits: the order in which trees are added up must not decide which of equal frames is below the threshold
+    scored = forest.isolation_forest(frames, ["vehicle_id", "capture", "seq"], FRAME_FEATURES).withColumn("forest_score", F.round("forest_score", 9))
+    scored = stored(scored, "frame-scores")
     return ev.detection_rate_by_attack(classify_anomaly(scored, score_threshold(scored, "forest_score"), "forest_score"))
 
 
