@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from busvitals.functions import fixed_values as fv
 from busvitals.operators import evaluate as ev, forest, frames as fr, neighbors, oneclass, vantage
 from busvitals.operators.detect import classify_anomaly, score_threshold
-from busvitals.plans.health_questions import KEY, keyed
+from busvitals.plans.health_questions import KEY, METRICS, keyed
 from busvitals.plans.reference_sql import build, out
 from busvitals.plans.registry import question
 from busvitals.plans.workspace import Workspace
@@ -121,17 +121,20 @@ def ocsvm_fit(ws: Workspace) -> DataFrame:
     return oneclass.ocsvm_score(ws.windows(), model).select(*KEY, "attack_type", "ocsvm_score")
 
 
-def detector_scores(ws: Workspace) -> dict[str, DataFrame]:
-    """Score table of every detector, low = anomalous."""
+DETECTORS = ("parzen", "isolation_forest", "lof", "ocsvm")
+
+
+def detector_scores(ws: Workspace, detectors: tuple[str, ...] = DETECTORS) -> dict[str, DataFrame]:
+    """Score table of each detector, low = anomalous."""
     keep = [*KEY, "attack_type", "attack_label"]
     windows = ws.scored()
-    lof = vantage.lof_score(windows, vantage.fit_lof(windows))
-    return {
-        "parzen": windows.select(*keep, F.col("anomaly_score").alias("score")),
-        "isolation_forest": forest.isolation_forest(windows, KEY, out="score").select(*keep, "score"),
-        "lof": lof.select(*keep, (-F.col("lof")).alias("score")),
-        "ocsvm": oneclass.ocsvm_score(windows, oneclass.ocsvm_fit(windows), "score").select(*keep, "score"),
+    makers = {
+        "parzen": lambda: windows.select(*keep, F.col("anomaly_score").alias("score")),
+        "isolation_forest": lambda: forest.isolation_forest(windows, KEY, out="score").select(*keep, "score"),
+        "lof": lambda: vantage.lof_score(windows, vantage.fit_lof(windows)).select(*keep, (-F.col("lof")).alias("score")),
+        "ocsvm": lambda: oneclass.ocsvm_score(windows, oneclass.ocsvm_fit(windows), "score").select(*keep, "score"),
     }
+    return {name: makers[name]() for name in detectors}
 
 
 def classified_by_detector(ws: Workspace) -> DataFrame:
@@ -146,3 +149,32 @@ def classified_by_detector(ws: Workspace) -> DataFrame:
 def model_comparison(ws: Workspace) -> DataFrame:
     """Metrics of all detectors side by side, best F1 first."""
     return ev.model_comparison(classified_by_detector(ws))
+
+
+_POOLED = f"""{_LOF},
+{_WINDOW_FOREST},
+pooled AS (
+    SELECT 'parzen' AS detector, attack_label, round(anomaly_score, 9) AS score FROM scored
+    UNION ALL SELECT 'isolation_forest', attack_label, forest_score FROM forest_scored
+    UNION ALL SELECT 'lof', s.attack_label, -round(l.lof, 9) FROM scaled s JOIN lof l ON l.pid = {_PID.format(t='s')}),
+limits AS (SELECT detector, quantile_cont(score, 0.05) AS t FROM pooled WHERE attack_label = 0 GROUP BY detector),
+judged AS MATERIALIZED (SELECT detector, attack_label, score, CASE WHEN score < t THEN 1 ELSE 0 END AS is_anomaly FROM pooled JOIN limits USING (detector)),
+areas AS (SELECT p.detector, sum(CASE WHEN p.score < n.score THEN 1e0 WHEN p.score = n.score THEN 5e-1 ELSE 0 END) / count(*) AS auc
+    FROM judged p JOIN judged n ON p.detector = n.detector WHERE p.attack_label = 1 AND n.attack_label = 0 GROUP BY p.detector),
+curves AS (SELECT detector, pos, sum(neg) OVER (PARTITION BY detector ORDER BY score) AS cneg, sum(pos) OVER (PARTITION BY detector ORDER BY score) AS cpos, sum(pos) OVER (PARTITION BY detector) AS npos FROM (
+    SELECT detector, score, count(*) FILTER (attack_label = 1) AS pos, count(*) FILTER (attack_label = 0) AS neg FROM judged GROUP BY ALL)),
+precisions AS (SELECT detector, sum(pos * 1e0 / npos * cpos / (cpos + cneg)) AS avg_precision FROM curves GROUP BY detector),
+measured AS (SELECT detector, {METRICS.removeprefix("SELECT ").replace("(SELECT ", "(SELECT detector, ").format(t="judged GROUP BY detector")})"""
+
+
+@question("model_comparison_checked", build("scored", out(
+    """SELECT detector, precision, recall, f1, fpr, detection_rate, auc, avg_precision, CAST(row_number() OVER (ORDER BY round(f1, 9) DESC, detector) AS INTEGER) AS f1_rank
+    FROM measured JOIN areas USING (detector) JOIN precisions USING (detector)""",
+    "detector f1_rank", "precision recall f1 fpr detection_rate auc avg_precision"), _POOLED))
+def model_comparison_checked(ws: Workspace) -> DataFrame:
+    """Metrics of the detectors that SQL can compute too, best F1 first; scores to nine digits, so that ties are ties in any engine."""
+    parts = []
+    for name, scores in detector_scores(ws, ("parzen", "isolation_forest", "lof")).items():
+        scores = stored(scores.withColumn("score", F.round("score", 9)), f"scores-{name}")
+        parts.append(classify_anomaly(scores, score_threshold(scores, "score"), "score").withColumn("detector", F.lit(name)))
+    return ev.model_comparison(fr.union_captures(*parts))
