@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from busvitals.functions import fixed_values as fv
-from busvitals.operators import evaluate as ev, forest, kernel, neighbors, oneclass, vantage
+from busvitals.operators import evaluate as ev, forest, kernel, neighbors, oneclass, projections, vantage
 
 KEY = ["vehicle_id", "capture", "w"]
 
@@ -212,3 +212,48 @@ def test_one_class_minimum_has_no_slope():
         return x[:-1] @ x[:-1] / 2 - x[-1] + z.mean() / 0.1
 
     assert all(value(x) <= value(x + step) + 1e-4 for step in rng.normal(size=(500, 7)) * rng.choice([0.3, 0.03, 0.003], size=(500, 1)))
+
+
+def structured(n, seed):
+    """Rows of 13 numbers that follow three hidden ones."""
+    rng = np.random.default_rng(seed)
+    return np.tanh(rng.normal(size=(n, 3)) @ np.random.default_rng(1).normal(size=(3, 13))) + 0.1 * rng.normal(size=(n, 13))
+
+
+def recall_and_work(n, k=20, asked=150):
+    x = structured(n, 2)
+    tables = projections.Projections.fit(x[:2000], n)
+    own, found, work = tables.own(x), 0, 0
+    for i, codes in enumerate(tables.probed(x[:asked], projections.PROBES)):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hit = np.isin(own, codes)
+        work += hit.sum()
+        found += hit.any(axis=1)[np.argpartition(d, k)[:k]].sum()
+    return found / asked / k, work / asked
+
+
+def test_projection_tables_find_most_with_less_and_less_work():
+    small, large = recall_and_work(4_000), recall_and_work(32_000)
+    assert small[0] >= 0.9 and large[0] >= 0.9
+    assert large[1] < 0.3 * 32_000 and large[1] / small[1] < 0.75 * 8  # pairs for each query grow slower than the rows
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_train": 30, "block_query": 40}])
+def test_approximate_neighbours_against_the_exact_join(spark, sizes):
+    """Clusters, one vector that a third of all rows share, and far points."""
+    base = np.concatenate([structured(500, 3), np.zeros((300, 13)), structured(60, 4) * 0.01 + 6, structured(5, 5) * 50])
+    points = spark.createDataFrame([(f"p{i:04d}", [float(v) for v in x]) for i, x in enumerate(base)], "pid string, x array<double>").persist()
+    train = points.where("pid < 'p0700' OR pid >= 'p0810'")
+    exact = {(r["pid"], r["neighbour"]): r["distance"] for r in neighbors.knn_join(points, train, 7).collect()}
+    rows = projections.approximate_knn_join(points, train, 7, **sizes).collect()
+    got = {(r["pid"], r["neighbour"]): r["distance"] for r in rows}
+    assert len(got) == len(rows) and all(a != b for a, b in got)
+    assert len(set(got) & set(exact)) >= 0.9 * len(exact)
+    assert all(abs(exact[p] - got[p]) < 1e-9 for p in set(got) & set(exact))
+
+
+def test_few_rows_are_joined_exactly(spark):
+    points = spark.createDataFrame([(f"p{i}", [float(v) for v in x]) for i, x in enumerate(structured(90, 6))], "pid string, x array<double>").persist()
+    key = lambda df: {(r["pid"], r["rank"], r["neighbour"]) for r in df.collect()}
+    assert key(projections.approximate_knn_join(points, points, 5)) == key(neighbors.knn_join(points, points, 5))
