@@ -64,7 +64,8 @@ def attacks(spark: SparkSession) -> DataFrame:
 
 def levels(spark: SparkSession) -> DataFrame:
     return _dim(
-        spark, fv.LEVELS, "response_level int, level_label string, outcome string, recovery string, safety string"
+        spark, [(*level, text) for level, text in zip(fv.LEVELS, fv.LEVEL_DESCRIPTIONS)],
+        "response_level int, level_label string, outcome string, recovery string, safety string, description string",
     )
 
 

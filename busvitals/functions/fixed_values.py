@@ -207,6 +207,14 @@ LEVELS = [
     (4, "Emergency Response", "Emergency response active; vehicle in safe state",
      "Full system reset — service center inspection required", "HIGH — vehicle may enter limp-home mode"),
 ]
+# What each response level means for the vehicle.
+LEVEL_DESCRIPTIONS = [
+    "Passive monitoring — no threats detected",
+    "Operator notification on suspicious activity",
+    "Isolate suspected ECUs from CAN bus",
+    "Deploy countermeasures against confirmed attacks",
+    "Full system isolation and fail-safe mode",
+]
 GENERIC_ACTION_TEXT = "Generic response — escalate to operator"
 SAFETY_SUFFIX = [("gear", "; transmission safety at risk"), ("rpm", "; engine safety at risk")]
 

@@ -391,6 +391,25 @@ def narrative_short(trended: DataFrame) -> DataFrame:
     )
 
 
+def class_stories(trended: DataFrame, asked: DataFrame) -> DataFrame:
+    """Per vehicle, the short story for each class in ``asked`` (``asked``, in any case): the worst window of that class; of an
+    unknown class the worst of all; for none or the normal one the best of all. Rows carry a local trend.
+
+    ``asked`` is what a user asks for, a few rows, and so broadcast.
+    """
+    whole = F.struct(*[F.col(c) for c in trended.columns if c != "vehicle_id"])
+
+    def picked(rows: DataFrame, name: str, *by: Column) -> DataFrame:
+        return rows.select("vehicle_id", *by, whole.alias(name))
+
+    of_class = picked(worst_window(trended, ("vehicle_id", "attack_type")), "of_class", F.lower("attack_type").alias("class"))
+    of_all = picked(worst_window(trended, ("vehicle_id",)), "of_all").join(picked(best_window(trended, ("vehicle_id",)), "best"), "vehicle_id")
+    name = F.coalesce(F.lower("asked"), F.lit("normal"))
+    rows = of_all.crossJoin(F.broadcast(asked.withColumn("class", name))).join(of_class, ["vehicle_id", "class"], "left")
+    told = rows.select("vehicle_id", "asked", F.when(F.col("class") == "normal", F.col("best")).otherwise(F.coalesce("of_class", "of_all")).alias("row"))
+    return narrative_short(told.select("vehicle_id", "asked", "row.*")).withColumn("health_score", F.col("cyber_health"))
+
+
 def audience_routing(rows: DataFrame) -> DataFrame:
     """Audience, channel and urgency of a category."""
     return rows.join(F.broadcast(dims.category_routing(rows.sparkSession)), "risk_category", "left")

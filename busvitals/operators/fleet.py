@@ -159,7 +159,9 @@ def run_summary(health: DataFrame, classified: DataFrame, baseline: DataFrame, t
         .join(explain.top_driver(chosen, baseline).drop("attack_type"), key)
     )
     distance = F.try_divide(F.abs(F.col("score") - F.col("threshold")), F.col("_spread") * 2)
-    return ecu_target(joined).select(
+    leveled = ecu_target(joined).withColumn("defense_level", level_from_risk(F.col("risk_category"), F.col("trend")))
+    labels = dims.levels(health.sparkSession).select(F.col("response_level").alias("defense_level"), F.col("level_label").alias("defense_label"))
+    return leveled.join(F.broadcast(labels), "defense_level", "left").select(
         "vehicle_id",
         "attack_type",
         F.when(F.col("score") < F.col("threshold"), "anomaly").otherwise("normal").alias("detection_status"),
@@ -176,5 +178,6 @@ def run_summary(health: DataFrame, classified: DataFrame, baseline: DataFrame, t
         "windows_analyzed",
         "anomalous_features",
         F.col("top_driver").alias("top_anomaly_driver"),
-        level_from_risk(F.col("risk_category"), F.col("trend")).alias("defense_level"),
+        "defense_level",
+        "defense_label",
     )

@@ -125,9 +125,9 @@ def decision_summary(decisions: DataFrame) -> DataFrame:
 
 
 def defense_levels(health: DataFrame) -> DataFrame:
-    """The five levels with the one the mean health calls for marked active."""
+    """The five levels with their meaning, the one the mean health calls for marked active, and its label with each."""
     mean = health.agg(F.avg("cyber_health").alias("mean_health"))
-    ladder = dims.levels(health.sparkSession).select("response_level", "level_label")
-    return ladder.crossJoin(F.broadcast(mean)).withColumn(
-        "active", (F.col("response_level") == level_from_mean_health(F.col("mean_health"))).cast("int")
-    )
+    ladder = dims.levels(health.sparkSession).select("response_level", "level_label", "description")
+    current = ladder.select(F.col("response_level").alias("current_level"), F.col("level_label").alias("current_label"))
+    placed = mean.withColumn("current_level", level_from_mean_health(F.col("mean_health"))).join(F.broadcast(current), "current_level")
+    return ladder.crossJoin(F.broadcast(placed)).withColumn("active", (F.col("response_level") == F.col("current_level")).cast("int"))

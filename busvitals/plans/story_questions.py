@@ -106,6 +106,7 @@ def simple_root_cause(ws: Workspace) -> DataFrame:
     return ex.simple_root_cause(ws.service_health()).select(*KEY, "simple_component")
 
 
+_COMPONENT = "CASE WHEN threat_component < 20 THEN 'Threat' WHEN stability_component < 15 THEN 'Stability' ELSE 'Pressure' END"
 _RESPONSE = "CASE WHEN risk_category IN ('Secure', 'Stable') THEN 'Monitor' WHEN risk_category = 'Warning' THEN 'Investigate' ELSE 'Activate countermeasures' END"
 
 
@@ -206,6 +207,24 @@ def narrative_short(ws: Workspace) -> DataFrame:
     return ex.narrative_short(ws.trended()).select(*KEY, "narrative_short")
 
 
+ASKED = [("normal",), ("dos",), ("fuzzy",), ("gear",), ("RPM",), ("masquerade",), (None,)]
+_ASKED = "(VALUES " + ", ".join("(NULL)" if a is None else f"('{a}')" for (a,) in ASKED) + ") asked_for(asked)"
+_TOLD = ("attack_type risk_category narrative_short simple_component simple_response window_index", "health_score projected_health threat_component stability_component pressure_component")
+
+
+@question("class_stories", build("trended", out(f"""SELECT a.vehicle_id, a.asked, t.attack_type, t.risk_category, {_SHORT} AS narrative_short, {_COMPONENT} AS simple_component, {_RESPONSE} AS simple_response,
+        t.window_index, cyber_health AS health_score, greatest(0e0, cyber_health - 5) AS projected_health, threat_component, stability_component, pressure_component
+    FROM (SELECT v.vehicle_id, asked, CASE WHEN asked IS NULL OR lower(asked) = 'normal' THEN best ELSE coalesce(worst, worst_of_all) END AS window_index
+        FROM (SELECT vehicle_id, arg_min(window_index, (-cyber_health, window_index)) AS best, arg_min(window_index, (cyber_health, window_index)) AS worst_of_all FROM trended GROUP BY ALL) v CROSS JOIN {_ASKED}
+        LEFT JOIN (SELECT vehicle_id, lower(attack_type) AS asked_class, arg_min(window_index, (cyber_health, window_index)) AS worst FROM trended GROUP BY ALL) c
+        ON c.vehicle_id = v.vehicle_id AND c.asked_class = lower(asked)) a
+    JOIN trended t USING (vehicle_id, window_index)""", "vehicle_id asked " + _TOLD[0], _TOLD[1])))
+def class_stories(ws: Workspace) -> DataFrame:
+    """What the service tells when asked for a class, known or not."""
+    asked = ws.spark.createDataFrame(ASKED, "asked string")
+    return ex.class_stories(ws.trended(), asked).select("vehicle_id", "asked", *_TOLD[0].split(), *_TOLD[1].split())
+
+
 _ROUTING = values(fv.CATEGORY_ROUTING, "risk_category, audience, channel, urgency")
 _AUDIENCE = values([(f, a) for f, _, a, _, _ in fv.TRACKED], "primary_feature, feature_audience")
 
@@ -253,9 +272,14 @@ def level_from_risk(ws: Workspace) -> DataFrame:
     return ws.trended().select(*KEY, "risk_category", "trend", re_.level_from_risk(F.col("risk_category"), F.col("trend")).alias("response_level"))
 
 
-@question("level_from_mean_health", build("health", out(f"""WITH_LEVELS""".replace("WITH_LEVELS", """SELECT CAST(response_level AS INTEGER) AS response_level, level_label, m AS mean_health,
-    CAST(response_level = CASE WHEN m >= 80 THEN 0 WHEN m >= 60 THEN 1 WHEN m >= 40 THEN 2 WHEN m >= 20 THEN 3 ELSE 4 END AS INTEGER) AS active
-    FROM levels_dim CROSS JOIN (SELECT avg(cyber_health) AS m FROM hs)"""), "response_level level_label active", "mean_health"), PLAYBOOK))
+_LEVEL_TEXTS = values([(level[0], text) for level, text in zip(fv.LEVELS, fv.LEVEL_DESCRIPTIONS)], "response_level, description")
+
+
+@question("level_from_mean_health", build("health", out(f"""SELECT CAST(l.response_level AS INTEGER) AS response_level, l.level_label, d.description, m AS mean_health,
+    CAST(l.response_level = c.response_level AS INTEGER) AS active, CAST(c.response_level AS INTEGER) AS current_level, c.level_label AS current_label
+    FROM levels_dim l JOIN ({_LEVEL_TEXTS}) d USING (response_level) CROSS JOIN (SELECT avg(cyber_health) AS m FROM hs)
+    JOIN levels_dim c ON c.response_level = CASE WHEN m >= 80 THEN 0 WHEN m >= 60 THEN 1 WHEN m >= 40 THEN 2 WHEN m >= 20 THEN 3 ELSE 4 END""",
+    "response_level level_label description active current_level current_label", "mean_health"), PLAYBOOK))
 def level_from_mean_health(ws: Workspace) -> DataFrame:
     return re_.defense_levels(ws.service_health())
 
@@ -335,15 +359,18 @@ sc AS (SELECT c.*, CASE WHEN c.attack_type = 'Normal' THEN (SELECT quantile_cont
     (SELECT threshold FROM threshold) AS threshold, (SELECT stddev_pop(anomaly_score) FROM scored) AS spread FROM chosen c)"""
 
 
+_RUN_LEVEL = LEVEL.format(t="t.trend").replace("risk_category", "s.risk_category")
+
+
 @question("attack_run_summary", build("trended", out(
     f"""SELECT s.vehicle_id, s.attack_type, CASE WHEN score < threshold THEN 'anomaly' ELSE 'normal' END AS detection_status, round_even(least(1e0, abs(score - threshold) / (spread * 2)), 4) AS confidence,
         round_even(score, 4) AS anomaly_score, e.ecu_id AS affected_ecu, e.ecu_name AS affected_ecu_name, round_even(b.health_before, 1) AS health_before, round_even(b.health_during, 1) AS health_during,
         round_even(b.health_after, 1) AS health_after, b.recovery_time_ms, CASE WHEN s.attack_type = 'Normal' THEN 'Secure' ELSE 'Restored' END AS final_vehicle_state,
         (SELECT count(*) FROM hs) AS total_windows, (SELECT count(*) FROM hs x WHERE x.attack_type = s.attack_type) AS windows_analyzed, CAST(d.anomalous_features AS BIGINT) AS anomalous_features,
-        d.top_driver AS top_anomaly_driver, CAST({LEVEL.format(t='t.trend').replace('risk_category', 's.risk_category')} AS INTEGER) AS defense_level
+        d.top_driver AS top_anomaly_driver, CAST({_RUN_LEVEL} AS INTEGER) AS defense_level, v.level_label AS defense_label
     FROM sc s JOIN bda b USING (vehicle_id, attack_type) JOIN trended t ON t.capture = s.capture AND t.w = s.w JOIN drivers d ON d.capture = s.capture AND d.w = s.w
-    JOIN ({values(fv.TARGETS, 'attack_type, ecu_id, ecu_name')}) e ON e.attack_type = s.attack_type""",
-    "vehicle_id attack_type detection_status affected_ecu affected_ecu_name recovery_time_ms final_vehicle_state total_windows windows_analyzed anomalous_features top_anomaly_driver defense_level",
+    JOIN ({values(fv.TARGETS, 'attack_type, ecu_id, ecu_name')}) e ON e.attack_type = s.attack_type JOIN ({values([x[:2] for x in fv.LEVELS], 'response_level, level_label')}) v ON v.response_level = {_RUN_LEVEL}""",
+    "vehicle_id attack_type detection_status affected_ecu affected_ecu_name recovery_time_ms final_vehicle_state total_windows windows_analyzed anomalous_features top_anomaly_driver defense_level defense_label",
     "confidence anomaly_score health_before health_during health_after"), _SUMMARY))
 def attack_run_summary(ws: Workspace) -> DataFrame:
     """Detection to recovery in one row per class."""
