@@ -10,13 +10,19 @@ from busvitals.operators.ordering import attach
 from busvitals.operators.quantiles import exact_percentiles
 
 
-def score_threshold(scored: DataFrame, score: str = "anomaly_score") -> DataFrame:
-    """The 5th percentile of the normal scores, exact and interpolated."""
-    return exact_percentiles(scored.where("attack_label = 0"), [], score, {"threshold": fv.THRESHOLD_PERCENTILE})
+def score_threshold(scored: DataFrame, score: str = "anomaly_score", sketches: DataFrame | None = None) -> DataFrame:
+    """The 5th percentile of the normal scores, exact and interpolated. ``sketches``: stored ones of all scores, by ``attack_label``
+    or finer."""
+    return _of_normal(scored, score, {"threshold": fv.THRESHOLD_PERCENTILE}, sketches)
 
 
-def median_score(scored: DataFrame) -> DataFrame:
-    return exact_percentiles(scored.where("attack_label = 0"), [], "anomaly_score", {"median_score": 0.5})
+def median_score(scored: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    return _of_normal(scored, "anomaly_score", {"median_score": 0.5}, sketches)
+
+
+def _of_normal(scored: DataFrame, score: str, probs: dict[str, float], sketches: DataFrame | None) -> DataFrame:
+    normal = "attack_label = 0"
+    return exact_percentiles(scored.where(normal), [], score, probs, sketches=None if sketches is None else sketches.where(normal))
 
 
 def classify_anomaly(scored: DataFrame, threshold: DataFrame, score: str = "anomaly_score") -> DataFrame:

@@ -54,7 +54,8 @@ def filter_extreme(health: DataFrame, name: str | None = None) -> DataFrame:
     return extreme.where(F.col("attack_type") == name) if name else extreme
 
 
-def health_summary(health: DataFrame) -> DataFrame:
+def health_summary(health: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    """``sketches``: stored ones of all healths, by any keys."""
     plain = health.agg(
         F.count("cyber_health").alias("n"),
         F.avg("cyber_health").alias("mean_health"),
@@ -62,7 +63,7 @@ def health_summary(health: DataFrame) -> DataFrame:
         F.min("cyber_health").alias("min_health"),
         F.max("cyber_health").alias("max_health"),
     )
-    ranks = exact_percentiles(health, [], "cyber_health", {"p25_health": 0.25, "median_health": 0.5, "p75_health": 0.75})
+    ranks = exact_percentiles(health, [], "cyber_health", {"p25_health": 0.25, "median_health": 0.5, "p75_health": 0.75}, sketches=sketches)
     return attach(plain, ranks)
 
 
@@ -76,10 +77,11 @@ def category_distribution(health: DataFrame) -> DataFrame:
     return filled.withColumn("pct", F.bround(F.try_divide(F.col("n") * F.lit(100.0), total), 1))
 
 
-def health_by_attack(health: DataFrame) -> DataFrame:
-    """Count, mean, median and most frequent category (alphabetically first on ties) per class."""
+def health_by_attack(health: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    """Count, mean, median and most frequent category (alphabetically first on ties) per class. ``sketches``: stored ones of all
+    healths, by class or finer."""
     plain = health.groupBy("attack_type").agg(F.count(F.lit(1)).alias("n"), F.avg("cyber_health").alias("mean_health"))
-    median = exact_percentiles(health, ["attack_type"], "cyber_health", {"median_health": 0.5})
+    median = exact_percentiles(health, ["attack_type"], "cyber_health", {"median_health": 0.5}, sketches=sketches)
     per = health.groupBy("attack_type", "risk_category").agg(F.count(F.lit(1)).alias("_c"))
     modal = per.groupBy("attack_type").agg(
         F.min(F.struct((-F.col("_c")).alias("_neg"), "risk_category"))["risk_category"].alias("modal_category")

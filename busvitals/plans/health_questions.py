@@ -154,17 +154,17 @@ def subsample_10(ws: Workspace) -> DataFrame:
 
 @question("score_threshold", build("threshold", out("SELECT * FROM threshold", "", "threshold")))
 def score_threshold(ws: Workspace) -> DataFrame:
-    return dt.score_threshold(ws.scored())
+    return dt.score_threshold(ws.scored(), sketches=ws.sketches("anomaly_score"))
 
 
 @question("median_score", build("scored", out("SELECT quantile_cont(anomaly_score, 0.5) AS median_score FROM scored WHERE attack_label = 0", "", "median_score")))
 def median_score(ws: Workspace) -> DataFrame:
-    return dt.median_score(ws.scored())
+    return dt.median_score(ws.scored(), ws.sketches("anomaly_score"))
 
 
 @question("classify_anomaly", build("threshold", keyed("SELECT * FROM classified", "is_anomaly", "anomaly_score")))
 def classify_anomaly(ws: Workspace) -> DataFrame:
-    return dt.classify_anomaly(ws.scored(), dt.score_threshold(ws.scored())).select(*KEY, "is_anomaly", "anomaly_score")
+    return dt.classify_anomaly(ws.scored(), dt.score_threshold(ws.scored(), sketches=ws.sketches("anomaly_score"))).select(*KEY, "is_anomaly", "anomaly_score")
 
 
 _CONFIDENCE = """SELECT *, least(1e0, abs(anomaly_score - threshold) / ((SELECT stddev_pop(anomaly_score) FROM scored) * 2)) AS confidence FROM classified"""
@@ -172,7 +172,7 @@ _CONFIDENCE = """SELECT *, least(1e0, abs(anomaly_score - threshold) / ((SELECT
 
 @question("detection_confidence", build("threshold", keyed(_CONFIDENCE, "", "confidence")))
 def detection_confidence(ws: Workspace) -> DataFrame:
-    return dt.detection_confidence(dt.classify_anomaly(ws.scored(), dt.score_threshold(ws.scored()))).select(*KEY, "confidence")
+    return dt.detection_confidence(dt.classify_anomaly(ws.scored(), dt.score_threshold(ws.scored(), sketches=ws.sketches("anomaly_score")))).select(*KEY, "confidence")
 
 
 @question("detect", build("threshold", keyed(_CONFIDENCE, "attack_type is_anomaly", "anomaly_score threshold confidence")))
@@ -210,7 +210,7 @@ def filter_extreme(ws: Workspace) -> DataFrame:
         min(cyber_health) AS min_health, max(cyber_health) AS max_health, quantile_cont(cyber_health, 0.25) AS p25_health, quantile_cont(cyber_health, 0.75) AS p75_health FROM he""",
     "n", "mean_health median_health std_health min_health max_health p25_health p75_health")))
 def health_summary(ws: Workspace) -> DataFrame:
-    return he.health_summary(ws.engine_health())
+    return he.health_summary(ws.engine_health(), ws.sketches("cyber_health"))
 
 
 _DISTRIBUTION = f"""SELECT CAST(c.category_ord AS INTEGER) AS category_ord, c.risk_category, coalesce(n, 0) AS n, round_even(coalesce(n, 0) * 1e2 / sum(coalesce(n, 0)) OVER (), 1) AS pct
@@ -229,7 +229,7 @@ _BY_ATTACK = """SELECT attack_type, count(*) AS n, avg(cyber_health) AS mean_hea
 
 @question("health_by_attack", build("health", out(_BY_ATTACK, "attack_type n modal_category", "mean_health median_health")))
 def health_by_attack(ws: Workspace) -> DataFrame:
-    return he.health_by_attack(ws.engine_health())
+    return he.health_by_attack(ws.engine_health(), ws.sketches("cyber_health"))
 
 
 _COUNTS = [(c, "n_" + c.lower().replace(" ", "_")) for c, _ in fv.CATEGORIES]
@@ -453,7 +453,7 @@ _CURVE = """curve AS (
 
 
 def classified(ws: Workspace) -> DataFrame:
-    return dt.classify_anomaly(ws.scored(), dt.score_threshold(ws.scored()))
+    return dt.classify_anomaly(ws.scored(), dt.score_threshold(ws.scored(), sketches=ws.sketches("anomaly_score")))
 
 
 @question("confusion_matrix", build("threshold", _CM.format(t="classified")))

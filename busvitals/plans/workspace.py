@@ -13,6 +13,7 @@ from busvitals.operators.baseline import fit_baseline
 from busvitals.operators.frames import engineer_frames
 from busvitals.operators.health import health_score
 from busvitals.operators.kernel import KernelModel, fit_parzen, load_model, rbf_score, save_model
+from busvitals.operators.quantiles import value_sketches
 from busvitals.operators.series import trend_at_window
 from busvitals.operators.windows import window_features, window_index
 from busvitals.sources.scratch import fresh_path, stored
@@ -33,6 +34,7 @@ class Workspace:
         self.root = fresh_path(spark, "tables")
         self._engineered = self._windows = self._model = self._scored = self._health = None
         self._baselines: dict[int, DataFrame] = {}
+        self._sketches: dict[str, DataFrame] = {}
 
     def frames(self) -> DataFrame:
         return event_frames(self.spark, self.folder)
@@ -80,6 +82,15 @@ class Workspace:
             self._health = stored(health_score(self.scored(), self.baseline(1)), "health")
         return self._health
 
+    def sketches(self, value: str) -> DataFrame:
+        """Stored sketches of ``anomaly_score``, or of ``cyber_health`` as the engine reports it, one per vehicle and capture;
+        small, whatever the number of windows."""
+        if value not in self._sketches:
+            source = self.scored() if value == "anomaly_score" else self.engine_health()
+            keys = ["vehicle_id", "capture", "attack_type", "attack_label"]
+            self._sketches[value] = stored(value_sketches(source, keys, value), f"sketches-{value}")
+        return self._sketches[value]
+
     def trended(self) -> DataFrame:
         return trend_at_window(self.service_health(), ["vehicle_id"], "window_index", "cyber_health")
 
