@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from busvitals.llm.arrow import batched
-from busvitals.llm.text import byte_words
+from busvitals.llm.text import byte_words, own_name
 from busvitals.sources.scratch import stored
 
 BITS = 64
@@ -420,12 +420,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own, roots = similar_groups(docs, id_col, text_col, block_rows)
     roots = stored(roots, "roots")
     last = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    kept_id, kept_hash, own_id, own_hash, place = (own_name(docs, n) for n in ("kept_id", "kept_hash", "own_id", "own_hash", "place"))
     best = own.join(roots, "node").groupBy("root").agg(F.min(last).alias("m")).select(
-        F.col("m.doc_id").alias("_id"), F.col("m.text_hash").alias("_hash"))
+        F.col("m.doc_id").alias(kept_id), F.col("m.text_hash").alias(kept_hash))
     best = stored(best, "kept")
-    key = F.col(id_col).cast("bigint")
-    joined = docs.withColumn("_k", key).withColumn("_h", F.xxhash64(F.col(text_col).cast("string"))).join(
-        best, F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    joined = docs.withColumn(own_id, F.col(id_col).cast("bigint")).withColumn(own_hash, F.xxhash64(F.col(text_col).cast("string"))).join(
+        best, F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)))
     # equal rows: one of them; the join has dealt and sorted the rows by these columns already
-    first = F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_k"))
-    return joined.withColumn("_r", first).where("_r = 1").select(*[F.col(c) for c in docs.columns])
+    first = F.row_number().over(Window.partitionBy(own_id, own_hash).orderBy(own_id))
+    return joined.withColumn(place, first).where(F.col(place) == 1).select(*[F.col(c) for c in docs.columns])

@@ -61,3 +61,15 @@ def test_stages(spark, tmp_path):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_near_copies_keep_the_values_of_clashing_columns(spark):
+    from busvitals.llm.simhash import one_of_each
+    from tests.llm.tables import documents
+
+    names = ["_r", "_k", "_h", "_id", "_hash", "kept_id", "kept_hash", "own_id", "own_hash", "place", "place_"]
+    docs = documents(spark)
+    docs = docs.drop(*[c for c in names if c in docs.columns]).selectExpr("*", *[f"{k} AS {c}" for k, c in enumerate(names)])
+    out = one_of_each(docs)
+    assert out.columns == docs.columns and 0 < out.count() < docs.count()
+    assert {tuple(r[c] for c in names) for r in out.collect()} == {tuple(range(len(names)))}
