@@ -109,6 +109,14 @@ def _labels(mode: str) -> dict[str, Column]:
     }
 
 
+def both_labels(framed: DataFrame, size: int = fv.WINDOW_SIZE) -> DataFrame:
+    """Label and class of each full window by its recording and by the majority of its frames, in one aggregation."""
+    grouped = framed.groupBy(*SERIES, "w").agg(
+        F.count(F.lit(1)).alias("n_frames"), F.min("attack_type").alias("_type"), F.min("attack_label").alias("_label"), F.avg("flag").alias("_flagged"))
+    named = [column.alias(f"{mode}_{name.removeprefix('attack_')}") for mode in ("capture", "majority") for name, column in _labels(mode).items()]
+    return grouped.where(_tail_filter(size, "drop")).select(*SERIES, "w", *named)
+
+
 def window_index(windows: DataFrame, scope: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
     """Dense 0-based position in class order, per vehicle (default) or over everything (``scope=()``).
 

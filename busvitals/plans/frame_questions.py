@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from busvitals.functions import fixed_values as fv
-from busvitals.operators import fleet, frames as fr, windows as wi
+from busvitals.operators import fleet, frames as fr, identifiers as ids, windows as wi
 from busvitals.operators.health import filter_by_class
 from busvitals.operators.ordering import number_rows
 from busvitals.plans.reference_sql import CLASS_ORD, build, out, windows_cte
@@ -179,13 +179,7 @@ def unique_can_ids(ws: Workspace) -> DataFrame:
 @question("window_label", build("windows", """SELECT vehicle_id, capture, CAST(w AS BIGINT) AS w, CAST(attack_label AS INTEGER) AS capture_label, attack_type AS capture_type,
     CAST(flagged > 0.5 AS INTEGER) AS majority_label, CASE WHEN flagged > 0.5 THEN attack_type ELSE 'Normal' END AS majority_type FROM windows"""))
 def window_label(ws: Workspace) -> DataFrame:
-    key = ["vehicle_id", "capture", "w"]
-    framed = wi.count_window(fr.payload_entropy(fr.payload_stats(ws.frames())))
-    by_capture = wi.features_of_windows(framed).select(*key, F.col("attack_label").alias("capture_label"), F.col("attack_type").alias("capture_type"))
-    by_majority = wi.features_of_windows(framed, label="majority").select(
-        *key, F.col("attack_label").alias("majority_label"), F.col("attack_type").alias("majority_type")
-    )
-    return by_capture.join(by_majority, key)
+    return wi.both_labels(wi.count_window(ws.frames()))
 
 
 @question("window_size_comparison", build("frames", """SELECT CAST(s AS INTEGER) AS window_size, attack_type, CAST(sum(floor(n / s)) AS BIGINT) AS n_windows
@@ -272,3 +266,26 @@ def filter_classes(ws: Workspace) -> DataFrame:
     return fr.union_captures(*parts)
 
 
+@question("id_frequency_deviation", build("numbered", out("""SELECT vehicle_id, capture, w, (sum(abs(c / 50e0 - p)) + 1e0 - sum(p)) / 2 AS id_deviation, count(*) FILTER (unseen) AS unseen_ids,
+        CAST(coalesce(sum(c) FILTER (unseen), 0) AS BIGINT) AS unseen_frames, arg_min(can_id, (-round(c / 50e0 - p, 9), can_id)) AS loudest_id
+    FROM (SELECT n.*, coalesce(s.share, 0e0) AS p, s.share IS NULL AS unseen FROM (
+        SELECT vehicle_id, capture, CAST(rn // 50 AS BIGINT) AS w, can_id, count(*) AS c FROM numbered GROUP BY ALL) n LEFT JOIN shares s USING (can_id))
+    GROUP BY ALL HAVING sum(c) = 50""", "vehicle_id capture w unseen_ids unseen_frames loudest_id", "id_deviation"),
+    "shares AS (SELECT can_id, count(*) * 1e0 / (SELECT count(*) FROM numbered WHERE attack_label = 0) AS share FROM numbered WHERE attack_label = 0 GROUP BY can_id)"))
+def id_frequency_deviation(ws: Workspace) -> DataFrame:
+    """How far each window's identifiers are from the shares that normal traffic gives them."""
+    frames = ws.frames()
+    return ids.id_frequency_deviation(wi.count_window(frames), ids.normal_id_shares(frames))
+
+
+@question("fleet_unique_ids", build("frames", """SELECT capture, CAST(count(*) AS BIGINT) AS frames, count(DISTINCT can_id) AS unique_ids, TRUE AS within_error FROM frames GROUP BY capture
+    UNION ALL SELECT 'all', CAST(count(*) AS BIGINT), count(DISTINCT can_id), TRUE FROM frames"""))
+def fleet_unique_ids(ws: Workspace) -> DataFrame:
+    """Distinct identifiers per capture and of the fleet, counted, and whether the stored sketches say so within their error."""
+    sketches = stored(ids.id_sketches(ws.frames()), "id-sketches")
+    told = ids.unique_ids(sketches, ["capture"]).unionByName(ids.unique_ids(sketches).withColumn("capture", F.lit("all")))
+    counted = ws.frames().select("capture", "can_id").distinct()
+    exact = counted.groupBy("capture").agg(F.count("can_id").alias("n")).unionByName(
+        counted.select("can_id").distinct().agg(F.count("can_id").alias("n")).withColumn("capture", F.lit("all")))
+    near = F.abs(F.col("unique_ids") - F.col("n")) <= F.lit(ids.estimate_error()) * F.col("n")
+    return told.join(exact, "capture").select("capture", "frames", F.col("n").alias("unique_ids"), near.alias("within_error"))

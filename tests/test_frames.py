@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busvitals.operators import frames as fr, windows as wi
+from busvitals.operators import frames as fr, identifiers, windows as wi
 from busvitals.sources import can_logs
 
 FRAME = "vehicle_id string, capture string, attack_type string, attack_label int, t_us bigint, seq bigint, can_id int, dlc int, payload array<int>, flag int"
@@ -105,3 +105,40 @@ def test_majority_label(spark):
     rows = [frame(i, i, capture="DoS", flag=int(i % 50 < (26 if i < 50 else 25))) for i in range(100)]
     got = {r["w"]: (r["attack_label"], r["attack_type"]) for r in wi.window_features(make(spark, rows), label="majority").collect()}
     assert got == {0: (1, "DoS"), 1: (0, "Normal")}
+
+
+def test_both_labels_equal_those_of_the_features(spark):
+    rows = [frame(i, i * 1000, capture="DoS", flag=int(i % 50 < (10 if i < 50 else 40))) for i in range(130)]
+    framed = wi.count_window(fr.payload_entropy(fr.payload_stats(make(spark, rows))))
+    got = {r["w"]: tuple(r[c] for c in ("capture_label", "capture_type", "majority_label", "majority_type")) for r in wi.both_labels(framed).collect()}
+    for k, mode in enumerate(("capture", "majority")):
+        want = {r["w"]: (r["attack_label"], r["attack_type"]) for r in wi.features_of_windows(framed, label=mode).collect()}
+        assert {w: v[2 * k : 2 * k + 2] for w, v in got.items()} == want
+    assert set(got) == {0, 1} and got[0][2:] == (0, "Normal") and got[1][2:] == (1, "DoS")
+
+
+def test_identifier_frequencies_by_hand(spark):
+    normal = [frame(i, i * 1000, can_id=1 if i % 2 else 2) for i in range(100)]
+    attack = [frame(i, i * 1000, can_id=9 if i < 20 else 1, capture="DoS") for i in range(50)] + [frame(i, i * 1000, can_id=None, capture="DoS") for i in range(50, 100)]
+    frames = make(spark, normal + attack)
+    shares = identifiers.normal_id_shares(frames)
+    assert {r["can_id"]: r["share"] for r in shares.collect()} == {1: 0.5, 2: 0.5}
+    got = {(r["capture"], r["w"]): r for r in identifiers.id_frequency_deviation(wi.count_window(frames), shares).collect()}
+    assert abs(got[("Normal", 0)]["id_deviation"]) < 1e-12 and got[("Normal", 1)]["unseen_ids"] == 0
+    dos = got[("DoS", 0)]  # shares 0.4 of 9 and 0.6 of 1 against 0.5 of 1 and 0.5 of 2
+    assert abs(dos["id_deviation"] - 0.5) < 1e-12 and (dos["unseen_ids"], dos["unseen_frames"], dos["loudest_id"]) == (1, 20, 9)
+    assert abs(got[("DoS", 1)]["id_deviation"] - 1.0) < 1e-12 and got[("DoS", 1)]["unseen_frames"] == 50
+    per_vehicle = identifiers.normal_id_shares(frames, ["vehicle_id"])
+    again = identifiers.id_frequency_deviation(wi.count_window(frames), per_vehicle, by=["vehicle_id"])
+    assert {(r["capture"], r["w"]): r["id_deviation"] for r in again.collect()} == {k: r["id_deviation"] for k, r in got.items()}
+
+
+def test_stored_sketches_count_identifiers_of_any_grouping(spark):
+    frames = spark.range(60_000).selectExpr("concat('v', id % 3) AS vehicle_id", "concat('c', id % 7) AS capture", "cast(id * 7 % (3000 + 1000 * (id % 7)) AS int) AS can_id")
+    sketches = identifiers.id_sketches(frames).persist()
+    assert sketches.count() == 21
+    for by in ([], ["capture"], ["vehicle_id"]):
+        told = {tuple(r[b] for b in by): (r["frames"], r["unique_ids"]) for r in identifiers.unique_ids(sketches, by).collect()}
+        for r in frames.groupBy(*by).agg(F.count("*").alias("frames"), F.countDistinct("can_id").alias("n")).collect():
+            n, guess = told[tuple(r[b] for b in by)]
+            assert n == r["frames"] and abs(guess - r["n"]) <= identifiers.estimate_error() * r["n"]
