@@ -32,7 +32,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
         self.root = fresh_path(spark, "tables")
-        self._engineered = self._windows = self._model = self._scored = self._health = None
+        self._engineered = self._windows = self._model = self._scored = self._health = self._trended = None
         self._baselines: dict[int, DataFrame] = {}
         self._sketches: dict[str, DataFrame] = {}
 
@@ -92,7 +92,10 @@ class Workspace:
         return self._sketches[value]
 
     def trended(self) -> DataFrame:
-        return trend_at_window(self.service_health(), ["vehicle_id"], "window_index", "cyber_health")
+        """Health with the local trend at each window. Stored, read by all stories."""
+        if self._trended is None:
+            self._trended = stored(trend_at_window(self.service_health(), ["vehicle_id"], "window_index", "cyber_health"), "trended")
+        return self._trended
 
 
 def workspace(spark: SparkSession, folder: str) -> Workspace:
