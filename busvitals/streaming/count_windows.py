@@ -40,8 +40,8 @@ class CountWindowTables:
         return cls(
             EpochTable(spark, f"{root}/windows", stored_schema()),
             EpochTable(spark, f"{root}/late", SLIM),
-            EpochTable(spark, f"{root}/pending", PENDING),
-            EpochTable(spark, f"{root}/seen", SEEN),
+            EpochTable(spark, f"{root}/pending", PENDING, is_state=True),
+            EpochTable(spark, f"{root}/seen", SEEN, is_state=True),
         )
 
 

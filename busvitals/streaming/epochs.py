@@ -24,12 +24,16 @@ def batch_session(batch: DataFrame) -> SparkSession:
 class EpochTable:
     """``<path>/epoch=N`` folders with a fixed schema."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, is_state: bool = False) -> None:
+        """State is only read by the next epoch; older ones than a replay of that can need are removed."""
+        self.spark, self.path, self.schema, self.is_state = spark, path, schema, is_state
 
     def write(self, df: DataFrame, epoch: int) -> DataFrame:
         """Replace the epoch and return it as read back, so later steps do not compute it again."""
         df.select(*[f.name for f in self.schema.fields]).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        if self.is_state and epoch > 1:
+            old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/epoch={epoch - 2}")
+            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/epoch={epoch}")
 
     def before(self, epoch: int) -> DataFrame:

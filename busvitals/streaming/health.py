@@ -82,8 +82,8 @@ class HealthTables:
         return cls(
             EpochTable(spark, f"{root}/followed", FOLLOWED),
             EpochTable(spark, f"{root}/decisions", DECIDED),
-            EpochTable(spark, f"{root}/tail", SCORED),
-            EpochTable(spark, f"{root}/early", SCORED),
+            EpochTable(spark, f"{root}/tail", SCORED, is_state=True),
+            EpochTable(spark, f"{root}/early", SCORED, is_state=True),
         )
 
 

@@ -279,3 +279,11 @@ def test_continued_in_pieces_equals_whole():
             ring, level = np.concatenate([ring, part])[-20:], got[-1][1][-1]
         for mine, theirs in zip(map(np.concatenate, zip(*got)), whole):
             assert np.allclose(mine, theirs, atol=1e-9)
+
+
+def test_old_state_is_removed_and_outputs_stay(spark, tmp_path):
+    tables = CountWindowTables.at(spark, str(tmp_path))
+    for epoch in range(4):
+        window_batch(spark.createDataFrame([frame(i, i * 1000) for i in range(epoch * 60, epoch * 60 + 60)], FRAME), epoch, tables)
+    assert sorted(p.name for p in (tmp_path / "seen").iterdir()) == sorted(p.name for p in (tmp_path / "pending").iterdir()) == ["epoch=2", "epoch=3"]
+    assert sorted(r["w"] for r in tables.windows.all().collect()) == [0, 1, 2, 3]
