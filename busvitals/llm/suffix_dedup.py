@@ -18,7 +18,8 @@ every string that can be equal:
    one representative goes to the anchor's shard. Of anchors with very many occurrences the stretch is cut to single
    strings, dealt by their own hash: what surrounds a common passage differs in every document and would else meet in one
    shard.
-3. Expansion in each shard, of about ``SHARD_BYTES`` of text's worth of anchors.
+3. Expansion in each shard, of about ``SHARD_BYTES`` of text's worth of anchors. Equal contexts from several tasks are folded
+   again before it.
 4. The found runs go back to their documents and are merged and cut out.
 
 Hashes only route. What is removed is decided by the bytes (except that contexts of one task are folded by equality, which
@@ -52,7 +53,10 @@ PIECE = 1 << 20  # strings of a long text whose anchors are sought at a time
 HOT_ROWS = 5_000  # occurrences from which an anchor's strings are dealt one by one
 MOST_HOT = 1_000_000  # such anchors at most: the bound on what the driver gets and sends (8 bytes each)
 START = 8  # bytes of the first intervals, sorted as one number
-LAST = (1 << 63) - 1  # stands for a null id: after all others
+LAST = (1 << 63) - 1
+#: Keys from here on stand for null ids, told apart by a hash of the text so that their rows need not meet. All of them have
+#: this one rank, after every id below.
+NULLS = LAST - (1 << 40) + 1
 
 BLOCKS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("block", T.BinaryType())])
 SHARED = T.StructType([T.StructField("key", T.LongType()), T.StructField("at", T.LongType()), T.StructField("hot", T.LongType())])
@@ -161,7 +165,7 @@ def anchor_blocks(keys: list[int], texts: list[bytes], length: int, bits: int) -
     begins = _runs_of(h)
     times = np.diff(begins, append=len(h))
     ends = begins + times - 1
-    several = key[begins] < key[ends]
+    several = key[begins] < np.minimum(key[ends], NULLS)
     alone = ~np.repeat(several, times)
     part = _route(h, bits)
     witness = np.concatenate((begins[several], ends[several]))
@@ -186,7 +190,7 @@ def shared_anchors(blocks: list[tuple[int, bytes]], hot_rows: int) -> Iterator[t
     order = np.argsort(h, kind="stable")
     h, key, at, count = h[order], key[order], at[order], count[order]
     begins = _runs_of(h)
-    shared = np.minimum.reduceat(key, begins) < np.maximum.reduceat(key, begins)
+    shared = np.minimum.reduceat(key, begins) < np.minimum(np.maximum.reduceat(key, begins), NULLS)
     hot = np.add.reduceat(count.astype(np.int64), begins) >= hot_rows
     out = np.repeat(shared, np.diff(begins, append=len(h))) & (at >= 0)
     yield from zip(key[out].tolist(), at[out].tolist(), [None] * int(out.sum()))
@@ -225,7 +229,7 @@ def context_blocks(
     for piece, members in groups.items():
         least = min(members)[0]
         for key, tag, first in members:
-            if key > least:
+            if least < min(key, NULLS):
                 runs.setdefault((key, tag), []).append((first, first + len(piece)))
             else:
                 piece_of.append(piece)
@@ -292,18 +296,29 @@ def common_intervals(text: np.ndarray, starts: np.ndarray, length: int) -> tuple
 
 def repeated_runs(blocks: list[bytes], length: int) -> Iterator[tuple[int, int, int, int]]:
     """Runs (key, tag, from, to) of a shard's contexts that also start in a smaller document."""
-    keys, tags, firsts, sizes, bodies = [], [], [], [], []
+    # of equal contexts those of the least document stay: all others are repeated as a whole
+    least: dict[bytes, int] = {}
+    members: list[tuple[bytes, int, int, int]] = []
     for block in blocks:
-        raw = zstandard.ZstdDecompressor().decompress(block)
+        raw = memoryview(zstandard.ZstdDecompressor().decompress(block))
         n = int(np.frombuffer(raw, np.uint32, 1)[0])
-        keys.append(np.frombuffer(raw, "i8", n, 4))
-        tags.append(np.frombuffer(raw, "u4", n, 4 + 8 * n))
-        firsts.append(np.frombuffer(raw, "u4", n, 4 + 12 * n))
-        sizes.append(np.frombuffer(raw, "u4", n, 4 + 16 * n))
-        bodies.append(raw[4 + 20 * n:])
-    key, tag, first, size = (np.concatenate(x) for x in (keys, tags, firsts, sizes))
-    size = size.astype(np.int64)
-    text = np.frombuffer(b"".join(bodies), np.uint8)
+        key, tag, first, size = (np.frombuffer(raw, kind, n, 4 + at * n).tolist() for kind, at in (("i8", 0), ("u4", 8), ("u4", 12), ("u4", 16)))
+        ends = np.cumsum(size, dtype=np.int64) + 4 + 20 * n
+        for k, t, f, m, end in zip(key, tag, first, size, ends.tolist()):
+            piece = bytes(raw[end - m:end])
+            if k < least.setdefault(piece, k):
+                least[piece] = k
+            members.append((piece, k, t, f))
+    kept = []
+    for member in members:
+        piece, k, t, f = member
+        if least[piece] < min(k, NULLS):
+            yield k, t, f, f + len(piece)
+        else:
+            kept.append(member)
+    key, tag, first = (np.array([m[c] for m in kept], kind) for c, kind in ((1, "i8"), (2, "u4"), (3, "u4")))
+    size = np.array([len(m[0]) for m in kept], np.int64)
+    text = np.frombuffer(b"".join([m[0] for m in kept]), np.uint8)
     n_strings = size - length + 1
     context = np.repeat(np.arange(len(key)), n_strings)
     inside = np.arange(len(context)) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings)
@@ -311,7 +326,7 @@ def repeated_runs(blocks: list[bytes], length: int) -> Iterator[tuple[int, int,
     string, begins = common_intervals(text, starts, length)
     if not len(string):
         return
-    owner = key[context[string]]
+    owner = np.minimum(key, NULLS)[context[string]]
     least = np.minimum.reduceat(owner, begins)
     repeated = owner > np.repeat(least, np.diff(begins, append=len(string)))
     hit = np.sort(string[repeated])
@@ -344,7 +359,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     as pairs of byte offsets [from, to), in order.
 
     Null and empty texts have no bytes; texts shorter than ``length`` keep all; a null id comes after all others, so it never
-    removes from a document with an id; rows with equal ids do not remove from each other; other columns are not read; an
+    removes from a document with an id (ids of 2^63 - 2^40 and more count as null ones); rows with equal ids do not remove from each other; other columns are not read; an
     empty table gives an empty result.
     """
     return _results(docs, length, id_col, text_col, hot_rows)
@@ -373,8 +388,9 @@ def _results(docs: DataFrame, length: int, id_col: str, text_col: str, hot_rows:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batched((row for held in _shards(batches) for row in shared_anchors(held, hot_rows)), SHARED)
 
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))
-    slim = docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULLS) + F.xxhash64(text).bitwiseAND(F.lit(LAST - NULLS)))
+    slim = docs.select(key.alias("key"), text.alias("text"))
     shared = stored(slim.mapInArrow(ask, BLOCKS).repartition("part").sortWithinPartitions("part").mapInArrow(answer, SHARED), "anchors")
     hot = frozenset(r["hot"] for r in shared.where(F.col("hot").isNotNull()).select("hot").collect())
 
@@ -401,25 +417,26 @@ def _results(docs: DataFrame, length: int, id_col: str, text_col: str, hot_rows:
     # the same columns go into both joins, so Spark shuffles the texts once and uses that exchange twice
     other = [c for c in docs.columns if c != text_col] if rewrite else [id_col]
     rest = F.struct(*[F.col(c) for c in other], F.col(text_col).isNull().alias(own_name(docs, "_null")))
-    texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), rest.alias("rest"))
-    places = shared.where(F.col("key").isNotNull()).groupBy("key").agg(F.collect_list("at").alias("places"))
+    tag = lambda column: column.bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).cast("int")
+    texts = docs.select(key.alias("key"), tag(F.crc32(text)).alias("tag"), text.alias("text"), rest.alias("rest"))
+    # by id and text, as rows of one id may be many; as sets, since those of one text have the same places and runs
+    places = shared.where(F.col("key").isNotNull()).groupBy("key", tag(F.col("at")).alias("tag")).agg(F.collect_set("at").alias("places"))
     runs = (
-        texts.join(places, "key").mapInArrow(contexts, BLOCKS)
+        texts.join(places, ["key", "tag"]).mapInArrow(contexts, BLOCKS)
         .repartition("part").sortWithinPartitions("part").mapInArrow(expand, RUNS)
     )
-    by_doc = runs.groupBy("key").agg(F.collect_list(F.struct("tag", "a", "b")).alias("runs"))
-    both = texts.join(by_doc, "key", "left")
+    by_doc = runs.groupBy("key", "tag").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    both = texts.join(by_doc, ["key", "tag"], "left")
 
-    def spans_of(text: bytes, runs: list[dict] | None) -> list[tuple[int, int]]:
-        tag = zlib.crc32(text) & (1 << _TAG_BITS) - 1
-        return merged_runs([(r["a"], r["b"]) for r in runs or () if r["tag"] == tag])
+    def spans_of(runs: list[dict] | None) -> list[tuple[int, int]]:
+        return merged_runs([(r["a"], r["b"]) for r in runs or ()])
 
     if rewrite:
         @F.pandas_udf("string")
         def kept_text(texts_: pd.Series, runs_: pd.Series) -> pd.Series:
             out = []
             for text, own in zip(texts_, runs_):
-                spans = spans_of(text, None if own is None else list(own))
+                spans = spans_of(None if own is None else list(own))
                 out.append(_cut(text, spans).decode("utf-8", "ignore") if spans else text.decode("utf-8"))
             return pd.Series(out)
 
@@ -433,7 +450,7 @@ def _results(docs: DataFrame, length: int, id_col: str, text_col: str, hot_rows:
                 cols = [batch.column(batch.schema.get_field_index(n)) for n in ("rest", "text", "runs")]
                 for doc, text, own in zip(cols[0].field(0).to_pylist(), *cols[1:]):
                     text = text.as_py()
-                    spans = spans_of(text, own.as_py())
+                    spans = spans_of(own.as_py())
                     yield (doc, len(text), sum(b - a for a, b in spans), len(spans),
                            hashlib.sha256(_cut(text, spans)).hexdigest(), [list(s) for s in spans])
 

@@ -351,6 +351,18 @@ def test_passages_rewritten(spark):
         assert f(documents(spark, [])).count() == 0
 
 
+def test_passages_of_many_rows_without_or_with_one_id(spark):
+    rng = np.random.default_rng(11)
+    shared = ["".join(rng.choice(list("abcdefgh "), 200)) for _ in range(40)]
+    own = lambda k: f"{k} ".join(shared[int(j)] for j in rng.integers(0, 40, 10))
+    texts = [own(k) for k in range(1_000)]
+    rows = [(k, shared[k] + shared[k + 20], "en", "a") for k in range(20)]
+    rows += [(None if k % 2 else 5_000, texts[k], "en", "a") for k in range(1_000)]
+    rows += [(None, texts[1], "en", "a")] * 500 + [(5_000, texts[2], "en", "a")] * 500
+    got = suffix_dedup.repeated_passages(documents(spark, rows))
+    assert by_row(got, *FIELDS) == slow_passages([(r[0], r[1]) for r in rows])
+
+
 def test_intervals_by_themselves():
     rng = np.random.default_rng(2)
     text = rng.integers(97, 99, 3_000).astype(np.uint8)
