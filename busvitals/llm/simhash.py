@@ -262,17 +262,18 @@ SIMILAR_RADIUS = 54
 KEY_BITS = 8  # per table, for up to 2 ** 16 sets; more for more
 MISS = 0.02  # greatest chance that no table holds a pair at the radius
 SIMILAR_SHINGLE = 5
-NEAREST = 8  # partners in a shard of which all are compared; of more the nearest, and the least of all
+NEAREST = 8  # partners in a shard of which all are compared; of more the nearest, and the least of all; later for each other group
 BLOCK_ROWS = 2_000  # a larger shard is worked on in blocks
 LEADERS = 32  # about so many members of a larger shard are in all its blocks
 _AGREE = 1 - SIMILAR_RADIUS / (LANES * BITS)  # chance that a pair at the radius agrees in a bit
-_SLICE = 256  # members of a shard compared with the others at a time
+_CELLS = 1 << 19  # pairs of a shard's members whose bits are compared at a time
 
 WIDE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
     T.StructField("wide", T.BinaryType()), T.StructField("text_hash", T.LongType())])
 TABLES = T.StructType([
     T.StructField("shard", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("wide", T.BinaryType())])
+GROUPED = T.StructType([*TABLES, T.StructField("root", T.LongType())])
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("far", T.LongType())])
 SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
 
@@ -293,19 +294,29 @@ def _node(hashes: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
 
 
-def near_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(greater node, lesser node, differing bits) of a shard's members that may be similar: within the radius, and of sizes
-    that allow it. A member with more than ``NEAREST`` partners has the nearest ones and the least one, so that n copies have
-    no n squared pairs."""
-    for k in range(0, len(node), _SLICE):
-        far = np.bitwise_count(wide[k:k + _SLICE, None, :] ^ wide[None]).sum(2, dtype=np.int64)
-        own = size[k:k + _SLICE, None]
-        may = (far <= SIMILAR_RADIUS) & (np.minimum(own, size) >= SIMILAR * np.maximum(own, size) - 1e-9) & (node[k:k + _SLICE, None] != node)
+def near_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray, group: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+    """(greater node, lesser node, differing bits) of a shard's members that may be similar: within the radius, of sizes that
+    allow it, and of different groups if ``group`` tells them. A member with more than ``NEAREST`` partners (in another group)
+    has the nearest ones and the least one, so that n copies have no n squared pairs; (member, member, -1) says so."""
+    apart = np.zeros(len(node), np.int64) if group is None else group
+    step = max(1, min(256, _CELLS // max(1, len(node))))
+    for k in range(0, len(node), step):
+        far = np.bitwise_count(wide[k:k + step, None, :] ^ wide[None]).sum(2, dtype=np.int64)
+        own = size[k:k + step, None]
+        may = (far <= SIMILAR_RADIUS) & (np.minimum(own, size) >= SIMILAR * np.maximum(own, size) - 1e-9) & (node[k:k + step, None] != node)
+        if group is not None:
+            may &= group[k:k + step, None] != group
         for i in np.flatnonzero(may.any(1)):
             at = np.flatnonzero(may[i])
-            if len(at) > NEAREST:
-                at = np.append(at[np.lexsort((node[at], far[i, at]))[:NEAREST]], at[node[at].argmin()])
             me = int(node[k + i])
+            if len(at) > NEAREST:
+                at = at[np.lexsort((node[at], far[i, at], apart[at]))]
+                begins = np.flatnonzero(np.diff(apart[at], prepend=apart[at[0]] - 1))
+                place = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))
+                if (place >= NEAREST).any():
+                    yield me, me, -1
+                    least = at[np.lexsort((node[at], apart[at]))][begins]
+                    at = np.union1d(at[place < NEAREST], least)
             yield from ((max(me, o), min(me, o), f) for o, f in zip(node[at].tolist(), far[i, at].tolist()))
 
 
@@ -313,7 +324,8 @@ def in_blocks(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Members of shards with those of over ``block_rows`` dealt by hash to blocks, ``shard`` then being the block's number.
 
     Near copies agree in nearly all bits, so further bits would not part them. Members in different blocks are connected by
-    way of the shard's ``LEADERS`` least nodes, which are members of each block, and blocks differ from table to table.
+    way of the shard's ``LEADERS`` least nodes, which are members of each block, and blocks differ from table to table;
+    ``dealt`` tells them, so that they are looked at again.
     """
     large = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block_rows)
     large = stored(large, "large-shards")
@@ -324,7 +336,19 @@ def in_blocks(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         .otherwise(F.array(F.pmod(F.xxhash64("shard", "node"), blocks)))
     )
     dealt = placed.join(large, "shard", "left").withColumn("_block", F.explode(own))
-    return dealt.select(F.when(F.col("m").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", "_block")).alias("shard"), "node", "n", "wide")
+    return dealt.select(F.when(F.col("m").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", "_block")).alias("shard"), "node", "n", "wide", F.col("m").isNotNull().alias("dealt"))
+
+
+def across_groups(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Members of the shards that hold several groups (``root``). The members of a shard's largest group are dealt to blocks of
+    about ``block_rows``; those of the others are in all its blocks, so every pair of different groups meets."""
+    sizes = placed.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("shard").agg(F.max(F.struct("m", "root")).alias("g"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    blocks = F.ceil(F.col("g.m") / F.lit(block_rows)).cast("bigint")
+    own = F.when(F.col("root") == F.col("g.root"), F.array(F.pmod(F.xxhash64("shard", "node"), blocks))).otherwise(
+        F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    dealt = placed.join(largest, "shard").withColumn("block", F.explode(own))
+    return dealt.select(F.xxhash64("shard", "block").alias("shard"), "node", "n", "wide", "root")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -342,7 +366,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Fingerprints only find candidates: for similarity 0.8 the radius is far too wide for shards by agreeing blocks, so shards
     are tables of randomly chosen bits; a pair misses all of them with a chance below ``MISS``. A link is a pair of which the
     sets themselves are at least ``SIMILAR``. First each set is compared with its nearest and its least candidate; the other
-    candidates are compared where this has not connected them yet.
+    candidates are compared where this has not connected them yet. Members that had more candidates than were kept, or were
+    dealt to blocks, are then sought again among the members of *other* groups only, until no round finds a new link.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,27 +393,39 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             set_bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1), axis=1)
             for k, own_bits in enumerate(chosen):
                 shard = (set_bits[:, own_bits] * weights).sum(1) * tables + k
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *batch.columns], names=TABLES.names)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *batch.columns], names=["shard", *batch.schema.names])
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, LANES)
+            now = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 4)), wide]
+            held = now if held is None else [np.concatenate(c) for c in zip(held, now)]
+            ends = np.flatnonzero(np.diff(held[0])) + 1
+            for a, b in zip([0, *ends], ends):
+                yield [c[a:b] for c in held]
+            held = [c[ends[-1] if len(ends) else 0:] for c in held]
+        if held is not None:
+            yield held
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shards() -> Iterator[list[np.ndarray]]:
-            held: list[np.ndarray] | None = None
-            for batch in batches:
-                wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, LANES)
-                now = [*(batch.column(c).to_numpy() for c in range(3)), wide]
-                held = now if held is None else [np.concatenate(c) for c in zip(held, now)]
-                ends = np.flatnonzero(np.diff(held[0])) + 1
-                for a, b in zip([0, *ends], ends):
-                    yield [c[a:b] for c in held]
-                held = [c[ends[-1] if len(ends) else 0:] for c in held]
-            if held is not None:
-                yield held
-
-        yield from batched((pair for _, node, size, wide in shards() for pair in near_pairs(node, size, wide)), PAIRS)
-
-    placed = filled.select("node", "n", "wide").mapInArrow(keys, TABLES)
-    found = in_blocks(placed, block_rows).repartition("shard").sortWithinPartitions("shard").mapInArrow(candidates, PAIRS)
-    pairs = stored(found.groupBy("a", "b").agg(F.min("far").alias("far")), "pairs")
+        def rows() -> Iterator[tuple[int, int, int]]:
+            for _, node, size, dealt, wide in shards(batches):
+                yield from ((x, x, -1) for x in node[dealt].tolist())
+                yield from near_pairs(node, size, wide)
+
+        yield from batched(rows(), PAIRS)
+
+    def candidates_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched((pair for _, node, size, root, wide in shards(batches) for pair in near_pairs(node, size, wide, root)), PAIRS)
+
+    def sought(placed: DataFrame, by) -> tuple[DataFrame, DataFrame]:
+        """Pairs to compare, and the members that have more."""
+        found = placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(by, PAIRS)
+        found = stored(found.groupBy("a", "b").agg(F.min("far").alias("far")), "pairs")
+        return found.where("a <> b"), found.where("a = b").select(F.col("a").alias("node"))
+
+    pairs, crowded = sought(in_blocks(filled.select("node", "n", "wide").mapInArrow(keys, TABLES), block_rows), candidates)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = (shingle_set(t.as_py()) for b in batches for t in b.column(0))
@@ -398,27 +435,41 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "far").unionByName(
         pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "far"))
     firsts = stored(ends.groupBy("node").agg(F.min("other").alias("least"), F.min(F.struct("far", "other")).alias("near")), "first-pairs")
-    texts = own.join(firsts.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("_h")).select("_h").distinct()
+    texts = own.join(firsts.select("node").unionByName(crowded), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("_h")).select("_h").distinct()
     used = docs.select(text.alias("t")).withColumn("_h", F.xxhash64("t")).join(texts, "_h", "left_semi")
     sets = stored(used.select("t").mapInArrow(whole, SETS).dropDuplicates(["node"]), "sets")
     pair = lambda other: firsts.select(F.greatest("node", other).alias("a"), F.least("node", other).alias("b"))
     joined = components(_similar(pair(F.col("least")).unionByName(pair(F.col("near.other"))).distinct(), sets))
 
-    def rooted(df: DataFrame, column: str) -> DataFrame:
-        root = joined.select(F.col("a").alias(column), F.col("b").alias(f"root_{column}"))
-        return df.join(root, column, "left").withColumn(f"root_{column}", F.coalesce(f"root_{column}", column))
-
-    rest = rooted(rooted(pairs, "a"), "b").where("root_a <> root_b").select("a", "b")
-    more = components(rooted(rooted(_similar(rest, sets), "a"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    roots = rooted(distinct.select(F.col("node").alias("a")), "a").join(more.select(F.col("a").alias("root_a"), "b"), "root_a", "left")
-    return own, roots.select(F.col("a").alias("node"), F.coalesce("b", "root_a").alias("root"))
+    def joined_by(roots: DataFrame, pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """``roots`` after the similar ones of the pairs across groups are joined, and whether there were any."""
+        for end in ("a", "b"):
+            pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
+        similar = _similar(pairs.where("root_a <> root_b").select("a", "b"), sets)
+        for end in ("a", "b"):
+            similar = similar.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
+        new = stored(similar.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "new-links")
+        if new.isEmpty():
+            return roots, False
+        more = components(new).select(F.col("a").alias("root"), F.col("b").alias("less"))
+        return stored(roots.join(more, "root", "left").select("node", F.coalesce("less", "root").alias("root")), "roots"), True
+
+    root = joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = stored(distinct.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    roots, _ = joined_by(roots, pairs)
+    new = True
+    while new and not crowded.isEmpty():
+        again = filled.select("node", "n", "wide").join(crowded, "node", "left_semi").join(roots, "node")
+        placed = across_groups(again.select("node", "n", "wide", "root").mapInArrow(keys, GROUPED), block_rows)
+        pairs, crowded = sought(placed, candidates_across)
+        roots, new = joined_by(roots, pairs)
+    return own, roots
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The input rows, all columns, one of each group of near-duplicates: that of the smallest id (null last), of the smallest
     text hash where ids are equal. Texts without words are one group. A table without copies stays as it is."""
     own, roots = similar_groups(docs, id_col, text_col, block_rows)
-    roots = stored(roots, "roots")
     last = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     kept_id, kept_hash, own_id, own_hash, place = (own_name(docs, n) for n in ("kept_id", "kept_hash", "own_id", "own_hash", "place"))
     best = own.join(roots, "node").groupBy("root").agg(F.min(last).alias("m")).select(

@@ -304,6 +304,32 @@ def test_large_shards_are_worked_on_in_blocks(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, rows), block_rows=50).collect()) == [0, 900]
 
 
+def test_groups_joined_by_one_pair_are_one(spark):
+    """Two groups of 13 whose members have all their nearest partners in their own group, and one link between them."""
+    rng = np.random.default_rng(21)
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    rows, between = [], []
+    for k in range(12):
+        base = [f"v{x}" for x in rng.integers(0, 1_000_000, 304)]
+
+        def changed(words, places, mark):
+            out = list(words)
+            for at in places:
+                out[at] = f"{mark}{at}"
+            return out
+
+        bridge = changed(base, range(10, 60, 10), "b")
+        one = [base] + [changed(base, (70 + 18 * j, 79 + 18 * j), "x") for j in range(12)]
+        two = [bridge] + [changed(bridge, (70 + 18 * j, 79 + 18 * j), "y") for j in range(12)]
+        rows += [(100 * k + j, " ".join(w), "en", "a") for j, w in enumerate(one + two)]
+        sets = [{tuple(w[j:j + 5]) for j in range(300)} for w in one + two]
+        between.append([(a, b) for a in range(13) for b in range(13, 26) if jaccard(sets[a], sets[b]) >= 0.8])
+    assert all(b == [(0, 13)] for b in between)
+    for block_rows in (2_000, 10):
+        left = sorted(r.doc_id for r in simhash.one_of_each(documents(spark, rows), block_rows=block_rows).collect())
+        assert left == [100 * k for k in range(12)]
+
+
 # repeated passages
 
 
