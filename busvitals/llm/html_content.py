@@ -4,6 +4,9 @@ A page is read as a sequence of words and tags. Words score positive, tags negat
 pages. One linear scan finds the contiguous stretch with the greatest sum, which is where the article is. Inside the
 stretch, elements that are never article text (menus, forms, adverts, comments ...) are left out. A tag or role says so for
 certain; a name in a class or id only lowers an element's score: it is left out unless it still outweighs the rest of the page.
+Some tags are less than certain: forms are also put around whole pages, and a menu or header whose end is missing takes in what
+follows. They, too, give way to a ``main`` in them, and to running text that outweighs the rest. What is hidden gives way only to a
+``main`` in it (pages are hidden from readers while a dialog is open).
 
 Labelled pages are those whose author marked the main text with ``article`` or ``main``: what lies inside is content,
 everything else is not. A word's weight is the log-odds of content for the block element it stands in (apart for
@@ -45,9 +48,12 @@ NAMES_OUTSIDE = frozenset(
     "pager form search skip".split())
 ROLES_OUTSIDE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MARKED = ("article", "main")
+LISTED = frozenset("w:li w:ul w:ol w:menu w:dt w:dd".split())
 WHOLE = frozenset("html body main article".split())  # a name never puts these, or what is around them, outside
-#: What is left of the score of an element whose class or id names a menu, advert and the like.
-NAMED_SHARE, NAMED_COST = 0.5, 5.0
+DOUBTED = frozenset("form fieldset".split())  # always, and these where one of the page has no end
+MAY_LACK_END = frozenset("nav header".split())
+#: What is left of the score of an element whose class or id names a menu, advert and the like, and of a doubted one.
+NAMED_SHARE, DOUBTED_SHARE, NAMED_COST = 0.5, 0.25, 5.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)|([^<]+|<)",
@@ -71,32 +77,34 @@ COUNTS = T.StructType([
 ])
 
 
-CERTAIN, NAMED = 2, 1
+CERTAIN, HIDDEN, DOUBT, NAMED = 4, 3, 2, 1
 
 
 def _says_outside(attributes: str) -> int:
-    """Do role or a hidden state (``CERTAIN``), or class or id (``NAMED``), say that the element is not article text?"""
+    """Do role (``CERTAIN``), a hidden state (``HIDDEN``), or class or id (``NAMED``) say that the element is not article text?"""
     said = 0
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return CERTAIN
-        if key == "role":
+            said = HIDDEN
+        elif key == "role":
             if value.lower() in ROLES_OUTSIDE:
                 return CERTAIN
         elif key in ("class", "id"):
             names = _NAME.findall(_CAMEL.sub("-", value))
             if any(n.lower() in NAMES_OUTSIDE for n in names):
-                said = NAMED
+                said = max(said, NAMED)
     return said
 
 
 class _Page:
-    """A page's tokens (kind, text, words, certainly outside, marked, innermost named element or -1), and its named elements:
-    which one is around each, and whether it counts as any other element."""
+    """A page's tokens (kind, text, words, certainly outside, marked, innermost named element or -1), and its named elements
+    (or doubted or hidden ones): why, which one is around each, and whether it counts as any other element."""
 
     def __init__(self, page: str) -> None:
+        self.why: list[int] = []
         self.around: list[int] = []
+        self.hidden: list[bool] = []  # the element or one around it is hidden
         self.free: list[bool] = []
         self.plain_article = False  # has an article that no name is on or around
         self.named_articles: list[int] = []
@@ -110,8 +118,10 @@ class _Page:
             self.free[number] = True
             number = self.around[number]
 
-    def _name(self, around: int) -> int:
+    def _name(self, around: int, why: int = NAMED) -> int:
+        self.why.append(why)
         self.around.append(around)
+        self.hidden.append(why == HIDDEN or around >= 0 and self.hidden[around])
         self.free.append(False)
         return len(self.free) - 1
 
@@ -129,6 +139,22 @@ class _Page:
 
     def _read(self, page: str) -> Iterator[tuple[str, str, int, bool, bool, int]]:
         stack: list[tuple[str, bool, bool, int]] = []  # name, certainly outside, marked, named element
+        open_: Counter = Counter()  # names in the stack
+        endless: dict[str, bool] = {}  # has the page more starts than ends of it?
+
+        def close(name: str) -> None:
+            while open_[name]:
+                last = stack.pop()[0]
+                open_[last] -= 1
+                if last == name:
+                    return
+
+        def lacks_end(name: str) -> bool:
+            if name not in endless:
+                ends = [m[1] for m in re.finditer(rf"<(/?){name}(?=[\s/>])", page, re.I)]
+                endless[name] = 2 * ends.count("/") < len(ends)
+            return endless[name]
+
         block, link, paragraph = "", 0, -1
         at, end = 0, len(page)
         while at < end:
@@ -138,9 +164,11 @@ class _Page:
             at = m.end()
             outside, marked, number = stack[-1][1:] if stack else (False, False, -1)
             if m[7] is not None:
-                text = m[7]
+                parts = [m[7]]
                 while at < end and (n := _TOKEN.match(page, at)) and n[7] is not None:  # a lone "<" belongs to the text
-                    text, at = text + n[7], n.end()
+                    parts.append(n[7])
+                    at = n.end()
+                text = "".join(parts)
                 yield f"w:{block}+a" if link else f"w:{block}", text, len(text.split()), outside, marked, paragraph if paragraph >= 0 else number
                 continue
             closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -148,8 +176,8 @@ class _Page:
                 continue
             name = name.lower()
             if name in RAW and not closing:
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else end
+                closed = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = closed.end() if closed else end
                 yield "t:" + name, "", 0, outside, marked, number
                 continue
             inner = number
@@ -157,27 +185,35 @@ class _Page:
                 link = 0 if closing else 1
             elif name in NESTING:
                 if closing:
-                    held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-                    if held is not None:
-                        del stack[held:]
+                    close(name)
                 else:
-                    said = _says_outside(rest) if rest else 0
-                    if said == NAMED and name not in ("html", "body", "main"):
-                        inner = self._name(number)
-                    certain = outside or name in OUTSIDE or said == CERTAIN
+                    if name in ("main", "article", "section"):  # a menu or header without end ends here
+                        for other in MAY_LACK_END:
+                            while open_[other] and (name == "main" or lacks_end(other)):
+                                close(other)
+                        outside, marked, number = stack[-1][1:] if stack else (False, False, -1)
+                        inner = number
+                    said = _says_outside(rest) if rest and name not in ("html", "body", "main") else 0
+                    if name in OUTSIDE:
+                        doubted = name in DOUBTED or name in MAY_LACK_END and lacks_end(name)
+                        said = max(said, DOUBT if doubted else CERTAIN)
+                    if 0 < said < CERTAIN:
+                        inner = self._name(number, said)
+                    certain = outside or said == CERTAIN
                     if name == "article" and not certain:
-                        if inner >= 0:
-                            self.named_articles.append(inner)
-                        else:
+                        if inner < 0:
                             self.plain_article = True
+                        elif not self.hidden[inner]:
+                            self.named_articles.append(inner)
                     elif name in WHOLE and not certain:
                         self.release(number)
                     stack.append((name, certain, marked or name in MARKED, inner))
+                    open_[name] += 1
                 block, link, paragraph = stack[-1][0] if stack else "", 0, -1
             elif name in BLOCKS and name != "br":
                 block, paragraph = (stack[-1][0] if stack else "") if closing else name, -1
                 if not closing and name == "p" and rest and (said := _says_outside(rest)):
-                    if said == CERTAIN:
+                    if said >= HIDDEN:
                         block = "p.outside"
                     else:
                         paragraph = self._name(number)
@@ -239,12 +275,16 @@ def main_text(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
     """The main text of a page and the score of its stretch."""
     read = _Page(page or "")
     pieces, best = _best_stretch(read, weights)
-    if not all(read.free):  # does a named element outweigh the rest even with its score lowered?
+    if not all(read.free):  # does a named or doubted element outweigh the rest even with its score lowered?
         own = [0.0] * len(read.free)
         for kind, _, words, certain, _, number in read.tokens:
-            if number >= 0 and not certain and kind != "w:p.outside":
-                own[number] += _step(kind, words, weights)
-        heavy = [k for k, score in enumerate(own) if not read.free[k] and NAMED_SHARE * score - NAMED_COST > best]
+            if number < 0 or certain or kind == "w:p.outside":
+                continue
+            if read.why[number] != DOUBT:
+                own[number] += NAMED_SHARE * _step(kind, words, weights)
+            elif kind not in LISTED and not kind.endswith("+a"):  # running text, not entries of a menu
+                own[number] += DOUBTED_SHARE * _step(kind, words, weights)
+        heavy = [k for k, score in enumerate(own) if not read.free[k] and not read.hidden[k] and score - NAMED_COST > best]
         for k in heavy:
             read.release(k)
         if heavy:

@@ -7,6 +7,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -123,6 +124,37 @@ def test_names_do_not_put_the_article_outside(spark):
         assert [html_content.main_text(p, w)[0] for p in NAMED_PAGES] == list(NAMED_PAGES.values())
 
 
+MENU = "<a href=x>menu entry</a> " * 30
+BROKEN_PAGES = {
+    f"<body><form id=aspnetForm><div><h1>Title</h1><p>{PROSE}</p><select><option>one</select></div></form></body>": f"Title {PROSE}",
+    f"<body><form><fieldset><p>{PROSE}</p></fieldset></form></body>": PROSE,
+    f"<body><form><nav>{MENU}</nav><main><p>{PROSE}</p></main></form></body>": PROSE,
+    f"<body><header><p>Site name</p>{MENU}<main><p>{PROSE}</p></main></body>": PROSE,
+    f"<body><header>{MENU}<article><header><h1>x</h1></header><p>{PROSE}</p></article></body>": PROSE,
+    f"<body><nav><ul><li>{MENU}</ul><section><p>{PROSE}</p></section></body>": PROSE,
+    f"<body><nav>{MENU}<article><p>{PROSE}</p></article><footer>foot</footer></body>": PROSE,
+    f"<body><div aria-hidden=true><main><p>{PROSE}</p></main></div><div role=dialog>{'accept this ' * 40}</div></body>": PROSE,
+    f"<body><main aria-hidden=true><p>{PROSE}</p></main></body>": PROSE,
+    f"<body><div hidden><article><p>{PROSE}</p></article></div><p>seen words here</p></body>": "seen words here",
+    f"<body><nav>{MENU * 20}</nav><p>{PROSE}</p><form><p>sign up for our letter today</p></form></body>": PROSE,
+    f"<body><header><section>{'our slogan ' * 9}</section></header><p>{PROSE}</p></body>": PROSE,
+}
+
+
+def test_forms_missing_ends_and_hidden_pages(spark):
+    weights = html_content.fit_weights(spark.read.parquet(f"{FOLDER}/pages.parquet"))
+    for w in (weights, {}):
+        for page, want in BROKEN_PAGES.items():
+            assert html_content.main_text(page, w)[0] == want
+
+
+def test_bad_markup_takes_linear_time():
+    began = time.process_time()
+    for page in ("<div>" * 100_000 + "</td>" * 100_000, "<header><main>" * 50_000, "<nav><section>" * 50_000, "<" * 100_000):
+        html_content.main_text(page, {})
+    assert time.process_time() - began < 8
+
+
 def test_best_stretch_is_a_linear_scan():
     """The score equals the best of all stretches."""
     rng = random.Random(3)
