@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
+from busvitals.llm import quality_rules as quality_rules_module
 from busvitals.llm import simhash, suffix_dedup
 from busvitals.llm.mixing import mix, mixed_documents
 from busvitals.llm.packing import pack, sequences
@@ -330,6 +333,78 @@ def test_groups_joined_by_one_pair_are_one(spark):
         assert left == [100 * k for k in range(12)]
 
 
+def test_groups_of_a_whole_table_match_brute_force(spark):
+    """All pairs of a table whose shingle sets share 0.8 of their union: groups are their chains, and no two others are joined."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower)
+        sets[r.doc_id] = frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    holders = defaultdict(list)
+    for i, own in sets.items():
+        for x in own:
+            holders[x].append(i)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = set()
+    for i, own in sets.items():
+        shared = Counter(j for x in own for j in holders[x] if j < i)
+        pairs |= {(i, j) for j, n in shared.items() if n >= 0.8 * (len(own) + len(sets[j]) - n)}
+    empty = sorted(i for i, own in sets.items() if not own)
+    for i, j in [*pairs, *((i, empty[0]) for i in empty[1:])]:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    own, roots = simhash.similar_groups(docs)
+    got = {r.doc_id: r.root for r in own.join(roots, "node").select("doc_id", "root").collect()}
+    assert len(pairs) > 50 and sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs)
+    least = {}
+    for i in sorted(got):
+        assert find(least.setdefault(got[i], i)) == find(i)
+
+
+def test_quality_verdict_matches_brute_force(spark):
+    """The whole verdict, by plain loops over the stated rules, on a table."""
+    squeeze = lambda raw: len(zstandard.ZstdCompressor(level=3).compress(raw))
+
+    def limit(bands, size, which):
+        at = [math.log(b[0]) for b in bands]
+        x = math.log(size)
+        if x >= at[-1]:
+            return bands[-1][which]
+        k = next(k for k in range(len(at) - 1) if at[k] <= x <= at[k + 1])
+        return bands[k][which] + (bands[k + 1][which] - bands[k][which]) * (x - at[k]) / (at[k + 1] - at[k])
+
+    def verdict(text):
+        raw, words = (text or "").encode(), re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        times = Counter(tuple(words[k:k + 3]) for k in range(len(words) - 2))
+        inside = {k + j for k in range(len(words) - 2) if times[tuple(words[k:k + 3])] > 1 for j in range(3)}
+        if len(words) < 50 or 100 * len(inside) > 50 * len(words):
+            return False
+        whole, pieces = quality_rules_module.WHOLE_BANDS, quality_rules_module.CHUNK_BANDS
+        if len(raw) >= whole[0][0]:
+            ratio = len(raw) / squeeze(raw)
+            if not limit(whole, len(raw), 1) <= ratio <= limit(whole, len(raw), 2):
+                return False
+        fit = [b for b in pieces if 2 * b[0] <= len(raw)] or [pieces[0]]
+        size, low, high = fit[-1]
+        starts = list(range(0, len(raw) - size + 1, size))
+        if starts and len(raw) % size:
+            starts.append(len(raw) - size)
+        bad = sum(not low <= size / squeeze(raw[k:k + size]) <= high for k in starts)
+        return bad <= 0.05 * len(starts)
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    assert got == {i: verdict(t) for i, t in texts.items()} and len(set(got.values())) == 2
+
+
 # repeated passages
 
 
@@ -402,8 +477,10 @@ def test_intervals_by_themselves():
         assert got == sorted(v for v in same.values() if len(v) > 1)
 
 
-def test_ids_agree_with_the_library():
+def test_ids_agree_with_the_library(spark):
     encoder = ids()
     for text in ["", " a", "a  b", "it's 's \xa0x y\x1c z \x85q", "日本語 é", "a<|endoftext|> b", *[t for _, t, _, _ in ROWS if t]]:
         assert encoder.encode(text) == encoder.exactly(text)
+    for text in (r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()):
+        assert encoder.encode(text or "") == encoder.exactly(text or "")
     assert zlib.crc32(packed([1, 2])) == zlib.crc32(b"\1\0\0\0\2\0\0\0") and SCHEMA
