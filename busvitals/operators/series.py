@@ -33,6 +33,14 @@ def _with_ends(df: DataFrame, keys: Sequence[str], idx: str) -> DataFrame:
     return joined.withColumns({"_e": F.col("_hi") - F.col(idx), "_n": F.col("_hi") - F.col("_lo") + 1})
 
 
+def step_trend(df: DataFrame, keys: Sequence[str], idx: str, value: str, block: int = 65_536) -> DataFrame:
+    """Label (``trend``) of the step from the row before to each row; Stable where no row has the position before."""
+    before = F.lag(F.struct(idx, value)).over(halo_window(keys, idx))
+    framed = halo_blocks(df, idx, behind=1, block=block).withColumn("_before", before)
+    step = F.when(F.col("_before")[idx] == F.col(idx) - 1, F.col(value) - F.col("_before")[value])
+    return own_rows(framed.withColumn("trend", trend_label(step))).drop("_before")
+
+
 def trend_last(df: DataFrame, keys: Sequence[str], idx: str, value: str, lookback: int = 10) -> DataFrame:
     """Mean of the last ``lookback`` rows minus the mean of those before; Stable with 0 below two lookbacks."""
     tail = _with_ends(df, keys, idx).where(F.col("_e") < 2 * lookback)

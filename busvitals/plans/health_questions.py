@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from busvitals.functions import fixed_values as fv
 from busvitals.functions.dimensions import feature_categories
-from busvitals.functions.scalars import deviation_direction, healthiness, risk_category, trend_label
+from busvitals.functions.scalars import deviation_direction, healthiness, risk_category
 from busvitals.operators import baseline as bl, detect as dt, evaluate as ev, fleet, health as he, kernel, series as se
 from busvitals.operators.ordering import attach
 from busvitals.operators.sampling import subsample_normal
@@ -286,9 +286,7 @@ def trend_at_window(ws: Workspace) -> DataFrame:
 def trend_labels(ws: Workspace) -> DataFrame:
     """Label of the step from each window to the next one."""
     h = ws.service_health().select("vehicle_id", "window_index", "cyber_health")
-    before = h.select("vehicle_id", (F.col("window_index") + 1).alias("window_index"), F.col("cyber_health").alias("_before"))
-    joined = h.join(before, ["vehicle_id", "window_index"], "left")
-    return joined.select("vehicle_id", "window_index", trend_label(F.col("cyber_health") - F.col("_before")).alias("trend"))
+    return se.step_trend(h, ["vehicle_id"], "window_index", "cyber_health").select("vehicle_id", "window_index", "trend")
 
 
 @question("ema_level", build("regions", out("SELECT vehicle_id, capture, n, level, mean_value FROM levels_", "vehicle_id capture n", "level mean_value")))

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from busvitals.operators import ordering as o
-from busvitals.operators.series import ema_series, recovery_islands, rolling_mean_centered, trend_at_window
+from busvitals.operators.series import ema_series, recovery_islands, rolling_mean_centered, step_trend, trend_at_window
 
 SMALL = {"block_rows": 50, "max_blocks": 1000}
 
@@ -78,6 +78,7 @@ def series(spark):
     lambda d, b: trend_at_window(d, ["key"], "i", "v", block=b).select("key", "i", "trend", F.round("trend_diff", 9)),
     lambda d, b: ema_series(d, ["key"], "i", "v", block=b).select("key", "i", F.round("ema", 9)),
     lambda d, b: rolling_mean_centered(d, ["key"], "i", "v", 100, block=b).select("key", "i", F.round("rolling_mean", 9)),
+    lambda d, b: step_trend(d, ["key"], "i", "v", block=b).select("key", "i", "trend"),
     lambda d, b: recovery_islands(d, ["key"], "i", "v", above=30.0, block=b),
 ])
 def test_blocks_do_not_change_series_results(series, op):
@@ -86,6 +87,15 @@ def test_blocks_do_not_change_series_results(series, op):
     assert whole.exceptAll(cut).count() == 0
 
 
+def test_steps_are_between_neighbours_only(spark):
+    rows = [("a", 0, 50.0), ("a", 1, 90.0), ("a", 2, 20.0), ("a", 4, 80.0), ("a", 5, 80.0), ("b", 3, None), ("b", 4, 7.0)]
+    df = spark.createDataFrame(rows, "key string, i bigint, v double")
+    got = {(r.key, r.i): r.trend for r in step_trend(df, ["key"], "i", "v", block=2).collect()}
+    assert got == {("a", 0): "Stable", ("a", 1): "Improving", ("a", 2): "Degrading", ("a", 4): "Stable", ("a", 5): "Stable",
+                   ("b", 3): "Stable", ("b", 4): "Stable"}
+    assert step_trend(df.limit(0), ["key"], "i", "v").count() == 0
+
+
 def test_ema_follows_its_recursion(series):
     rows = sorted(ema_series(series.where("key = 'a'"), ["key"], "i", "v", block=64).collect(), key=lambda r: r["i"])
     level = rows[0]["v"]
