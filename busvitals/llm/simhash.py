@@ -15,7 +15,7 @@ contracted to components by alternating large and small stars; only distinct fin
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -262,7 +262,9 @@ SIMILAR_RADIUS = 54
 KEY_BITS = 8  # per table, for up to 2 ** 16 sets; more for more
 MISS = 0.02  # greatest chance that no table holds a pair at the radius
 SIMILAR_SHINGLE = 5
-NEAREST = 8  # partners in a shard of which all are compared; of more the nearest, and the least of all; later for each other group
+NEAREST = 1  # pairs of two groups that are compared first; four times as many in each further round
+SPREAD = 128  # parts of a set that are counted
+_FULL = (1 << 16) - 1  # a part of so many may have more
 BLOCK_ROWS = 2_000  # a larger shard is worked on in blocks
 LEADERS = 32  # about so many members of a larger shard are in all its blocks
 _AGREE = 1 - SIMILAR_RADIUS / (LANES * BITS)  # chance that a pair at the radius agrees in a bit
@@ -273,9 +275,10 @@ WIDE = T.StructType([
     T.StructField("wide", T.BinaryType()), T.StructField("text_hash", T.LongType())])
 TABLES = T.StructType([
     T.StructField("shard", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("wide", T.BinaryType())])
-GROUPED = T.StructType([*TABLES, T.StructField("root", T.LongType())])
+GROUPED = T.StructType([*TABLES, T.StructField("root", T.LongType()), T.StructField("spread", T.BinaryType())])
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("far", T.LongType())])
-SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+ACROSS = T.StructType([*PAIRS, T.StructField("root_a", T.LongType()), T.StructField("root_b", T.LongType())])
+SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("spread", T.BinaryType())])
 
 
 def _table_bits(sets: int) -> tuple[int, int]:
@@ -294,30 +297,97 @@ def _node(hashes: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
 
 
-def near_pairs(node: np.ndarray, size: np.ndarray, wide: np.ndarray, group: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
-    """(greater node, lesser node, differing bits) of a shard's members that may be similar: within the radius, of sizes that
-    allow it, and of different groups if ``group`` tells them. A member with more than ``NEAREST`` partners (in another group)
-    has the nearest ones and the least one, so that n copies have no n squared pairs; (member, member, -1) says so."""
-    apart = np.zeros(len(node), np.int64) if group is None else group
-    step = max(1, min(256, _CELLS // max(1, len(node))))
+class WideTree:
+    """A BK-tree of fingerprints of several 64-bit lanes: each child under its Hamming distance to the parent. All members go
+    down together, a level at a time, and so do all queries."""
+
+    def __init__(self, wide: np.ndarray) -> None:
+        self.lanes = np.ascontiguousarray(wide.T)
+        self.span = BITS * len(self.lanes) + 1  # distances of one parent's children
+        at, left = np.zeros(len(wide), np.int64), np.arange(1, len(wide))
+        edges, child = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while len(left):  # the first member at a new distance is the child, the others go on below it
+            edge, first, below = np.unique(at[left] * self.span + self._far(left, at[left]), return_index=True, return_inverse=True)
+            edges.append(edge)
+            child.append(left[first])
+            at[left] = left[first][below]
+            left = np.delete(left, first)
+        order = np.argsort(np.concatenate(edges))
+        self.edges, self.child = np.concatenate(edges)[order], np.concatenate(child)[order]
+
+    def _far(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(lane[one] ^ lane[other]).astype(np.int64) for lane in self.lanes)
+
+    def within(self, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(member, another one, differing bits) of all within the radius of the members asked for."""
+        me, at, hits = asked, np.zeros(len(asked), np.int64), []
+        while len(me):
+            far = self._far(me, at)
+            hit = (far <= radius) & (me != at)
+            hits.append((me[hit], at[hit], far[hit]))
+            start = np.searchsorted(self.edges, at * self.span + np.maximum(far - radius, 0))
+            some = np.searchsorted(self.edges, at * self.span + np.minimum(far + radius, self.span - 1), "right") - start
+            me = np.repeat(me, some)
+            at = self.child[np.repeat(start - np.cumsum(some) + some, some) + np.arange(len(me))]
+        return tuple(np.concatenate(x) for x in zip(*hits))
+
+
+def spread(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of ``SPREAD`` parts; what two sets share is at most the sum of the lesser counts."""
+    part = (hashes >> np.uint64(BITS - 7)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=SPREAD), _FULL).astype(np.uint16).tobytes()
+
+
+def may_share(size: np.ndarray, spreads: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the counts of each pair's parts leave it possible that the sets share ``SIMILAR`` of their union."""
+    may = np.empty(len(a), bool)
+    for k in range(0, len(a), _CELLS // SPREAD):
+        i, j = a[k:k + _CELLS // SPREAD], b[k:k + _CELLS // SPREAD]
+        lesser = np.minimum(spreads[i], spreads[j])
+        most = np.where((lesser == _FULL).any(1), np.minimum(size[i], size[j]), lesser.sum(1, dtype=np.int64))
+        may[k:k + _CELLS // SPREAD] = most >= SIMILAR * (size[i] + size[j] - most) - 1e-9
+    return may
+
+
+def near_pairs(
+    node: np.ndarray, size: np.ndarray, wide: np.ndarray, nearest: int, group: np.ndarray | None = None, spreads: np.ndarray | None = None,
+) -> Iterator[tuple[int, ...]]:
+    """(greater node, lesser node, differing bits) of a shard's members that may be similar, found in a BK-tree: within the
+    radius and of sizes that allow it. A member with more partners has the ``nearest`` ones and the least one, so that n copies
+    have no n squared pairs; (member, member, -1) says so.
+
+    With groups, only pairs of different ones whose ``spreads`` allow it, of each two groups the ``nearest`` ones, and both
+    groups behind them, the pair being in the order of its groups."""
+    if len(node) < 2:
+        return
+    tree = WideTree(wide)
+    step = max(1, _CELLS // len(node))
     for k in range(0, len(node), step):
-        far = np.bitwise_count(wide[k:k + step, None, :] ^ wide[None]).sum(2, dtype=np.int64)
-        own = size[k:k + step, None]
-        may = (far <= SIMILAR_RADIUS) & (np.minimum(own, size) >= SIMILAR * np.maximum(own, size) - 1e-9) & (node[k:k + step, None] != node)
+        me, at, far = tree.within(np.arange(k, min(k + step, len(node))), SIMILAR_RADIUS)
+        may = (np.minimum(size[me], size[at]) >= SIMILAR * np.maximum(size[me], size[at]) - 1e-9) & (node[me] != node[at])
         if group is not None:
-            may &= group[k:k + step, None] != group
-        for i in np.flatnonzero(may.any(1)):
-            at = np.flatnonzero(may[i])
-            me = int(node[k + i])
-            if len(at) > NEAREST:
-                at = at[np.lexsort((node[at], far[i, at], apart[at]))]
-                begins = np.flatnonzero(np.diff(apart[at], prepend=apart[at[0]] - 1))
-                place = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))
-                if (place >= NEAREST).any():
-                    yield me, me, -1
-                    least = at[np.lexsort((node[at], apart[at]))][begins]
-                    at = np.union1d(at[place < NEAREST], least)
-            yield from ((max(me, o), min(me, o), f) for o, f in zip(node[at].tolist(), far[i, at].tolist()))
+            may &= group[me] != group[at]
+        me, at, far = me[may], at[may], far[may]
+        if spreads is not None:
+            may = may_share(size, spreads, me, at)
+            me, at, far = me[may], at[may], far[may]
+        if not len(me):
+            continue
+        own, other = (me, np.zeros(len(me), np.int64)) if group is None else (group[me], group[at])
+        order = np.lexsort((node[at], node[me], far, other, own))
+        me, at, far, own, other = me[order], at[order], far[order], own[order], other[order]
+        new = np.append(True, (own[1:] != own[:-1]) | (other[1:] != other[:-1]))
+        begins = np.flatnonzero(new)
+        kept = np.arange(len(me)) - np.repeat(begins, np.diff(begins, append=len(me))) < nearest
+        if group is None:
+            kept[np.lexsort((node[at], np.cumsum(new)))[begins]] = True
+        nothing = () if group is None else (0, 0)
+        yield from ((x, x, -1, *nothing) for x in node[np.unique(me[~kept])].tolist())
+        me, at, far = me[kept], at[kept], far[kept]
+        swap = node[me] < node[at] if group is None else group[me] < group[at]
+        first, second = np.where(swap, at, me), np.where(swap, me, at)
+        roots = () if group is None else (group[first].tolist(), group[second].tolist())
+        yield from zip(node[first].tolist(), node[second].tolist(), far.tolist(), *roots)
 
 
 def in_blocks(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -348,15 +418,15 @@ def across_groups(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     own = F.when(F.col("root") == F.col("g.root"), F.array(F.pmod(F.xxhash64("shard", "node"), blocks))).otherwise(
         F.sequence(F.lit(0).cast("bigint"), blocks - 1))
     dealt = placed.join(largest, "shard").withColumn("block", F.explode(own))
-    return dealt.select(F.xxhash64("shard", "block").alias("shard"), "node", "n", "wide", "root")
+    return dealt.select(F.xxhash64("shard", "block").alias("shard"), "node", "n", "wide", "root", "spread")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets share at least ``SIMILAR`` of their union."""
-    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a")), "a").join(
+    both = pairs.select("a", "b", *also).join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("hashes").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
-    return both.where(shared >= F.lit(SIMILAR) * (F.size("_a") + F.size("_b") - shared) - F.lit(1e-9)).select("a", "b")
+    return both.where(shared >= F.lit(SIMILAR) * (F.size("_a") + F.size("_b") - shared) - F.lit(1e-9)).select("a", "b", *also)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -365,9 +435,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Fingerprints only find candidates: for similarity 0.8 the radius is far too wide for shards by agreeing blocks, so shards
     are tables of randomly chosen bits; a pair misses all of them with a chance below ``MISS``. A link is a pair of which the
-    sets themselves are at least ``SIMILAR``. First each set is compared with its nearest and its least candidate; the other
-    candidates are compared where this has not connected them yet. Members that had more candidates than were kept, or were
-    dealt to blocks, are then sought again among the members of *other* groups only, until no round finds a new link.
+    sets themselves are at least ``SIMILAR``. Candidates are found in a BK-tree of each shard. First each set is compared with
+    its nearest and its least one. Sets that have others, or were dealt to blocks, are then sought again among those of *other*
+    groups only, where what two sets can share is bounded by counts before they are compared. Of each two groups the nearest
+    pair is compared at first; as long as sets have others, the rounds go on with more, so no candidate is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,6 +471,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, LANES)
             now = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 4)), wide]
+            if batch.num_columns > 5:
+                now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(-1, SPREAD))
             held = now if held is None else [np.concatenate(c) for c in zip(held, now)]
             ends = np.flatnonzero(np.diff(held[0])) + 1
             for a, b in zip([0, *ends], ends):
@@ -412,57 +485,59 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def rows() -> Iterator[tuple[int, int, int]]:
             for _, node, size, dealt, wide in shards(batches):
                 yield from ((x, x, -1) for x in node[dealt].tolist())
-                yield from near_pairs(node, size, wide)
+                yield from near_pairs(node, size, wide, 1)
 
         yield from batched(rows(), PAIRS)
 
-    def candidates_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batched((pair for _, node, size, root, wide in shards(batches) for pair in near_pairs(node, size, wide, root)), PAIRS)
+    def candidates_across(nearest: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = (near_pairs(node, size, wide, nearest, root, spreads) for _, node, size, root, wide, spreads in shards(batches))
+            yield from batched((pair for pairs in found for pair in pairs), ACROSS)
+
+        return run
 
-    def sought(placed: DataFrame, by) -> tuple[DataFrame, DataFrame]:
+    def sought(placed: DataFrame, by, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
         """Pairs to compare, and the members that have more."""
-        found = placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(by, PAIRS)
-        found = stored(found.groupBy("a", "b").agg(F.min("far").alias("far")), "pairs")
+        found = stored(placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(by, schema).distinct(), "pairs")
         return found.where("a <> b"), found.where("a = b").select(F.col("a").alias("node"))
 
-    pairs, crowded = sought(in_blocks(filled.select("node", "n", "wide").mapInArrow(keys, TABLES), block_rows), candidates)
+    pairs, crowded = sought(in_blocks(filled.select("node", "n", "wide").mapInArrow(keys, TABLES), block_rows), candidates, PAIRS)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = (shingle_set(t.as_py()) for b in batches for t in b.column(0))
-        yield from batched(((_node(h), h.view(np.int64)) for h in sets), SETS, lambda r: 8 * len(r[1]) + 64)
+        yield from batched(((_node(h), h.view(np.int64), spread(h)) for h in sets), SETS, lambda r: 8 * len(r[1]) + 2 * SPREAD + 64)
 
     # the sets of what is compared, made anew from the texts; one row of each
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "far").unionByName(
         pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "far"))
-    firsts = stored(ends.groupBy("node").agg(F.min("other").alias("least"), F.min(F.struct("far", "other")).alias("near")), "first-pairs")
+    firsts = stored(ends.groupBy("node").agg(
+        F.min("other").alias("least"), F.min(F.struct("far", "other")).alias("near"), F.count(F.lit(1)).alias("m")), "first-pairs")
+    others = firsts.where(F.col("m") > F.when(F.col("least") == F.col("near.other"), 1).otherwise(2)).select("node")
+    crowded = stored(crowded.unionByName(others).distinct(), "crowded")
     texts = own.join(firsts.select("node").unionByName(crowded), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("_h")).select("_h").distinct()
     used = docs.select(text.alias("t")).withColumn("_h", F.xxhash64("t")).join(texts, "_h", "left_semi")
     sets = stored(used.select("t").mapInArrow(whole, SETS).dropDuplicates(["node"]), "sets")
     pair = lambda other: firsts.select(F.greatest("node", other).alias("a"), F.least("node", other).alias("b"))
     joined = components(_similar(pair(F.col("least")).unionByName(pair(F.col("near.other"))).distinct(), sets))
 
-    def joined_by(roots: DataFrame, pairs: DataFrame) -> tuple[DataFrame, bool]:
-        """``roots`` after the similar ones of the pairs across groups are joined, and whether there were any."""
-        for end in ("a", "b"):
-            pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
-        similar = _similar(pairs.where("root_a <> root_b").select("a", "b"), sets)
-        for end in ("a", "b"):
-            similar = similar.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
-        new = stored(similar.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "new-links")
-        if new.isEmpty():
-            return roots, False
-        more = components(new).select(F.col("a").alias("root"), F.col("b").alias("less"))
-        return stored(roots.join(more, "root", "left").select("node", F.coalesce("less", "root").alias("root")), "roots"), True
-
     root = joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = stored(distinct.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
-    roots, _ = joined_by(roots, pairs)
-    new = True
-    while new and not crowded.isEmpty():
-        again = filled.select("node", "n", "wide").join(crowded, "node", "left_semi").join(roots, "node")
-        placed = across_groups(again.select("node", "n", "wide", "root").mapInArrow(keys, GROUPED), block_rows)
-        pairs, crowded = sought(placed, candidates_across)
-        roots, new = joined_by(roots, pairs)
+    nearest = NEAREST
+    while not crowded.isEmpty():
+        again = filled.join(crowded, "node").join(sets.select("node", "spread"), "node").join(roots, "node")
+        placed = across_groups(again.select("node", "n", "wide", "root", "spread").mapInArrow(keys, GROUPED), block_rows)
+        pairs, crowded = sought(placed, candidates_across(nearest), ACROSS)
+        # a link joins two groups, so few pairs of two are compared, of all tables together
+        place = F.row_number().over(Window.partitionBy("root_a", "root_b").orderBy("far", "a", "b"))
+        pairs = stored(pairs.withColumn("place", place), "pairs")
+        later = pairs.where(F.col("place") > nearest)
+        crowded = stored(crowded.unionByName(later.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "crowded")
+        similar = _similar(pairs.where(F.col("place") <= nearest), sets, ["root_a", "root_b"])
+        new = stored(similar.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "new-links")
+        if not new.isEmpty():
+            more = components(new).select(F.col("a").alias("root"), F.col("b").alias("less"))
+            roots = stored(roots.join(more, "root", "left").select("node", F.coalesce("less", "root").alias("root")), "roots")
+        nearest *= 4
     return own, roots
 
 

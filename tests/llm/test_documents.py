@@ -333,6 +333,53 @@ def test_groups_joined_by_one_pair_are_one(spark):
         assert left == [100 * k for k in range(12)]
 
 
+def test_tree_of_wide_fingerprints_finds_all_within_the_radius():
+    rng = np.random.default_rng(31)
+    wide = rng.integers(0, 1 << 63, (300, simhash.LANES)).astype(np.uint64)
+    for k in range(100, 280):  # a cluster, and equal ones
+        wide[k] = wide[k % 2]
+        for bit in rng.integers(0, 256, k % 40):
+            wide[k, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    me, at, far = simhash.WideTree(wide).within(np.arange(300), simhash.SIMILAR_RADIUS)
+    apart = np.bitwise_count(wide[:, None] ^ wide[None]).sum(2, dtype=int)
+    want = {(i, j, apart[i, j]) for i, j in zip(*np.where(apart <= simhash.SIMILAR_RADIUS)) if i != j}
+    assert set(zip(me, at, far)) == want and len(me) == len(want)
+
+
+def test_counts_of_parts_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(32)
+    pool = rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(pool[rng.random(400) < share]) for share in (0.9, 0.95, 0.99, 0.5, 0.1) for _ in range(20)]
+    spreads = np.array([np.frombuffer(simhash.spread(x), np.uint16) for x in sets])
+    size = np.array([len(x) for x in sets])
+    a, b = (x.ravel() for x in np.indices((100, 100)))
+    may = simhash.may_share(size, spreads, a, b)
+    shared = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    similar = shared >= 0.8 * (size[a] + size[b] - shared)
+    assert may[similar].all() and not may.all() and similar.any()
+
+
+def test_more_partners_than_are_compared_at_first_are_compared_later(spark, monkeypatch):
+    """One link joins two groups; other candidates lie between them, and one only is compared at first."""
+    rng = np.random.default_rng(33)
+    monkeypatch.setattr(simhash, "NEAREST", 1)
+    node, size = np.arange(40), np.full(40, 100)
+    wide, group = np.zeros((40, simhash.LANES), np.uint64), np.arange(40) % 2
+    wide[:, 0] = (1 << np.arange(40)).astype(np.uint64)
+    few, all_ = (list(simhash.near_pairs(node, size, wide, n, group)) for n in (1, 400))
+    assert {p[0] for p in few if p[2] < 0} == set(range(40)) and len(set(all_)) == 400
+    assert all(p[2] >= 0 and p[3:] == (1, 0) for p in all_)
+    rows = []
+    for k in range(6):
+        base = [f"v{x}" for x in rng.integers(0, 1_000_000, 304)]
+        swap = lambda words, places, mark: [f"{mark}{i}" if i in places else x for i, x in enumerate(words)]
+        bridge = swap(base, range(10, 60, 10), "b")
+        one = [base] + [swap(base, (70 + 18 * j, 79 + 18 * j), "x") for j in range(12)]
+        two = [bridge] + [swap(bridge, (70 + 18 * j, 79 + 18 * j), "y") for j in range(12)]
+        rows += [(100 * k + j, " ".join(w), "en", "a") for j, w in enumerate(one + two)]
+    assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, rows)).collect()) == [100 * k for k in range(6)]
+
+
 def test_groups_of_a_whole_table_match_brute_force(spark):
     """All pairs of a table whose shingle sets share 0.8 of their union: groups are their chains, and no two others are joined."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
