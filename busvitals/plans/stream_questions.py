@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from busvitals.plans.frame_questions import _feature_sql, _window_columns
 from busvitals.plans.health_questions import KEY, keyed
@@ -18,7 +19,8 @@ from busvitals.streaming.health import HORIZON
 from busvitals.streaming.keyed_health import KeyedHealthTables, start_keyed_health
 from busvitals.streaming.keyed_windows import KeyedWindowTables, all_windows, start_keyed_windows, start_windows
 
-FILES = 72  # per slice
+FILES = 72  # per micro-batch
+BATCH_EVENTS = 500_000  # about so many in a micro-batch, whose frames of one series are one task's work
 SLICES = 4
 DELAY_MS = 60_000
 _STATE: dict[tuple[str, str], str] = {}
@@ -41,10 +43,23 @@ def deliver(ws: Workspace, order: str = "slices") -> tuple[DataFrame, DataFrame]
         part = F.when((part == 1) & injected, SLICES).otherwise(part)
     if order == "disordered":
         part = part + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    # a slice of very many events comes in several micro-batches in the order of time, none parting a millisecond
+    millis = F.floor(micros / 1000)
     sliced = events.withColumn("part", part)
-    # one write per slice: files are delivered in the order in which they were written
-    for number in range(SLICES if order == "slices" else SLICES + 1):
-        sliced.where(F.col("part") == number).select(*events.columns).repartition(FILES).write.mode("append").parquet(path)
+    several = sliced.where("part IS NOT NULL").groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(millis, [k / 64 for k in range(1, 64)], 10_000).alias("at")).collect()
+    later = F.lit(0)
+    for r in several:
+        batches = min(64, math.ceil(r["n"] / BATCH_EVENTS))
+        for cut in {r["at"][64 * k // batches - 1] for k in range(1, batches)}:
+            later = later + ((F.col("part") == r["part"]) & (millis > cut)).cast("int")
+    dealt = fresh_path(spark, "slices")
+    sliced.withColumn("later", later).where("part IS NOT NULL").write.partitionBy("part", "later").parquet(dealt)
+    given = spark.read.schema(T.StructType([*events.schema, *[T.StructField(c, T.LongType()) for c in ("part", "later")]])).parquet(dealt)
+    # one write per micro-batch: files are delivered in the order in which they were written
+    for number, then in sorted(map(tuple, given.select("part", "later").distinct().collect())):
+        one = given.where((F.col("part") == number) & (F.col("later") == then))
+        one.select(*events.columns).repartition(FILES).write.mode("append").parquet(path)
     arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
     known = arriving.where(F.col("event_type").isin(*CAPTURES))
     return frames_from_events(known).select(*FRAME_COLUMNS), unknown_events(arriving)

@@ -29,6 +29,7 @@ from busvitals.sources.tables import flat_schema, stored_schema
 from busvitals.streaming.count_windows import SLIM, CountWindowTables, start_count_windows
 from busvitals.streaming.epochs import EpochTable, batch_session
 
+ROWS_AT_ONCE = 10_000  # given out
 EXPIRE_AFTER = 24 * 3600 * 1000  # milliseconds of event time
 # numbers that may be null travel as doubles through pandas, which has no null integers
 _CARRIED = [f.name for f in SLIM.fields if f.name not in SERIES]
@@ -138,9 +139,9 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, size
     series = Series(*state.get[:-1], from_bytes(state.get[-1])) if state.exists else Series()
 
     def told(kind: str, rows: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
-        if rows is not None and len(rows):
-            rows = rows.assign(kind=kind, started_us=series.started_us or 0, **dict(zip(SERIES, key)))
-            yield rows[OUT.names]
+        for k in range(0, 0 if rows is None else len(rows), ROWS_AT_ONCE):
+            part = rows.iloc[k : k + ROWS_AT_ONCE].assign(kind=kind, started_us=series.started_us or 0, **dict(zip(SERIES, key)))
+            yield part[OUT.names]
 
     if state.exists and clock > series.newest_ms + expire_after:
         yield from told(FRAME, series.release(clock, size))
@@ -149,7 +150,7 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, size
         yield from told(EXPIRED, pd.DataFrame([notice | {"t_us": series.last_us, "seq": pending, "rn": series.next_rn // size}]))
         series = Series()
     if not state.hasTimedOut:
-        arrived = pd.concat(list(batches))[_CARRIED].assign(rn=-1, delta_time=float("nan"))
+        arrived = pd.concat([b[_CARRIED] for b in batches]).assign(rn=-1, delta_time=float("nan"))
         late = series.is_late(arrived, clock)
         yield from told(LATE, arrived[late])
         series.take(arrived[~late])

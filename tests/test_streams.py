@@ -287,3 +287,49 @@ def test_old_state_is_removed_and_outputs_stay(spark, tmp_path):
         window_batch(spark.createDataFrame([frame(i, i * 1000) for i in range(epoch * 60, epoch * 60 + 60)], FRAME), epoch, tables)
     assert sorted(p.name for p in (tmp_path / "seen").iterdir()) == sorted(p.name for p in (tmp_path / "pending").iterdir()) == ["epoch=2", "epoch=3"]
     assert sorted(r["w"] for r in tables.windows.all().collect()) == [0, 1, 2, 3]
+
+
+def test_a_slice_of_many_events_comes_in_several_batches_in_order(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from busvitals.plans import stream_questions
+
+    micros = "1704067200000000 + CAST(pow(id, 1.5) AS BIGINT) * 1000 + id % 1000"
+    events = spark.range(3_000).selectExpr(
+        "id AS event_id", f"timestamp_micros({micros}) AS ts", "id % 50 AS user_id", "'click' AS event_type", "1.0D AS value", "'' AS props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(stream_questions, "BATCH_EVENTS", 400)
+    monkeypatch.setattr(stream_questions, "fresh_path", lambda _, label: str(tmp_path / label))
+    stream_questions.deliver(SimpleNamespace(spark=spark, folder=str(tmp_path)))
+    rows = spark.read.parquet(str(tmp_path / "delivered")).selectExpr("event_id", "unix_millis(ts) AS ms", "_metadata.file_name AS f", "_metadata.file_modification_time AS m").collect()
+    assert sorted(r.event_id for r in rows) == list(range(3_000))
+    batches = {}
+    for r in rows:
+        batches.setdefault(r.f.split("-", 2)[2].rsplit("-", 1)[0], []).append(r)
+    assert max(map(len, batches.values())) < 500
+    ordered = sorted(batches.values(), key=lambda b: min(r.m for r in b))
+    assert all(max(r.ms for r in a) < min(r.ms for r in b) for a, b in zip(ordered, ordered[1:]))
+
+
+def test_windows_of_a_long_series_are_given_out_in_small_tables():
+    from busvitals.streaming import keyed_windows
+
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+
+        def getCurrentWatermarkMs(self):
+            return 10**9
+
+        def update(self, value):
+            pass
+
+        def setTimeoutTimestamp(self, at):
+            pass
+
+    n = 3 * keyed_windows.ROWS_AT_ONCE + 70
+    rows = pd.DataFrame({c: 0 for c in keyed_windows._CARRIED}, index=range(n)).assign(
+        t_us=10**12, seq=range(n), attack_type="Normal", payload_entropy=0.0)
+    out = list(keyed_windows.advance(("v", "c"), iter([rows[k : k + 7_000] for k in range(0, n, 7_000)]), State(), 50, 10**6))
+    assert sum(map(len, out)) == n // 50 * 50 and max(map(len, out)) <= keyed_windows.ROWS_AT_ONCE
