@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from busvitals.functions import fixed_values as fv
-from busvitals.operators.neighbors import AT_ONCE, BLOCK_QUERY, BLOCK_TRAIN, _distances
+from busvitals.operators.neighbors import AT_ONCE, BLOCK_QUERY, _distances
 from busvitals.operators.sampling import sample_rows
 
 TABLES = 2
 CELLS = 4
 PROBES = 8
 CELL_ROWS = 100
+BLOCK_TRAIN = 4_000
 FIT_ROWS = 5_000  # train rows drawn for the borders of the cells
 
 

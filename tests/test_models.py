@@ -50,6 +50,39 @@ def test_fewer_train_rows_than_k(spark):
     assert {r["count"] for r in got} == {3}
 
 
+def test_neighbour_blocks_do_not_multiply_the_queries(spark, monkeypatch):
+    """Rows in 13 dimensions: nearly all rings are within reach, so a query row is copied for each of them."""
+    rng = np.random.default_rng(5)
+    points = spark.createDataFrame([(f"p{i:05d}", [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(3_000, 13)))], "pid string, x array<double>").persist()
+    copies = []
+    exploded = type(points).withColumn
+
+    def counted(df, name, column):
+        out = exploded(df, name, column)
+        if name == "ring" and "dist" not in df.columns:
+            copies.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(points), "withColumn", counted)
+    got = neighbors.knn_join(points.where("pid < 'p00050'"), points, 20)
+    assert copies == [50] and got.count() == 1_000
+
+
+def test_neighbours_of_repeated_names_and_equal_points(spark):
+    """Equal points are ranked by name; a name of several rows is left out with all of them."""
+    rng = np.random.default_rng(6)
+    base = [(f"p{i:03d}", [float(v) for v in x]) for i, x in enumerate(np.concatenate([np.zeros((300, 13)), rng.normal(size=(60, 13))]))]
+    base += [("p003", [0.0] * 13)] * 5 + [("p310", [0.5] * 13)]
+    points = spark.createDataFrame(base, "pid string, x array<double>")
+    asked = [("p003", [0.0] * 13), ("p310", base[310][1]), ("q", [0.1] * 13)]
+    for r in (rows := neighbors.knn_join(spark.createDataFrame(asked, "pid string, x array<double>"), points, 7).collect()):
+        assert r["pid"] != r["neighbour"]
+    for pid, x in asked:
+        want = sorted((float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())), n) for n, y in base if n != pid)[:7]
+        mine = sorted((r["rank"], r["neighbour"]) for r in rows if r["pid"] == pid)
+        assert [n for _, n in mine] == [n for _, n in want]
+
+
 def test_outlier_factor_is_high_outside(data):
     lof = vantage.lof_score(data, vantage.fit_lof(data)).select(*KEY, "lof").join(data.select(*KEY, "attack_label"), KEY)
     by = {r["attack_label"]: r["m"] for r in lof.groupBy("attack_label").agg(F.avg("lof").alias("m")).collect()}
