@@ -15,7 +15,7 @@ contracted to components by alternating large and small stars; only distinct fin
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -269,6 +269,7 @@ BLOCK_ROWS = 2_000  # a larger shard is worked on in blocks
 LEADERS = 32  # about so many members of a larger shard are in all its blocks
 _AGREE = 1 - SIMILAR_RADIUS / (LANES * BITS)  # chance that a pair at the radius agrees in a bit
 _CELLS = 1 << 19  # pairs of a shard's members whose bits are compared at a time
+COPY, HOME, DEALT = 0, 1, 2
 
 WIDE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
@@ -349,45 +350,88 @@ def may_share(size: np.ndarray, spreads: np.ndarray, a: np.ndarray, b: np.ndarra
     return may
 
 
+def table_keys(wide: np.ndarray, chosen: np.ndarray) -> Iterator[np.ndarray]:
+    """The key of each fingerprint (a row of bytes) in each table, of which ``chosen`` has the bits."""
+    set_bits = np.unpackbits(wide, axis=1)
+    weights = 1 << np.arange(chosen.shape[1], dtype=np.int64)
+    for own_bits in chosen:
+        yield (set_bits[:, own_bits] * weights).sum(1)
+
+
+def met_elsewhere(wide: np.ndarray, chosen: np.ndarray, place: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs of a block's members are another block's work: of an earlier table (``chosen``: the bits of those) in which
+    they meet too, or of this table, where both are in all blocks and the first is not at home (see ``across_groups``)."""
+    keys = list(table_keys(np.ascontiguousarray(wide).view(np.uint8), chosen))
+
+    def check(me: np.ndarray, at: np.ndarray) -> np.ndarray:
+        away = (place[me] == COPY) & (place[at] != DEALT)
+        for key in keys:
+            away |= key[me] == key[at]
+        return away
+
+    return check
+
+
 def near_pairs(
     node: np.ndarray, size: np.ndarray, wide: np.ndarray, nearest: int, group: np.ndarray | None = None, spreads: np.ndarray | None = None,
+    elsewhere: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> Iterator[tuple[int, ...]]:
     """(greater node, lesser node, differing bits) of a shard's members that may be similar, found in a BK-tree: within the
     radius and of sizes that allow it. A member with more partners has the ``nearest`` ones and the least one, so that n copies
     have no n squared pairs; (member, member, -1) says so.
 
-    With groups, only pairs of different ones whose ``spreads`` allow it, of each two groups the ``nearest`` ones, and both
-    groups behind them, the pair being in the order of its groups."""
+    With groups, only pairs of different ones whose ``spreads`` allow it and that are not met ``elsewhere``, of each two groups
+    of the shard the ``nearest`` ones, and both groups behind them, the pair being in the order of its groups."""
     if len(node) < 2:
         return
     tree = WideTree(wide)
     step = max(1, _CELLS // len(node))
+    more, held = np.zeros(len(node), bool), [np.empty(0, np.int64)] * 3
+
+    def told() -> Iterator[tuple[int, ...]]:
+        me, at, far = held
+        yield from zip(node[me].tolist(), node[at].tolist(), far.tolist(), group[me].tolist(), group[at].tolist())
+
     for k in range(0, len(node), step):
         me, at, far = tree.within(np.arange(k, min(k + step, len(node))), SIMILAR_RADIUS)
         may = (np.minimum(size[me], size[at]) >= SIMILAR * np.maximum(size[me], size[at]) - 1e-9) & (node[me] != node[at])
         if group is not None:
-            may &= group[me] != group[at]
+            may &= group[me] > group[at]  # each pair is found from both its ends
         me, at, far = me[may], at[may], far[may]
+        if elsewhere is not None:
+            may = ~elsewhere(me, at)
+            me, at, far = me[may], at[may], far[may]
         if spreads is not None:
             may = may_share(size, spreads, me, at)
             me, at, far = me[may], at[may], far[may]
         if not len(me):
             continue
-        own, other = (me, np.zeros(len(me), np.int64)) if group is None else (group[me], group[at])
-        order = np.lexsort((node[at], node[me], far, other, own))
-        me, at, far, own, other = me[order], at[order], far[order], own[order], other[order]
-        new = np.append(True, (own[1:] != own[:-1]) | (other[1:] != other[:-1]))
+        if group is not None:
+            me, at, far = (np.concatenate(x) for x in zip(held, (me, at, far)))
+            order = np.lexsort((node[at], node[me], far, group[at], group[me]))
+            me, at, far = me[order], at[order], far[order]
+            new = np.append(True, (group[me[1:]] != group[me[:-1]]) | (group[at[1:]] != group[at[:-1]]))
+        else:
+            order = np.lexsort((node[at], far, node[me], me))
+            me, at, far = me[order], at[order], far[order]
+            new = np.append(True, me[1:] != me[:-1])
         begins = np.flatnonzero(new)
         kept = np.arange(len(me)) - np.repeat(begins, np.diff(begins, append=len(me))) < nearest
-        if group is None:
-            kept[np.lexsort((node[at], np.cumsum(new)))[begins]] = True
-        nothing = () if group is None else (0, 0)
-        yield from ((x, x, -1, *nothing) for x in node[np.unique(me[~kept])].tolist())
+        if group is not None:
+            more[me[~kept]] = more[at[~kept]] = True
+            held = [me[kept], at[kept], far[kept]]
+            if len(held[0]) > _CELLS:
+                yield from told()
+                held = [x[:0] for x in held]
+            continue
+        kept[np.lexsort((node[at], np.cumsum(new)))[begins]] = True
+        yield from ((x, x, -1) for x in node[np.unique(me[~kept])].tolist())
         me, at, far = me[kept], at[kept], far[kept]
-        swap = node[me] < node[at] if group is None else group[me] < group[at]
-        first, second = np.where(swap, at, me), np.where(swap, me, at)
-        roots = () if group is None else (group[first].tolist(), group[second].tolist())
-        yield from zip(node[first].tolist(), node[second].tolist(), far.tolist(), *roots)
+        swap = node[me] < node[at]
+        yield from zip(node[np.where(swap, at, me)].tolist(), node[np.where(swap, me, at)].tolist(), far.tolist())
+    if group is not None:
+        yield from ((x, x, -1, 0, 0) for x in node[more].tolist())
+        yield from told()
 
 
 def in_blocks(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -411,14 +455,16 @@ def in_blocks(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def across_groups(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Members of the shards that hold several groups (``root``). The members of a shard's largest group are dealt to blocks of
-    about ``block_rows``; those of the others are in all its blocks, so every pair of different groups meets."""
+    about ``block_rows``; those of the others are in all its blocks, so every pair of different groups meets. ``place`` tells
+    the largest group's (``DEALT``) from others in the one block where they are at home (``HOME``) and in the rest (``COPY``)."""
     sizes = placed.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("shard").agg(F.max(F.struct("m", "root")).alias("g"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     blocks = F.ceil(F.col("g.m") / F.lit(block_rows)).cast("bigint")
-    own = F.when(F.col("root") == F.col("g.root"), F.array(F.pmod(F.xxhash64("shard", "node"), blocks))).otherwise(
-        F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    home, in_largest = F.pmod(F.xxhash64("shard", "node"), blocks), F.col("root") == F.col("g.root")
+    own = F.when(in_largest, F.array(home)).otherwise(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
     dealt = placed.join(largest, "shard").withColumn("block", F.explode(own))
-    return dealt.select(F.xxhash64("shard", "block").alias("shard"), "node", "n", "wide", "root", "spread")
+    place = F.when(in_largest, DEALT).when(F.col("block") == home, HOME).otherwise(COPY)
+    return dealt.select(F.xxhash64("shard", "block").alias("shard"), "node", "n", "wide", "root", "spread", "table", place.alias("place"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, also: Sequence[str] = ()) -> DataFrame:
@@ -437,8 +483,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are tables of randomly chosen bits; a pair misses all of them with a chance below ``MISS``. A link is a pair of which the
     sets themselves are at least ``SIMILAR``. Candidates are found in a BK-tree of each shard. First each set is compared with
     its nearest and its least one. Sets that have others, or were dealt to blocks, are then sought again among those of *other*
-    groups only, where what two sets can share is bounded by counts before they are compared. Of each two groups the nearest
-    pair is compared at first; as long as sets have others, the rounds go on with more, so no candidate is left out.
+    groups only, where what two sets can share is bounded by counts before they are compared; a pair that meets in several
+    tables or blocks is the work of one of them. Of each two groups the nearest pair is compared at first; as long as sets have others, the rounds go on with more, so no candidate is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,12 +504,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chosen = np.random.Generator(np.random.PCG64(SEED)).random((tables, LANES * BITS)).argsort(1)[:, :bits]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             wide = batch.column(2).to_pylist()
-            set_bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1), axis=1)
-            for k, own_bits in enumerate(chosen):
-                shard = (set_bits[:, own_bits] * weights).sum(1) * tables + k
+            for k, key in enumerate(table_keys(np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1), chosen)):
+                shard = key * tables + k
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *batch.columns], names=["shard", *batch.schema.names])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -473,6 +517,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             now = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 4)), wide]
             if batch.num_columns > 5:
                 now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(-1, SPREAD))
+                now += [batch.column(c).to_numpy(zero_copy_only=False) for c in (6, 7)]
             held = now if held is None else [np.concatenate(c) for c in zip(held, now)]
             ends = np.flatnonzero(np.diff(held[0])) + 1
             for a, b in zip([0, *ends], ends):
@@ -491,7 +536,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def candidates_across(nearest: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = (near_pairs(node, size, wide, nearest, root, spreads) for _, node, size, root, wide, spreads in shards(batches))
+            found = (
+                near_pairs(node, size, wide, nearest, root, spreads, met_elsewhere(wide, chosen[: table[0]], place))
+                for _, node, size, root, wide, spreads, table, place in shards(batches) if len(node) > 1
+            )
             yield from batched((pair for pairs in found for pair in pairs), ACROSS)
 
         return run
@@ -525,7 +573,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nearest = NEAREST
     while not crowded.isEmpty():
         again = filled.join(crowded, "node").join(sets.select("node", "spread"), "node").join(roots, "node")
-        placed = across_groups(again.select("node", "n", "wide", "root", "spread").mapInArrow(keys, GROUPED), block_rows)
+        placed = again.select("node", "n", "wide", "root", "spread").mapInArrow(keys, GROUPED)
+        placed = across_groups(placed.withColumn("table", F.pmod("shard", F.lit(tables))), block_rows)
         pairs, crowded = sought(placed, candidates_across(nearest), ACROSS)
         # a link joins two groups, so few pairs of two are compared, of all tables together
         place = F.row_number().over(Window.partitionBy("root_a", "root_b").orderBy("far", "a", "b"))

@@ -380,6 +380,31 @@ def test_more_partners_than_are_compared_at_first_are_compared_later(spark, monk
     assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, rows)).collect()) == [100 * k for k in range(6)]
 
 
+def test_a_pair_of_groups_is_the_work_of_one_table_and_block():
+    """Members that meet in many tables and, but for the largest group's, in several blocks: each pair is given out once."""
+    rng = np.random.default_rng(34)
+    n, bits, tables = 60, 6, 12
+    wide = np.zeros((n, simhash.LANES), np.uint64)
+    for k in range(n):
+        for bit in rng.integers(0, 256, 20):
+            wide[k, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    node, size, group = np.arange(n), np.full(n, 100), np.maximum(np.arange(n) - 9, 0)  # the first ten are one group
+    chosen = rng.random((tables, 256)).argsort(1)[:, :bits]
+    keys = np.array(list(simhash.table_keys(wide.view(np.uint8), chosen)))
+    apart = np.bitwise_count(wide[:, None] ^ wide[None]).sum(2, dtype=int)
+    meet = (keys[:, :, None] == keys[:, None, :]).any(0) & (apart <= simhash.SIMILAR_RADIUS) & (group[:, None] > group[None])
+    given, blocks = [], 3
+    for table, key in enumerate(keys):
+        for value in np.unique(key):
+            for block in range(blocks):
+                inside = np.flatnonzero((key == value) & ((group > 0) | (node % blocks == block)))
+                place = np.where(group[inside] == 0, simhash.DEALT, np.where(inside % blocks == block, simhash.HOME, simhash.COPY))
+                check = simhash.met_elsewhere(wide[inside], chosen[:table], place)
+                given += simhash.near_pairs(node[inside], size[inside], wide[inside], 1_000, group[inside], elsewhere=check)
+    assert all(p[2] >= 0 for p in given)
+    assert sorted(p[:2] for p in given) == sorted(zip(*np.where(meet)))
+
+
 def test_groups_of_a_whole_table_match_brute_force(spark):
     """All pairs of a table whose shingle sets share 0.8 of their union: groups are their chains, and no two others are joined."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
